@@ -65,15 +65,13 @@ def rerank(hits: DataFrame, tagged_questions: DataFrame, config: AnswerConfig) -
 
 
 def question_contexts(questions: DataFrame, index: DataFrame, lexical: LexicalIndex | None = None,
-                      reranker: PipelineModel | None = None, config: AnswerConfig = AnswerConfig(),
-                      n_questions: int | None = None) -> DataFrame:
+                      reranker: PipelineModel | None = None, config: AnswerConfig = AnswerConfig()) -> DataFrame:
     """One row per question: its columns, document_ids, texts, sources, chunks.
 
-    `n_questions`, if known, bounds the hits and lets the text lookup scan the index in place.
+    The number of questions bounds the hits; few enough let the text lookup scan the index in place.
     """
     found = retrieve(questions, index, lexical, config)
-    per_question = config.num_chunks + config.lexical_search_k
-    hits = attach_chunks(found, index, n_questions * per_question if n_questions is not None else None)
+    hits = attach_chunks(found, index, questions.count() * (config.num_chunks + config.lexical_search_k))
     if reranker is not None and config.use_reranking:
         tagged = classify_with_threshold(questions, reranker, "query", config.rerank_threshold)
         hits = rerank(hits, tagged, config)
@@ -91,9 +89,9 @@ def prompts_for(contexts: DataFrame, config: AnswerConfig = AnswerConfig()) -> D
 
 def answer_questions(questions: DataFrame, index: DataFrame, factory: Callable[..., object],
                      lexical: LexicalIndex | None = None, reranker: PipelineModel | None = None,
-                     config: AnswerConfig = AnswerConfig(), n_questions: int | None = None, **options: object) -> DataFrame:
+                     config: AnswerConfig = AnswerConfig(), **options: object) -> DataFrame:
     """qid, question, sources, document_ids, answer, llm, error."""
-    contexts = question_contexts(questions, index, lexical, reranker, config, n_questions)
+    contexts = question_contexts(questions, index, lexical, reranker, config)
     answered = generate(prompts_for(contexts, config), factory, **options)
     empty_ids, empty_sources = F.array().cast("array<bigint>"), F.array().cast("array<string>")
     return answered.select(
@@ -110,17 +108,18 @@ def run_experiment(name: str, questions: DataFrame, index: DataFrame, factory: C
     return write_responses(results, record, path)
 
 
-def split_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                        text_col: str = "text") -> DataFrame:
-    """One row per request: conv_id, n_messages, query, messages. Requests with one message need retrieval.
+def conversation_requests(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+                          text_col: str = "text") -> DataFrame:
+    """Each user turn is a request: conv_id, turn, query, retrieves.
 
-    Messages are gathered per request, which a chat service bounds by its context length.
+    A request is answered from the index only if its message is the conversation's first. Where a
+    conversation starts is a combined minimum, so no conversation is ever gathered in one place.
     """
-    message = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("content"))
-    grouped = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(message)).alias("_m"))
-    return grouped.select(
-        "conv_id", F.size("_m").alias("n_messages"), F.get("_m", F.lit(0))["content"].alias("query"),
-        F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    starts = turns.groupBy(F.col(conv_col).alias("_conv")).agg(F.min(turn_col).alias("_start"))
+    asked = turns.filter(F.col(role_col) == "user")
+    return asked.join(starts, asked[conv_col] == starts["_conv"]).select(
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(text_col).alias("query"),
+        (F.col(turn_col) == F.col("_start")).alias("retrieves"))
 
 
 def route_conversations(requests: DataFrame, index: DataFrame, factory: Callable[..., object],
@@ -128,12 +127,15 @@ def route_conversations(requests: DataFrame, index: DataFrame, factory: Callable
                         config: AnswerConfig = AnswerConfig(), max_retries: int = 1, retry_interval: float = 60.0) -> DataFrame:
     """Answer single-message requests from the index and follow-ups straight from the model.
 
-    conv_id, question, sources, document_ids, answer, llm, error. Follow-ups have no sources or ids.
+    `requests` holds conv_id and messages (role, content). Result: conv_id, question, sources,
+    document_ids, answer, llm, error. Follow-ups have no sources or ids.
     """
-    first = requests.filter("n_messages = 1").select(F.col("conv_id").alias("qid"), "query")
+    first_content = F.get("messages", F.lit(0))["content"]
+    single = F.size("messages") == 1
+    first = requests.filter(single).select(F.col("conv_id").alias("qid"), first_content.alias("query"))
     fresh = answer_questions(first, index, factory, lexical, reranker, config).withColumnRenamed("qid", "conv_id")
     contents = F.array_join(F.transform("messages", lambda m: m["content"]), " ")
-    later = requests.filter("n_messages > 1").select("conv_id", F.col("query").alias("question"), contents.alias("prompt"))
+    later = requests.filter(~single).select("conv_id", first_content.alias("question"), contents.alias("prompt"))
     direct = send_request(later, factory, max_retries=max_retries, retry_interval=retry_interval).select(
         "conv_id", "question", F.array().cast("array<string>").alias("sources"),
         F.array().cast("array<bigint>").alias("document_ids"), "answer", F.lit(config.llm).alias("llm"), "error")

@@ -45,8 +45,8 @@ def _elements(spark: SparkSession, path: str, value: Column, num_samples: int |
 def read_references(spark: SparkSession, path: str, num_samples: int | None = None) -> DataFrame:
     """qid, question, answer, source.
 
-    A JSON array is one value and so one task; large sets belong in Parquet or JSON Lines with a
-    qid column, which are read here too. `num_samples` keeps the positions below it.
+    A `.json` file is one array and so one task; large sets belong in `.parquet` or in a folder of
+    JSON Lines, both with a qid column. `num_samples` keeps the positions below it.
     """
     if path.endswith(".json"):
         return _elements(spark, path, F.from_json("value", REFERENCES), num_samples)
@@ -63,7 +63,8 @@ def read_responses(spark: SparkSession, path: str, num_samples: int | None = Non
 
 
 def _keyed(spark: SparkSession, path: str, schema: str, num_samples: int | None) -> DataFrame:
-    rows = spark.read.schema(schema).json(path) if "json" in path.rsplit("/", 1)[-1] else spark.read.schema(schema).parquet(path)
+    reader = spark.read.schema(schema)
+    rows = reader.parquet(path) if path.endswith(".parquet") else reader.json(path)
     return rows if num_samples is None else rows.filter(F.col("qid") < num_samples)
 
 

@@ -36,10 +36,10 @@ def write_evaluation(results: DataFrame, scores: DataFrame, config: dict, path:
     return target
 
 
-def log_events(answers: DataFrame, event: str, request: Column) -> DataFrame:
-    """Log rows: ts, event, query, document_ids, llm, answer."""
+def log_events(answers: DataFrame, event: str, request: Column, *extra: str) -> DataFrame:
+    """Log rows: ts, event, query, document_ids, llm, answer and any further columns asked for."""
     return answers.select(
-        F.current_timestamp().alias("ts"), F.lit(event).alias("event"), request.alias("query"),
+        *extra, F.current_timestamp().alias("ts"), F.lit(event).alias("event"), request.alias("query"),
         "document_ids", "llm", "answer",
     )
 

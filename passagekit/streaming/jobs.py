@@ -50,10 +50,8 @@ def answer_stream(questions: DataFrame, index: DataFrame, factory: Callable[...,
 
     def answer_batch(batch: DataFrame, batch_id: int) -> None:
         answers = answer_questions(batch, index, factory, lexical, reranker, config)
-        events = log_events(answers, "finished streaming query", F.col("question"))
-        ids = answers.select("qid", "sources", "document_ids", "answer", "llm", "question")
-        logged = ids.select("qid", "sources", *_event_columns(events))
-        logged.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+        events = log_events(answers, "finished streaming query", F.col("question"), "qid", "sources")
+        events.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
 
     return (
         questions.writeStream.foreachBatch(answer_batch).option("checkpointLocation", checkpoint)
