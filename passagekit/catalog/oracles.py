@@ -30,7 +30,7 @@ BM25_INDEX = ",\n".join([
     "st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens)",
     "freq AS (SELECT term, count(*) AS df FROM post GROUP BY term)",
     "raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM freq, st)",
-    "mean_r AS (SELECT avg(r) AS m FROM raw)",
+    "mean_r AS (SELECT favg(r) AS m FROM raw)",
     "weights AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw, mean_r)",
 ])
 BM25_SCORES = ",\n".join([
@@ -222,7 +222,7 @@ ORDER BY round(list_cosine_distance(embedding::DOUBLE[], q), 10), vec_id LIMIT 1
     "bm25_terms": f"{_with(DOCS, BM25_INDEX)} SELECT term, df, round(idf, 6) AS idf FROM weights",
     "bm25_stats": f"{_with(DOCS, BM25_INDEX)} SELECT n, round(avgdl, 6) AS avgdl, round(m, 6) AS mean_idf FROM st, mean_r",
     "bm25_postings": f"{_with(DOCS, BM25_INDEX)} SELECT term, count(*) AS chunks, sum(tf) AS occurrences, max(tf) AS most FROM post GROUP BY term",
-    "bm25_scores": f"{_with(DOCS, ASKED, BM25_INDEX, BM25_SCORES)} SELECT qid, id, round(score, 6) AS score FROM matched",
+    "bm25_scores": f"{_with(DOCS, ASKED, BM25_INDEX, BM25_SCORES)} SELECT qid, id, round(round(score, 10), 6) AS score FROM matched WHERE round(score, 10) <> 0",
     "bm25_topk": BM25_TOPK,
     "bm25_fill": f"{_with(DOCS, WORD_ASKED, BM25_INDEX, BM25_SCORES, BM25_RANK)} SELECT qid, pos, id, round(score, 6) AS score FROM lex WHERE pos < 5",
     "bm25_saved_index": BM25_TOPK,

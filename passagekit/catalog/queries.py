@@ -28,7 +28,7 @@ from passagekit.plans.answering import AnswerConfig, answer_questions, conversat
 from passagekit.plans.evaluating import evaluate
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index, chunk_documents
 from passagekit.schemas import context_lengths
-from passagekit.session import new_path, spread
+from passagekit.session import materialize, new_path, spread
 from passagekit.sources.corpus import only_new, read_responses
 from passagekit.sources.index_store import load_or_build_index, read_index, snapshot_index
 from passagekit.sources.records import append_answer_log
@@ -160,6 +160,7 @@ def hybrid_splice_dedup(spark, folder):
 def _reranked(spark, folder):
     """The tag of the best lexical hit plays the predicted tag."""
     semantic, lexical = _both_lists(spark, folder)
+    lexical = materialize(lexical)  # used twice; k rows per question
     documents = chunks_of_documents(spark, folder)
     n = questions_of(spark, folder).count()
     hits = attach_chunks(splice(semantic, lexical, 2), documents, n * 7)

@@ -73,7 +73,8 @@ def trim_tokens(text: Column, n: Column | int, tokenizer: Callable[[], object] |
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, _SPACES, " "), "^ | $", "")
+    """White-space runs become one blank, none at the ends. Lone blanks, nearly all of them, are not matched."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def split_camel_case(text: Column) -> Column:
@@ -82,7 +83,7 @@ def split_camel_case(text: Column) -> Column:
 
 def normalize_for_classifier(text: Column, subwords: Callable[[Column], Column] | None = None) -> Column:
     """Text as the classifiers see it. The order of the steps matters."""
-    spaced = F.regexp_replace(text, r"(?U)(?<=\w)([?.,!])(?!\s)", " $1")
+    spaced = F.regexp_replace(text, r"(?U)([?.,!])(?<=\w[?.,!])(?!\s)", " $1")
     blanked = F.translate(spaced, "_-#", "   ")
     plain = F.translate(F.replace(blanked, F.lit(".html"), F.lit("")), ".", " ")
     words = split_camel_case(plain)

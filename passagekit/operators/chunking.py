@@ -84,7 +84,7 @@ def chunks_of(text: Column | str, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
         return pa.array(
             [split_text(t, size, overlap, separators) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return split(text)
+    return split.asNondeterministic()(text)  # never evaluated twice by a pushed-down filter
 
 
 def chunk_text(df: DataFrame, chunk_size: int = CHUNK_SIZE, chunk_overlap: int = CHUNK_OVERLAP,

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from passagekit.functions.text import normalize_for_classifier
 from passagekit.schemas import RERANK_THRESHOLD
+from passagekit.session import materialize
 
 OTHER = "other"
 FEATURES = 1 << 12
@@ -31,10 +32,13 @@ def label_with_threshold(probabilities: Column, labels: list[str], threshold: fl
 
 
 def fit_tag_classifier(training: DataFrame, text_col: str = "text", label_col: str = "label",
-                       features: int = FEATURES, max_iter: int = 30) -> PipelineModel:
-    """Hashed TF-IDF and logistic regression over normalised text. Save it with `model.write()`."""
-    prepared = training.select(
-        normalize_for_classifier(F.col(text_col)).alias("text"), F.col(label_col).cast("string").alias("label"))
+                       features: int = FEATURES, max_iter: int = 20) -> PipelineModel:
+    """Hashed TF-IDF and logistic regression over normalised text. Save it with `model.write()`.
+
+    The normalised texts are written once, since every stage of the pipeline reads them again.
+    """
+    prepared = materialize(training.select(
+        normalize_for_classifier(F.col(text_col)).alias("text"), F.col(label_col).cast("string").alias("label")))
     return Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),

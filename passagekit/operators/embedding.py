@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,34 +23,36 @@ def check_dim(embedding: Column, dim: int) -> Column:
     return F.when(F.size(embedding) != dim, F.raise_error(message).cast(VECTOR)).otherwise(embedding)
 
 
-def hash_buckets(text: Column, dim: int) -> Column:
-    """Bucket of each document token: the first eight hex digits of its md5, modulo dim."""
-    return F.transform(
-        document_tokens(text),
-        lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim).cast("int"),
-    )
+def token_bucket(token: str, dim: int) -> int:
+    """The first eight hex digits of the token's md5, modulo dim."""
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % dim
 
 
 def hash_vector(text: Column, dim: int) -> Column:
-    """Token counts per bucket, scaled to length 1; all zero for a text without tokens.
+    """Document tokens counted per bucket, scaled to length 1; all zero for a text without tokens.
 
     A stand-in for a neural model: it needs no download and can be checked with SQL, but it only
-    knows which words occur. Tokens and buckets stay in the JVM; counting is one bincount per batch.
+    knows which words occur. Tokens are cut in the JVM; a batch then hashes each distinct token
+    once and counts all its texts with one bincount. No shuffle.
     """
 
     @F.arrow_udf(VECTOR)
-    def counted(buckets: pa.Array) -> pa.Array:
-        sizes = np.diff(buckets.offsets.to_numpy())
-        rows = np.repeat(np.arange(len(buckets)), sizes)
-        cells = rows * dim + buckets.flatten().to_numpy()
-        counts = np.bincount(cells, minlength=len(buckets) * dim).reshape(len(buckets), dim)
+    def counted(tokens: pa.Array) -> pa.Array:
+        missing = tokens.is_null().to_numpy(zero_copy_only=False)
+        sizes = np.where(missing, 0, np.diff(tokens.offsets.to_numpy()))
+        coded = tokens.flatten().dictionary_encode()
+        buckets = np.array([token_bucket(t, dim) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+        rows = np.repeat(np.arange(len(tokens)), sizes)
+        cells = rows * dim + buckets[coded.indices.to_numpy(zero_copy_only=False)]
+        counts = np.bincount(cells, minlength=len(tokens) * dim).reshape(len(tokens), dim)
         norms = np.sqrt((counts * counts).sum(axis=1))
         unit = counts / np.where(norms == 0, 1.0, norms)[:, None]
         offsets = np.arange(0, unit.size + 1, dim, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.astype(np.float32).ravel()))
+        values = pa.array(unit.astype(np.float32).ravel())
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(missing))
 
-    present = F.coalesce(hash_buckets(text, dim), F.array().cast("array<int>"))
-    return F.when(text.isNotNull(), counted(present))
+    # Not deterministic only in name: this keeps the optimizer from evaluating it again in pushed-down filters.
+    return counted.asNondeterministic()(document_tokens(text))
 
 
 def hash_embed(df: DataFrame, text_col: str = "text", dim: int = 64, into: str = "embedding") -> DataFrame:

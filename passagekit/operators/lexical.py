@@ -14,9 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagekit.functions.text import document_tokens, query_tokens
-from passagekit.operators.topk import MAX_QUESTIONS, best_k, slices
+from passagekit.operators.topk import MAX_QUESTIONS, best_k, bounded, slices
 from passagekit.session import materialize
 
 # The Okapi parameters and the floor for terms in more than half of the chunks.
@@ -41,8 +42,7 @@ class LexicalIndex:
 
     def postings(self) -> DataFrame:
         """term, id, tf."""
-        pairs = F.arrays_zip("terms", "tfs")
-        return self.chunks.select("id", F.explode(pairs).alias("p")).select("p.terms", "id", "p.tfs").toDF("term", "id", "tf")
+        return _postings(self.chunks).select("term", "id", "tf")
 
     def save(self, path: str) -> None:
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
@@ -54,29 +54,41 @@ class LexicalIndex:
         return LexicalIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("chunks", "terms", "stats")))
 
 
-def count_runs(df: DataFrame, tokens: Column) -> DataFrame:
-    """Add dl, terms and tfs: how many tokens, the distinct ones in order, and how often each occurs.
+def _postings(chunks: DataFrame) -> DataFrame:
+    """id, dl, term, tf. The outer form keeps the optimizer from counting once more in a filter of its own."""
+    pairs = chunks.select("id", "dl", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("p"))
+    return pairs.select("id", "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf")).filter("term is not null")
 
-    Tokens are sorted and counted within the row, so no shuffle is needed.
-    """
-    held = df.withColumn("_tokens", F.array_sort(F.coalesce(tokens, F.array().cast("array<string>"))))
-    starts = F.filter(
-        F.transform("_tokens", lambda t, i: F.when((i == 0) | (t != F.get("_tokens", i - 1)), i)),
-        lambda i: i.isNotNull(),
-    )
-    runs = held.withColumn("dl", F.size("_tokens")).withColumn("_starts", starts)
-    ends = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array("dl"))
-    return runs.select(
-        *df.columns, "dl",
-        F.transform("_starts", lambda i: F.get("_tokens", i)).alias("terms"),
-        F.zip_with("_starts", ends, lambda start, end: end - start).alias("tfs"),
-    ).withColumn("tfs", F.slice("tfs", F.lit(1), F.size("terms")))
+
+@F.arrow_udf(T.StructType([
+    T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))]))
+def _count_terms(tokens: pa.Array) -> pa.Array:
+    """The distinct tokens of each row in alphabetical order, and how often each occurs."""
+    coded = tokens.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    rows = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+    words = max(len(order), 1)
+    keys, counts = np.unique(rows * words + rank[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+    offsets = pa.array(np.searchsorted(keys, np.arange(len(tokens) + 1) * words).astype(np.int32))
+    terms = coded.dictionary.take(pa.array(order)).take(pa.array(keys % words))
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))],
+        names=["terms", "tfs"])
+
+
+def add_term_counts(df: DataFrame, tokens: Column) -> DataFrame:
+    """Add dl, terms and tfs: how many tokens, the distinct ones, and how often each occurs. No shuffle."""
+    held = df.withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>")))
+    counted = held.select(*df.columns, F.size("_tokens").alias("dl"), _count_terms.asNondeterministic()("_tokens").alias("_counted"))
+    return counted.select(*df.columns, "dl", "_counted.terms", "_counted.tfs")
 
 
 def chunk_terms(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, dl, terms, tfs."""
     keyed = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    return count_runs(keyed, document_tokens(F.col("_text"))).drop("_text")
+    return add_term_counts(keyed, document_tokens(F.col("_text"))).drop("_text")
 
 
 def bm25_index(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> LexicalIndex:
@@ -91,7 +103,7 @@ def bm25_index(chunks: DataFrame, id_col: str = "id", text_col: str = "text") ->
         F.coalesce(document_tokens(F.col(text_col)), F.array().cast("array<string>")).alias("_tokens"))
     entries = lengths.select(
         F.size("_tokens").cast("long").alias("dl"),
-        F.explode(F.concat(F.array_distinct("_tokens"), F.array(F.lit(None).cast("string")))).alias("term"),
+        F.explode_outer(F.concat(F.array_distinct("_tokens"), F.array(F.lit(None).cast("string")))).alias("term"),
     )
     totals = materialize(entries.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total")))
@@ -100,7 +112,8 @@ def bm25_index(chunks: DataFrame, id_col: str = "id", text_col: str = "text") ->
     n, avgdl = corpus_rows[0] if corpus_rows else (0, None)
     raw_idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     known = totals.filter("term is not null").select("term", "df", raw_idf.alias("_raw"))
-    mean = known.agg(F.avg("_raw").alias("mean_idf")).first()["mean_idf"]
+    alike = known.groupBy("_raw").agg(F.count(F.lit(1)).alias("terms"))  # few distinct values: a far smaller rounding error
+    mean = alike.agg((F.sum(F.col("_raw") * F.col("terms")) / F.sum("terms")).alias("mean_idf")).first()["mean_idf"]
     idf = F.when(F.col("_raw") < 0, F.lit(mean).cast("double") * EPSILON).otherwise(F.col("_raw"))
     stats = totals.sparkSession.createDataFrame([(n, avgdl, mean)], "n long, avgdl double, mean_idf double")
     return LexicalIndex(counted, known.select("term", "df", idf.alias("idf")), stats)
@@ -111,7 +124,7 @@ def question_terms(questions: DataFrame, index: LexicalIndex, qid_col: str = "qi
 
     Questions without a known term keep an empty array.
     """
-    words = count_runs(
+    words = add_term_counts(
         questions.select(F.col(qid_col).alias("qid"), F.col(query_col).alias("_query")), query_tokens(F.col("_query")))
     pairs = words.select("qid", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("p"))
     asked = pairs.select("qid", F.col("p.terms").alias("term"), F.col("p.tfs").alias("repeats"))
@@ -201,18 +214,38 @@ def bm25_topk(questions: DataFrame, index: LexicalIndex, k: int, qid_col: str =
     return hits.select("qid", "pos", "id", (-F.col("cost") + F.lit(0.0)).alias("score"))
 
 
-def bm25_scores(questions: DataFrame, index: LexicalIndex, qid_col: str = "qid", query_col: str = "query") -> DataFrame:
-    """Every chunk that shares a term with a question: qid, id, score.
+def bm25_scores(questions: DataFrame, index: LexicalIndex, qid_col: str = "qid", query_col: str = "query",
+                max_questions: int = MAX_QUESTIONS) -> DataFrame:
+    """The score of every chunk for every question, without the zeros: qid, id, score.
 
-    The result itself has one row per such pair; for rankings use `bm25_topk`, which keeps the
-    pairs inside the tasks.
+    The result itself holds a row per scoring pair; for rankings use `bm25_topk`, which keeps the
+    pairs inside the tasks. Up to `max_questions` each task writes the scores of its own chunks and
+    nothing is shuffled; beyond that postings and questions are joined by term.
     """
-    asked = question_terms(questions, index, qid_col, query_col).select("qid", F.explode("entries").alias("e"))
-    asked = asked.select("qid", "e.term", "e.weight")
-    avgdl = F.lit(_avgdl(index))
+    asked = question_terms(questions, index, qid_col, query_col)
+    avgdl = _avgdl(index)
+    head = bounded(asked, max_questions)
+    if head is None:
+        return _joined_scores(asked, index, avgdl)
+    shared = questions.sparkSession.sparkContext.broadcast(head)
+    make = _bm25_scorer(avgdl)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids = shared.value["qid"].to_numpy()
+        score = make(shared.value)
+        for batch in batches:
+            for costs, ids in score(pa.Table.from_batches([batch])):
+                question, row = np.nonzero(costs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qids[question]), pa.array(ids[row]), pa.array(-costs[question, row])], names=["qid", "id", "score"])
+
+    return index.chunks.mapInArrow(scan, "qid long, id long, score double")
+
+
+def _joined_scores(asked: DataFrame, index: LexicalIndex, avgdl: float) -> DataFrame:
+    weights = asked.select("qid", F.explode_outer("entries").alias("e")).select("qid", "e.term", "e.weight")
     tf = F.col("tf").cast("double")
-    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    postings = index.chunks.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-    postings = postings.select("id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"), "dl").select("id", "term", gain.alias("gain"))
-    matched = postings.join(asked, "term")
-    return matched.groupBy("qid", "id").agg(F.sum(F.col("gain") * F.col("weight")).alias("score"))
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    scored = _postings(index.chunks).select("id", "term", gain.alias("gain")).join(weights, "term")
+    totals = scored.groupBy("qid", "id").agg(F.round(F.sum(F.col("gain") * F.col("weight")), DECIMALS).alias("score"))
+    return totals.filter("score <> 0")

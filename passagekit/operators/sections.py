@@ -37,7 +37,7 @@ def _section_finder(container: str, keep_comments: bool):
             ])
         return pa.array(found, _SECTIONS)
 
-    return find
+    return find.asNondeterministic()  # never evaluated twice by a pushed-down filter
 
 
 def extract_sections(

@@ -80,16 +80,22 @@ def best_k(
     rows) and row ids. `questions` has a column qid, `corpus` a column id.
     """
     spark = questions.sparkSession
-    head = questions.limit(max_questions + 1).toArrow()
-    if head.num_rows == 0:
-        return first_k(spark.createDataFrame([], BEST_FIELDS), k)
-    if head.num_rows <= max_questions:
+    head = bounded(questions, max_questions)
+    if head is None:
+        found = _in_cells(questions, corpus, k, make_scorer, max_questions)
+    elif head.num_rows:
         found = _against_broadcast(spark.sparkContext.broadcast(head), corpus, k, make_scorer)
     else:
-        found = _in_cells(questions, corpus, k, make_scorer, max_questions)
+        found = spark.createDataFrame([], BEST_FIELDS)
     return first_k(found, k)
 
 
+def bounded(questions: DataFrame, limit: int) -> pa.Table | None:
+    """The questions if there are at most `limit`; reading stops one row after that."""
+    head = questions.limit(limit + 1).toArrow()
+    return head if head.num_rows <= limit else None
+
+
 def _against_broadcast(shared, corpus, k, make_scorer):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         questions = shared.value
