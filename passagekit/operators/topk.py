@@ -37,21 +37,23 @@ class BestRows:
         self.question = np.empty(0, np.int64)
         self.ids = np.empty(0, np.int64)
         self.costs = np.empty(0, np.float64)
-        self.bound = np.full(len(qids), np.inf)
+        # Cost and id of the k-th row of each question, which a new row has to beat.
+        self.last_cost = np.full(len(qids), np.inf)
+        self.last_id = np.full(len(qids), np.iinfo(np.int64).max)
 
     def add(self, costs: np.ndarray, ids: np.ndarray) -> None:
         """Take in costs of shape (questions, rows)."""
         if not costs.size:
             return
         costs = np.where(np.isnan(costs), np.inf, costs)
-        if costs.shape[1] > self.k:
-            limit = np.partition(costs, self.k - 1, axis=1)[:, self.k - 1]
-        else:
-            limit = np.full(len(costs), np.inf)
-        question, row = np.nonzero(costs <= np.minimum(limit, self.bound)[:, None])
+        last = self.last_cost[:, None]
+        better = (costs < last) | ((costs == last) & (ids < self.last_id[:, None]))
+        if costs.shape[1] > self.k and better.sum() > 4 * self.k * len(costs):
+            better &= costs <= np.partition(costs, self.k - 1, axis=1)[:, self.k - 1:self.k]
+        question, row = np.nonzero(better)
+        cost = np.concatenate([self.costs, costs[question, row]])
         question = np.concatenate([self.question, question])
         found = np.concatenate([self.ids, ids[row]])
-        cost = np.concatenate([self.costs, costs[question[len(self.question):], row]])
         order = np.lexsort((found, cost, question))
         question, found, cost = question[order], found[order], cost[order]
         starts = np.searchsorted(question, np.arange(len(self.qids)))
@@ -59,7 +61,7 @@ class BestRows:
         kept = rank < self.k
         self.question, self.ids, self.costs = question[kept], found[kept], cost[kept]
         full = rank == self.k - 1
-        self.bound[question[full]] = cost[full]
+        self.last_cost[question[full]], self.last_id[question[full]] = cost[full], found[full]
 
     def rows(self) -> pa.RecordBatch:
         unknown = np.isinf(self.costs)

@@ -11,8 +11,7 @@ from passagekit.schemas import ANSWER, QUESTIONS, REFERENCES
 def read_html_corpus(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
     """One row per HTML file below `path`: text, source."""
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob).text(path)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"))
     )
 
@@ -36,7 +35,7 @@ def only_new(pages: DataFrame, indexed: DataFrame, page_source: Column | str = "
 
 
 def _elements(spark: SparkSession, path: str, value: Column, num_samples: int | None) -> DataFrame:
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(value).alias("qid", "_item"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(value).alias("qid", "_item"))
     if num_samples is not None:
         rows = rows.filter(F.col("qid") < num_samples)
     return rows.select(F.col("qid").cast("long"), "_item.*")
