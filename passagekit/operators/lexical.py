@@ -39,6 +39,7 @@ class LexicalIndex:
     chunks: DataFrame
     terms: DataFrame
     stats: DataFrame
+    avgdl: float | None = None
 
     def postings(self) -> DataFrame:
         """term, id, tf."""
@@ -51,7 +52,8 @@ class LexicalIndex:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LexicalIndex:
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("chunks", "terms", "stats")))
+        chunks, terms, stats = (spark.read.parquet(f"{path}/{part}") for part in ("chunks", "terms", "stats"))
+        return LexicalIndex(chunks, terms, stats, stats.first()["avgdl"])
 
 
 def _postings(chunks: DataFrame) -> DataFrame:
@@ -112,11 +114,11 @@ def bm25_index(chunks: DataFrame, id_col: str = "id", text_col: str = "text") ->
     n, avgdl = corpus_rows[0] if corpus_rows else (0, None)
     raw_idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     known = totals.filter("term is not null").select("term", "df", raw_idf.alias("_raw"))
-    alike = known.groupBy("_raw").agg(F.count(F.lit(1)).alias("terms"))  # few distinct values: a far smaller rounding error
-    mean = alike.agg((F.sum(F.col("_raw") * F.col("terms")) / F.sum("terms")).alias("mean_idf")).first()["mean_idf"]
+    exact = F.sum(F.col("_raw").cast("decimal(24,17)"))  # the same sum whatever the order of the rows
+    mean = known.agg((exact.cast("double") / F.count("_raw")).alias("mean_idf")).first()["mean_idf"]
     idf = F.when(F.col("_raw") < 0, F.lit(mean).cast("double") * EPSILON).otherwise(F.col("_raw"))
     stats = totals.sparkSession.createDataFrame([(n, avgdl, mean)], "n long, avgdl double, mean_idf double")
-    return LexicalIndex(counted, known.select("term", "df", idf.alias("idf")), stats)
+    return LexicalIndex(counted, known.select("term", "df", idf.alias("idf")), stats, avgdl)
 
 
 def question_terms(questions: DataFrame, index: LexicalIndex, qid_col: str = "qid", query_col: str = "query") -> DataFrame:
@@ -161,7 +163,9 @@ class _Matcher:
         return rows, codes, tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / avgdl))
 
 
-def _bm25_scorer(avgdl: float):
+def _bm25_scorer(avgdl: float | None):
+    avgdl = avgdl or 1.0  # an index without tokens matches nothing
+
     def make(questions: pa.Table):
         matcher = _Matcher(questions)
 
@@ -198,10 +202,6 @@ def _spans(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def _avgdl(index: LexicalIndex) -> float:
-    return float(index.stats.first()["avgdl"] or 1.0) or 1.0
-
-
 def bm25_topk(questions: DataFrame, index: LexicalIndex, k: int, qid_col: str = "qid", query_col: str = "query",
               max_questions: int = MAX_QUESTIONS) -> DataFrame:
     """The k best chunks of every question: qid, pos (from 0), id, score.
@@ -210,7 +210,7 @@ def bm25_topk(questions: DataFrame, index: LexicalIndex, k: int, qid_col: str =
     higher.
     """
     asked = question_terms(questions, index, qid_col, query_col)
-    hits = best_k(asked, index.chunks, k, _bm25_scorer(_avgdl(index)), max_questions)
+    hits = best_k(asked, index.chunks, k, _bm25_scorer(index.avgdl), max_questions)
     return hits.select("qid", "pos", "id", (-F.col("cost") + F.lit(0.0)).alias("score"))
 
 
@@ -223,12 +223,11 @@ def bm25_scores(questions: DataFrame, index: LexicalIndex, qid_col: str = "qid",
     nothing is shuffled; beyond that postings and questions are joined by term.
     """
     asked = question_terms(questions, index, qid_col, query_col)
-    avgdl = _avgdl(index)
     head = bounded(asked, max_questions)
     if head is None:
-        return _joined_scores(asked, index, avgdl)
+        return _joined_scores(asked, index)
     shared = questions.sparkSession.sparkContext.broadcast(head)
-    make = _bm25_scorer(avgdl)
+    make = _bm25_scorer(index.avgdl)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids = shared.value["qid"].to_numpy()
@@ -242,10 +241,10 @@ def bm25_scores(questions: DataFrame, index: LexicalIndex, qid_col: str = "qid",
     return index.chunks.mapInArrow(scan, "qid long, id long, score double")
 
 
-def _joined_scores(asked: DataFrame, index: LexicalIndex, avgdl: float) -> DataFrame:
+def _joined_scores(asked: DataFrame, index: LexicalIndex) -> DataFrame:
     weights = asked.select("qid", F.explode_outer("entries").alias("e")).select("qid", "e.term", "e.weight")
     tf = F.col("tf").cast("double")
-    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl or 1.0)))
     scored = _postings(index.chunks).select("id", "term", gain.alias("gain")).join(weights, "term")
     totals = scored.groupBy("qid", "id").agg(F.round(F.sum(F.col("gain") * F.col("weight")), DECIMALS).alias("score"))
     return totals.filter("score <> 0")

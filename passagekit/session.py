@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +23,20 @@ def build_session(name: str = "passagekit", master: str | None = None, **conf: o
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Let the executors' Python workers import this package, wherever it lies on the driver. Once per context."""
+    context = spark.sparkContext
+    if not getattr(context, "_passagekit_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="passagekit-"), f"passagekit-{uuid.uuid4().hex}"), "zip",
+            os.path.dirname(package), os.path.basename(package))
+        context.addPyFile(archive)
+        context._passagekit_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
