@@ -246,6 +246,7 @@ uris AS (SELECT page_id, url AS uri FROM pages UNION ALL SELECT page_id, split_p
 SELECT page_id, uri, {PAGE_TEXT} AS text FROM uris LEFT JOIN held ON page = split_part(uri, '#', 1)""",
     "incremental_new": """SELECT page_id, url FROM pages
 WHERE url NOT IN (SELECT url FROM pages WHERE regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) = 'en')""",
+    "numbered_pages": "SELECT page_id, url, dense_rank() OVER (ORDER BY url) - 1 AS number FROM pages",
     "source_statistics": "SELECT source, count(*) AS rows, sum(length(text)) AS chars FROM documents GROUP BY source",
     "index_build": INDEX,
     "index_written": INDEX,

@@ -29,7 +29,7 @@ from passagekit.plans.evaluating import evaluate
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index, chunk_documents
 from passagekit.schemas import context_lengths
 from passagekit.session import materialize, new_path, spread
-from passagekit.sources.corpus import only_new, read_responses
+from passagekit.sources.corpus import number_pages, only_new, read_responses
 from passagekit.sources.index_store import load_or_build_index, read_index, snapshot_index
 from passagekit.sources.records import append_answer_log
 from passagekit.streaming.jobs import answer_stream, index_stream, read_page_stream, read_question_stream
@@ -241,6 +241,10 @@ def incremental_new(spark, folder):
     return only_new(pages, indexed, "url", F.substring_index("source", "#s", 1)).select("page_id", "url")
 
 
+def numbered_pages(spark, folder):
+    return number_pages(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url"), "url", "number")
+
+
 def source_statistics(spark, folder):
     return corpus_statistics(table(spark, folder, "documents").select("source", "text"))
 
@@ -537,6 +541,7 @@ QUERIES: dict[str, Query] = {
     "page_texts": page_texts,
     "resolve_uris": resolve_uris_query,
     "incremental_new": incremental_new,
+    "numbered_pages": numbered_pages,
     "source_statistics": source_statistics,
     "index_build": index_build,
     "index_written": index_written,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagekit.functions.text import document_tokens
-from passagekit.schemas import EMBED_BATCH
+from passagekit.schemas import EMBED_BATCH, EMBEDDING_DIMS
 
 VECTOR = T.ArrayType(T.FloatType())
 
@@ -88,9 +88,12 @@ def embed(df: DataFrame, text_col: str, factory: Callable[..., object], dim: int
 
 def embed_with(df: DataFrame, text_col: str, model: str, models: dict[str, Callable] | None = None,
                into: str = "embedding", **options: object) -> DataFrame:
-    """Choose by name: `hash-<dim>` is built in, other names are looked up in `models`."""
+    """Choose by name: `hash-<dim>` is built in, other names are looked up in `models`.
+
+    The vectors of models with a known dimension are checked.
+    """
     if model.startswith("hash-"):
         return hash_embed(df, text_col, int(model.removeprefix("hash-")), into)
     if not models or model not in models:
         raise KeyError(f"no factory for embedding model {model}")
-    return embed(df, text_col, models[model], into=into, **options)
+    return embed(df, text_col, models[model], dict(EMBEDDING_DIMS).get(model), into=into, **options)

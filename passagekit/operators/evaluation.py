@@ -30,8 +30,15 @@ def align(references: DataFrame, responses: DataFrame, key: str = "qid") -> Data
         .when(~F.col("_asked").eqNullSafe(F.col("_answered")), "questions differ: ")
     )
     where = F.coalesce(F.col(key).cast("string"), F.lit("?"))
-    question = F.when(problem.isNotNull(), F.raise_error(F.concat(problem, where)).cast("string")).otherwise(F.col("_asked"))
-    return pairs.select(key, question.alias("question"), "reference_answer", "reference_source", "generated_answer", "sources")
+
+    def checked(name: str, kind: str = "string") -> Column:
+        """The check sits in every column, so that no choice of columns leaves it out."""
+        stop = F.raise_error(F.concat(problem, where)).cast(kind)
+        return F.when(problem.isNotNull(), stop).otherwise(F.col(name))
+
+    return pairs.select(
+        key, checked("_asked").alias("question"), *(checked(n).alias(n) for n in ("reference_answer", "reference_source", "generated_answer")),
+        checked("sources", "array<string>").alias("sources"))
 
 
 def alignment_problems(references: DataFrame, responses: DataFrame, key: str = "qid") -> DataFrame:

@@ -6,21 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagekit.functions.uris import TAG_PATTERN, tag_of
+from passagekit.session import materialize
 
-# Hits up to this many rows (ids and positions only, under 100 bytes each) may be broadcast.
+# Hits up to this many rows (ids, positions and scores, under 100 bytes each) are broadcast.
 BROADCAST_HITS = 200_000
+# Hit ids up to this many (8 bytes each, under 300 MB as a hash table) are broadcast as a filter.
+BROADCAST_IDS = 8_000_000
 
 
-def attach_chunks(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None, id_col: str = "id") -> DataFrame:
-    """Add text and source to hits after ranking.
+def attach_chunks(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None, id_col: str = "id",
+                  broadcast_hits: int = BROADCAST_HITS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Add text and source to hits after ranking, without shuffling the corpus where that can be avoided.
 
-    `max_hits` is a proven bound on the number of hits (questions x k). Under BROADCAST_HITS the
-    corpus is scanned once without a shuffle; otherwise the plan is left to adaptive execution.
+    `max_hits` is a proven bound on the number of hits (questions x k). Few hits are broadcast to
+    the chunks. Of more hits only the ids are broadcast, which leaves the chunks that were hit for
+    an ordinary join. Without a bound, or beyond both, both sides are shuffled by id.
     """
     body = chunks.select(F.col(id_col).alias("id"), "text", "source")
-    if max_hits is not None and max_hits <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
-    return body.join(hits, "id")
+    if max_hits is None or max_hits > broadcast_ids:
+        return body.join(hits, "id")
+    if max_hits <= broadcast_hits:
+        return body.join(F.broadcast(hits), "id")
+    hits = materialize(hits)
+    wanted = F.broadcast(hits.select("id").distinct())
+    return body.join(wanted, "id", "left_semi").join(hits, "id")
 
 
 def splice(semantic: DataFrame, lexical: DataFrame, k: int, dedup: bool = False) -> DataFrame:

@@ -47,6 +47,13 @@ SERVING_CHUNK_SIZE = 700
 SERVING_CHUNK_OVERLAP = 50
 
 
+# What a question without any hit has.
+_NO_CONTEXT = {
+    "document_ids": "array<bigint>", "texts": "array<string>", "sources": "array<string>",
+    "chunks": "array<struct<id:bigint,text:string,source:string>>",
+}
+
+
 def retrieve(questions: DataFrame, index: DataFrame, lexical: LexicalIndex | None = None,
              config: AnswerConfig = AnswerConfig()) -> DataFrame:
     """Hits before re-ranking: qid, pos, id, score. Only ids move; texts stay in the index."""
@@ -75,8 +82,10 @@ def question_contexts(questions: DataFrame, index: DataFrame, lexical: LexicalIn
     if reranker is not None and config.use_reranking:
         tagged = classify_with_threshold(questions, reranker, "query", config.rerank_threshold)
         hits = rerank(hits, tagged, config)
-    contexts = collect_context(hits)
-    return questions.join(contexts, "qid", "left")
+    joined = questions.join(collect_context(hits), "qid", "left")
+    for name, kind in _NO_CONTEXT.items():
+        joined = joined.withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
+    return joined
 
 
 def prompts_for(contexts: DataFrame, config: AnswerConfig = AnswerConfig()) -> DataFrame:
@@ -93,18 +102,18 @@ def answer_questions(questions: DataFrame, index: DataFrame, factory: Callable[.
     """qid, question, sources, document_ids, answer, llm, error."""
     contexts = question_contexts(questions, index, lexical, reranker, config)
     answered = generate(prompts_for(contexts, config), factory, **options)
-    empty_ids, empty_sources = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    return answered.select(
-        "qid", F.col("query").alias("question"), F.coalesce("sources", empty_sources).alias("sources"),
-        F.coalesce("document_ids", empty_ids).alias("document_ids"), "answer", "llm", "error")
+    return answered.select("qid", F.col("query").alias("question"), "sources", "document_ids", "answer", "llm", "error")
 
 
 def run_experiment(name: str, questions: DataFrame, index: DataFrame, factory: Callable[..., object], path: str,
                    lexical: LexicalIndex | None = None, reranker: PipelineModel | None = None,
-                   config: AnswerConfig = AnswerConfig(), **options: object) -> str:
-    """Answer all questions and write config and results; returns where they lie."""
+                   config: AnswerConfig = AnswerConfig(), notes: dict | None = None, **options: object) -> str:
+    """Answer all questions and write config and results; returns where they lie.
+
+    `notes` adds what the configuration does not know, such as chunk size or temperature.
+    """
     results = answer_questions(questions, index, factory, lexical, reranker, config, **options)
-    record = {"experiment_name": name, **{k: v for k, v in asdict(config).items() if k != "models"}}
+    record = {"experiment_name": name, **(notes or {}), **{k: v for k, v in asdict(config).items() if k != "models"}}
     return write_responses(results, record, path)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagekit.schemas import ANSWER, QUESTIONS, REFERENCES
+from passagekit.session import materialize
 
 
 def read_html_corpus(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
@@ -24,6 +25,31 @@ def list_corpus(spark: SparkSession, path: str, glob: str = "*.html") -> DataFra
     )
 
 
+def number_pages(pages: DataFrame, source_col: str = "source", into: str = "page_id", start: int = 0) -> DataFrame:
+    """Add a dense number in the order of the sources, for corpora without a numeric key.
+
+    Only the distinct sources are sorted. Their range partitions are written once, so that the
+    counts that become offsets and the ranks within a partition come from the same cut.
+    """
+    names = pages.select(F.col(source_col).alias("_name")).filter("_name is not null").distinct()
+    cut = materialize(names.repartitionByRange("_name").withColumn("_part", F.spark_partition_id()))
+    sizes = sorted(tuple(r) for r in cut.groupBy("_part").count().collect())
+    offsets, reached = [], start
+    for part, size in sizes:
+        offsets.append((part, reached))
+        reached += size
+    offsets = F.broadcast(pages.sparkSession.createDataFrame(offsets, "_part int, _offset long"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_name"))
+    numbered = cut.withColumn("_rank", rank).join(offsets, "_part").select("_name", (F.col("_offset") + F.col("_rank") - 1).alias(into))
+    return pages.join(numbered, F.col(source_col) == F.col("_name"), "left").drop("_name")
+
+
+def pages_from_files(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
+    """page_id, url, html of the HTML files below `path`; the url is the file path."""
+    files = read_html_corpus(spark, path, glob)
+    return number_pages(files).select("page_id", F.col("source").alias("url"), F.col("text").alias("html"))
+
+
 def only_new(pages: DataFrame, indexed: DataFrame, page_source: Column | str = "source",
              indexed_source: Column | str = "source") -> DataFrame:
     """Pages the index does not hold yet; the index side is cut down to distinct page sources first."""

@@ -45,7 +45,8 @@ def answer_stream(questions: DataFrame, index: DataFrame, factory: Callable[...,
                   config: AnswerConfig = AnswerConfig(), trigger: dict | None = None) -> StreamingQuery:
     """Answer arriving questions and log them under `path/batch_id=<n>`.
 
-    A retried batch overwrites its own folder, so nothing is logged twice.
+    A retried batch overwrites its own folder, so nothing is logged twice. Pass a written index and
+    a saved lexical index: what is still lazy would be computed again for every batch.
     """
 
     def answer_batch(batch: DataFrame, batch_id: int) -> None:

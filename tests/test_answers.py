@@ -78,6 +78,8 @@ def test_misaligned_sets_stop(spark):
     for responses in (RESPONSES[:2], RESPONSES + [(9, "q9", [], "")], [(0, "other", [], "")] + RESPONSES[1:]):
         with pytest.raises(PySparkException):
             align(*pair(spark, responses=responses)).collect()
+        with pytest.raises(PySparkException):
+            retrieval_score(align(*pair(spark, responses=responses))).collect()
     assert tuple(alignment_problems(*pair(spark, responses=[(0, "other", [], ""), (7, "q7", [], "")])).first()) == (1, 2, 1, 1)
 
 
@@ -125,6 +127,13 @@ def test_answering(spark, tmp_path):
     assert read_responses(spark, f"{target}/results").count() == 2
 
 
+def test_question_without_hits(spark):
+    index = hash_embed(spark.createDataFrame([], "id long, text string, source string"), "text", 64)
+    asked = spark.createDataFrame([(7, "red fox")], "qid long, query string")
+    row = answer_questions(asked, index, moody_model).first()
+    assert (row["answer"], row["sources"], row["document_ids"], row["error"]) == ("QUERY: RED FOX, CONTEXT: []", [], [], None)
+
+
 def test_conversations(spark):
     chunks = spark.createDataFrame(CHUNKS, "id long, text string, source string")
     index = hash_embed(chunks, "text", 64)

@@ -47,6 +47,9 @@ def test_rerank(spark, predicted, order):
 def test_contexts(spark):
     chunks = spark.createDataFrame([(1, "t1", "s"), (2, "t2", "r"), (3, "t3", "s")], "id long, text string, source string")
     found = attach_chunks(hits(spark, [(9, 1, 1), (9, 0, 3), (9, 2, 2)]), chunks, 3)
+    many = hits(spark, [(9, 1, 1), (9, 0, 3), (8, 0, 1)])
+    ways = [attach_chunks(many, chunks, n, broadcast_hits=2, broadcast_ids=10) for n in (None, 2, 3, 11)]
+    assert all(sorted(w.collect()) == sorted(ways[0].collect()) and w.count() == 3 for w in ways)
     row = collect_context(found).first()
     assert (row["document_ids"], row["texts"], row["sources"]) == ([3, 1, 2], ["t3", "t1", "t2"], ["s", "r"])
     assert collect_context(found, distinct_sources=False).first()["sources"] == ["s", "s", "r"]

@@ -7,7 +7,7 @@ from passagekit.operators.embedding import hash_embed
 from passagekit.plans.answering import AnswerConfig
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index
 from passagekit.schemas import INDEX
-from passagekit.sources.corpus import list_corpus, only_new, read_html_corpus
+from passagekit.sources.corpus import list_corpus, number_pages, only_new, pages_from_files, read_html_corpus
 from passagekit.sources.index_store import (
     create_index_table, insert_index, load_or_build_index, read_index, reset_index, snapshot_index, snapshot_path, write_if_absent,
     write_index,
@@ -31,6 +31,23 @@ def test_files(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[-1] for r in list_corpus(spark, str(tmp_path)).collect()] == ["x.html"]
 
 
+def test_files_become_an_index(spark, tmp_path):
+    root = tmp_path / "docs.ray.io" / "en"
+    root.mkdir(parents=True)
+    for name in ("b", "a"):
+        (root / f"{name}.html").write_text(f'<section id="s">{name} text</section>')
+    rows = build_index(pages_from_files(spark, str(tmp_path)), IndexConfig(model="hash-16")).orderBy("id").collect()
+    assert [(r["id"], r["source"], r["text"]) for r in rows] == [
+        (i << 28, f"https://docs.ray.io/en/{n}.html#s", f"{n} text") for i, n in enumerate("ab")]
+
+
+def test_page_numbers(spark):
+    rows = spark.createDataFrame([(f"s{i % 40:02d}",) for i in range(120)] + [(None,)], "source string").repartition(6)
+    numbered = number_pages(rows, start=5)
+    assert {r["source"]: r["page_id"] for r in numbered.collect()} == {**{f"s{i:02d}": 5 + i for i in range(40)}, None: None}
+    assert numbered.count() == 121
+
+
 def test_build_write_and_snapshot(spark, tmp_path):
     path, copy = str(tmp_path / "index"), str(tmp_path / "copy")
     report = build_and_write(pages_of(spark), path, CONFIG)
