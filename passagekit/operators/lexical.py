@@ -117,7 +117,8 @@ def bm25_index(chunks: DataFrame, id_col: str = "id", text_col: str = "text") ->
     exact = F.sum(F.col("_raw").cast("decimal(24,17)"))  # the same sum whatever the order of the rows
     mean = known.agg((exact.cast("double") / F.count("_raw")).alias("mean_idf")).first()["mean_idf"]
     idf = F.when(F.col("_raw") < 0, F.lit(mean).cast("double") * EPSILON).otherwise(F.col("_raw"))
-    stats = totals.sparkSession.createDataFrame([(n, avgdl, mean)], "n long, avgdl double, mean_idf double")
+    stats = totals.sparkSession.range(1).select(
+        F.lit(n).cast("long").alias("n"), F.lit(avgdl).cast("double").alias("avgdl"), F.lit(mean).cast("double").alias("mean_idf"))
     return LexicalIndex(counted, known.select("term", "df", idf.alias("idf")), stats, avgdl)
 
 

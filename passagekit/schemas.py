@@ -96,13 +96,19 @@ EMBED_BATCH = 100
 MAX_CONTEXT = 4096
 
 
+def _fixed_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A constant table inside the plan: no Python rows, no job, and a known small size."""
+    values = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else str(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS fixed({columns})")
+
+
 def embedding_dims(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EMBEDDING_DIMS, "model string, dim int")
+    return _fixed_table(spark, EMBEDDING_DIMS, "model, dim")
 
 
 def context_lengths(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CONTEXT_LENGTHS, "model string, max_context int")
+    return _fixed_table(spark, CONTEXT_LENGTHS, "model, max_context")
 
 
 def prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRICES, "model string, prompt double, sampled double")
+    return _fixed_table(spark, PRICES, "model, prompt, sampled")

@@ -23,11 +23,22 @@ def build_session(name: str = "passagekit", master: str | None = None, **conf: o
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return ship_package(builder.getOrCreate())
+    return prepare(builder.getOrCreate())
 
 
-def ship_package(spark: SparkSession) -> SparkSession:
-    """Let the executors' Python workers import this package, wherever it lies on the driver. Once per context."""
+# Rows per Arrow batch: a batch of whole pages of some 100 KB each stays near 200 MB.
+ARROW_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Make a session ready for the operators.
+
+    The executors' Python workers get this package, wherever it lies on the driver (once per
+    context), and Arrow batches of long texts get a bound.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ARROW_ROWS:
+        spark.conf.set(setting, ARROW_ROWS)
     context = spark.sparkContext
     if not getattr(context, "_passagekit_shipped", False):
         package = os.path.dirname(os.path.abspath(__file__))
