@@ -122,9 +122,10 @@ EVALUATED = ",\n".join([
 
 
 def _entities(text: str) -> str:
-    for name, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    """The entities of the pages; `&amp` also counts without its semicolon."""
+    for name, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
         text = f"replace({text}, '{name}', '{sign}')"
-    return text
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
 
 
 def _no_tags(html: str) -> str:

@@ -58,7 +58,9 @@ def chunks_of_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rounded(name: str, digits: int = 6) -> Column:
-    return F.round(F.col(name), digits).alias(name)
+    """Rounded in binary as DuckDB does it; Spark's own `round` decides halves by the decimal text."""
+    value, scale = F.col(name).cast("double"), float(10 ** digits)
+    return (F.signum(value) * F.floor(F.abs(value) * scale + 0.5).cast("double") / scale + 0.0).alias(name)
 
 
 # Nearest neighbours and embeddings
