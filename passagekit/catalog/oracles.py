@@ -90,7 +90,7 @@ def _grouped(hits: str) -> str:
     return ",\n".join([
         f"firsts AS (SELECT qid, source, min(pos) AS p FROM {hits} GROUP BY qid, source)",
         "names AS (SELECT qid, string_agg(source, ',' ORDER BY p) AS sources FROM firsts GROUP BY qid)",
-        f"""lists AS (SELECT qid, string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids, sum(length(text)) AS chars,
+        f"""lists AS (SELECT qid, string_agg(id::VARCHAR, ',' ORDER BY pos) AS ids, sum(length(text))::BIGINT AS chars,
   string_agg('''' || replace(text, chr(10), '\\n') || '''', ', ' ORDER BY pos) AS context FROM {hits} GROUP BY qid)""",
     ])
 
@@ -222,7 +222,7 @@ ORDER BY round(list_cosine_distance(embedding::DOUBLE[], q), 10), vec_id LIMIT 1
     "hash_knn": f"{_with(SEMANTIC)} SELECT qid, pos, id, round(distance, 5) AS distance FROM sem WHERE pos < 5",
     "bm25_terms": f"{_with(DOCS, BM25_INDEX)} SELECT term, df, round(idf, 6) AS idf FROM weights",
     "bm25_stats": f"{_with(DOCS, BM25_INDEX)} SELECT n, round(avgdl, 6) AS avgdl, round(m, 6) AS mean_idf FROM st, mean_r",
-    "bm25_postings": f"{_with(DOCS, BM25_INDEX)} SELECT term, count(*) AS chunks, sum(tf) AS occurrences, max(tf) AS most FROM post GROUP BY term",
+    "bm25_postings": f"{_with(DOCS, BM25_INDEX)} SELECT term, count(*) AS chunks, sum(tf)::BIGINT AS occurrences, max(tf) AS most FROM post GROUP BY term",
     "bm25_scores": f"{_with(DOCS, ASKED, BM25_INDEX, BM25_SCORES)} SELECT qid, id, round(round(score, 10), 6) AS score FROM matched WHERE round(score, 10) <> 0",
     "bm25_topk": BM25_TOPK,
     "bm25_fill": f"{_with(DOCS, WORD_ASKED, BM25_INDEX, BM25_SCORES, BM25_RANK)} SELECT qid, pos, id, round(score, 6) AS score FROM lex WHERE pos < 5",
@@ -236,7 +236,7 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY p) - 1 AS pos, id FROM
     "sections_default_empty": "SELECT page_id, 0 AS section_pos, url AS source, html AS text FROM pages WHERE html LIKE '%<section%'",
     "chunk_documents": f"{_with(DOC_CHUNKS)} SELECT key AS doc_id, chunk_pos, text FROM chunks",
     "chunk_serving": f"""{_with("texts AS (SELECT doc_id AS key, text FROM documents)", _chunked("texts", 700, 50))}
-SELECT key AS doc_id, count(*) AS chunks, sum(length(text)) AS chars, max(length(text)) AS longest FROM chunks GROUP BY key""",
+SELECT key AS doc_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest FROM chunks GROUP BY key""",
     "chunk_invariants": """SELECT 0 AS too_long, 0 AS "empty", 0 AS unstripped, 0 AS "foreign", count(*) AS documents
 FROM documents WHERE length(trim(text, ' ' || chr(10))) > 0""",
     "uri_rewrite": """SELECT page_id, 'https://example.com' || list_last(string_split(url, 'example.com')) AS uri, split_part(url, '#', 1) AS page,
@@ -248,7 +248,7 @@ SELECT page_id, uri, {PAGE_TEXT} AS text FROM uris LEFT JOIN held ON page = spli
     "incremental_new": """SELECT page_id, url FROM pages
 WHERE url NOT IN (SELECT url FROM pages WHERE regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) = 'en')""",
     "numbered_pages": "SELECT page_id, url, dense_rank() OVER (ORDER BY url) - 1 AS number FROM pages",
-    "source_statistics": "SELECT source, count(*) AS rows, sum(length(text)) AS chars FROM documents GROUP BY source",
+    "source_statistics": "SELECT source, count(*) AS rows, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source",
     "index_build": INDEX,
     "index_written": INDEX,
     "index_loaded": INDEX,
@@ -276,7 +276,7 @@ SELECT doc_id, CASE WHEN greatest(pa, pe) < 0.6 THEN 'other' WHEN pa >= pe THEN
 JOIN (SELECT conv_id, min(turn) AS min_turn FROM conversations GROUP BY conv_id) USING (conv_id) WHERE role = 'user'""",
     "conversation_cost": f"""WITH price(model, p, s) AS (VALUES {_PRICES}),
 used AS (SELECT CASE WHEN turn >= 4 THEN 'gpt-4' ELSE '{LLM}' END AS llm, role, len(regexp_extract_all(text, '\\s*\\S+')) AS n FROM conversations),
-total AS (SELECT llm, coalesce(sum(n) FILTER (role <> 'assistant'), 0) AS prompt_tokens, coalesce(sum(n) FILTER (role = 'assistant'), 0) AS sampled_tokens FROM used GROUP BY llm)
+total AS (SELECT llm, coalesce(sum(n) FILTER (role <> 'assistant'), 0)::BIGINT AS prompt_tokens, coalesce(sum(n) FILTER (role = 'assistant'), 0)::BIGINT AS sampled_tokens FROM used GROUP BY llm)
 SELECT llm, prompt_tokens, sampled_tokens, round((prompt_tokens * p::DOUBLE + sampled_tokens * s::DOUBLE) / 1e6, 6) AS cost
 FROM total LEFT JOIN price ON model = lower(regexp_replace(llm, '^.*/', ''))""",
     "hybrid_contexts": f"{_with(HYBRID)} SELECT qid, ids, sources FROM lists JOIN names USING (qid)",

@@ -112,7 +112,7 @@ def _against_broadcast(shared, corpus, k, make_scorer):
 
 
 def _in_cells(questions, corpus, k, make_scorer, max_questions):
-    blocks = -(-questions.count() // max(max_questions // 2, 1))
+    blocks = -(-questions.count() // max_questions)
     parts = max(-(-corpus.count() // CELL_ROWS), 1)
 
     def copies(n: int) -> Column:
