@@ -119,8 +119,9 @@ def parse_judge_lines(response: Column) -> Column:
 
 
 def extract_generated(raw: Column) -> Column:
-    """The generated text in a JSON generator output."""
-    return F.coalesce(F.get_json_object(raw, "$.generated_text"), F.lit(UNKNOWN_OUTPUT))
+    """The generated text in a JSON generator output, or a text that says what is wrong with it."""
+    found = F.coalesce(F.get_json_object(raw, "$.generated_text"), F.lit(UNKNOWN_OUTPUT))
+    return F.when(raw.isNull(), STREAM_ERROR).otherwise(found)
 
 
 def format_reply(answer: Column, sources: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagekit.functions.text import GENERATION_ERROR, UNKNOWN_OUTPUT
+from passagekit.functions.text import GENERATION_ERROR, STREAM_ERROR, UNKNOWN_OUTPUT
 from passagekit.schemas import prices
 
 _OUTPUT = T.StructType([T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
@@ -22,6 +22,8 @@ def generated_text(raw: object) -> str:
         return raw
     if isinstance(raw, list) and raw:
         raw = raw[0]
+    if raw is None:
+        return STREAM_ERROR
     return raw["generated_text"] if isinstance(raw, dict) and "generated_text" in raw else UNKNOWN_OUTPUT
 
 
