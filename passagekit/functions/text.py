@@ -16,6 +16,13 @@ GENERATION_ERROR = "Error in generating response."
 SOURCES_HEADING = "\n\n**Sources:**\n"
 MENTION_LENGTH = 15
 
+# The fields of a judge's JSON-like reply, and where words are cut for the classifiers.
+JUDGE_ANSWER = r'"answer"\s*:\s*"([^"]*)"'
+JUDGE_SCORE = r'"score"\s*:\s*([0-9]+)'
+JUDGE_REASONING = r'"reasoning"\s*:\s*"([^"]*)"'
+CAMEL_CASE = "([a-z0-9])([A-Z])"
+TIGHT_PUNCTUATION = r"(?U)([?.,!])(?<=\w[?.,!])(?!\s)"
+
 _PIECE = r"(?U)\s*\S+"
 _SPACES = r"(?U)\s+"
 
@@ -78,12 +85,12 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def split_camel_case(text: Column) -> Column:
-    return collapse_spaces(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
+    return collapse_spaces(F.regexp_replace(text, CAMEL_CASE, "$1 $2"))
 
 
 def normalize_for_classifier(text: Column, subwords: Callable[[Column], Column] | None = None) -> Column:
     """Text as the classifiers see it. The order of the steps matters."""
-    spaced = F.regexp_replace(text, r"(?U)([?.,!])(?<=\w[?.,!])(?!\s)", " $1")
+    spaced = F.regexp_replace(text, TIGHT_PUNCTUATION, " $1")
     blanked = F.translate(spaced, "_-#", "   ")
     plain = F.translate(F.replace(blanked, F.lit(".html"), F.lit("")), ".", " ")
     words = split_camel_case(plain)
@@ -92,16 +99,13 @@ def normalize_for_classifier(text: Column, subwords: Callable[[Column], Column]
 
 def parse_judge_json(response: Column) -> Column:
     """STRUCT(answer, score, reasoning); all empty unless all three fields are there."""
-    answer = r'"answer"\s*:\s*"([^"]*)"'
-    score = r'"score"\s*:\s*([0-9]+)'
-    reasoning = r'"reasoning"\s*:\s*"([^"]*)"'
     found = F.lit(True)
-    for pattern in (answer, score, reasoning):
+    for pattern in (JUDGE_ANSWER, JUDGE_SCORE, JUDGE_REASONING):
         found = found & F.regexp_like(response, F.lit(pattern))
     return F.struct(
-        F.when(found, F.regexp_extract(response, answer, 1)).otherwise("").alias("answer"),
-        F.when(found, F.regexp_extract(response, score, 1).try_cast("double")).alias("score"),
-        F.when(found, F.regexp_extract(response, reasoning, 1)).otherwise("").alias("reasoning"),
+        F.when(found, F.regexp_extract(response, JUDGE_ANSWER, 1)).otherwise("").alias("answer"),
+        F.when(found, F.regexp_extract(response, JUDGE_SCORE, 1).try_cast("double")).alias("score"),
+        F.when(found, F.regexp_extract(response, JUDGE_REASONING, 1)).otherwise("").alias("reasoning"),
     )
 
 
