@@ -69,39 +69,52 @@ def extract_sections(
     )
 
 
-@F.arrow_udf(T.StringType())
-def _text_at(pages: pa.Array, anchors: pa.Array) -> pa.Array:
-    """Text of the element with that id, else of the page. Equal neighbouring pages are parsed once."""
-    texts, last, tree = [], None, None
-    for html, anchor in zip(pages, anchors.to_pylist()):
+# Anchors of one page that are looked up with one copy of its HTML.
+ANCHORS_PER_COPY = 64
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _texts_at(pages: pa.Array, wanted: pa.Array) -> pa.Array:
+    """Text of the first element with each wanted id, else of the whole page. Each page is parsed once."""
+    found = []
+    for html, anchors in zip(pages, wanted.to_pylist()):
         html = html.as_py()
         if html is None:
-            texts.append(None)
+            found.append([None] * len(anchors))
             continue
-        if html != last:
-            last, tree = html, parse(html)
-        target = next((e for e in tree.elements() if anchor and e.attrs.get("id") == anchor), tree)
-        texts.append(target.text())
-    return pa.array(texts, pa.string())
+        tree, by_id = parse(html), {}
+        for element in tree.elements():
+            by_id.setdefault(element.attrs.get("id"), element)
+        texts = {id(e): e.text() for e in {by_id.get(a, tree) if a else tree for a in anchors}}
+        found.append([texts[id(by_id.get(a, tree) if a else tree)] for a in anchors])
+    return pa.array(found, pa.list_(pa.string()))
 
 
 def page_text(pages: DataFrame, html_col: str = "html", into: str = "text") -> DataFrame:
     """The whole text of each page."""
-    return pages.withColumn(into, _text_at(F.col(html_col), F.lit(None).cast("string")))
+    texts = _texts_at.asNondeterministic()(F.col(html_col), F.array(F.lit(None).cast("string")))
+    return pages.withColumn(into, F.get(texts, F.lit(0)))
 
 
 def resolve_uris(uris: DataFrame, pages: DataFrame, uri_col: str = "uri", url_col: str = "url",
                  html_col: str = "html") -> DataFrame:
     """Add `text`: what each URI points to, or NULL if there is no such page.
 
-    Every distinct URI is resolved once, however often it is asked for; adaptive execution splits
-    a page that very many anchors point to.
+    Every distinct URI is resolved once, however often it is asked for. The anchors of a page are
+    cut by hash into groups of about ANCHORS_PER_COPY; each group meets one copy of the HTML, so
+    neither a page with very many anchors nor its text piles up in one group.
     """
     distinct = uris.select(uri_col).distinct().select(
         F.col(uri_col).alias("_uri"), uri_page(F.col(uri_col)).alias("_page"), uri_anchor(F.col(uri_col)).alias("_anchor"))
-    bodies = pages.select(F.col(url_col).alias("_page"), F.col(html_col).alias("_html"))
-    resolved = (
-        distinct.join(bodies, "_page")
-        .select("_uri", _text_at("_html", "_anchor").alias("text"))
+    sizes = distinct.groupBy("_page").agg(F.count(F.lit(1)).alias("_n"))
+    group = F.pmod(F.xxhash64("_uri"), F.ceil(F.col("_n") / ANCHORS_PER_COPY))
+    groups = (
+        distinct.join(sizes, "_page").groupBy("_page", group.alias("_group"))
+        .agg(F.collect_list(F.struct("_uri", "_anchor")).alias("_wanted"))
     )
+    bodies = pages.select(F.col(url_col).alias("_page"), F.col(html_col).alias("_html"))
+    texts = _texts_at.asNondeterministic()(F.col("_html"), F.col("_wanted._anchor"))
+    pairs = groups.join(bodies, "_page").select(F.col("_wanted._uri").alias("_uris"), texts.alias("_texts"))
+    resolved = pairs.select(F.explode(F.arrays_zip("_uris", "_texts")).alias("_pair")).select(
+        F.col("_pair._uris").alias("_uri"), F.col("_pair._texts").alias("text"))
     return uris.join(resolved, uris[uri_col] == resolved["_uri"], "left").drop("_uri")

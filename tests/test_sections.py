@@ -58,9 +58,9 @@ def test_uris_and_tags(spark):
 
 def test_hot_uri_and_hot_page(spark):
     """A third of the requests is one URI, another third points into one page: every row comes back with its text."""
-    body = "".join(f'<p id="a{i}">t{i}</p>' for i in range(60))
+    body = "".join(f'<p id="a{i}">t{i}</p>' for i in range(200))
     pages = spark.createDataFrame([("hot", body)] + [(f"u{i}", f"<p>x{i}</p>") for i in range(20)], "url string, html string")
-    asked = ["hot#a1"] * 60 + [f"hot#a{i}" for i in range(60)] + [f"u{i % 20}" for i in range(60)]
+    asked = ["hot#a1"] * 60 + [f"hot#a{i}" for i in range(200)] + [f"u{i % 20}" for i in range(60)]
     rows = resolve_uris(spark.createDataFrame([(u,) for u in asked], "uri string").repartition(5), pages).collect()
     expected = [(u, "t" + u.split("#a")[1] if "#" in u else "x" + u[1:]) for u in asked]
     assert sorted(map(tuple, rows)) == sorted(expected)
