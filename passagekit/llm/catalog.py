@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from passagekit.llm.common import table
 from passagekit.llm.line_dedup import drop_site_lines
 from passagekit.llm.mixing import mix_sources
+from passagekit.llm.token_count import count_tokens
+
+#: Where the files of the public tokenizers lie; the same on every machine of a cluster.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
@@ -22,6 +31,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op7_token_counts": op7_token_counts,
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
 }
