@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from passagekit.llm.common import table
 from passagekit.llm.line_dedup import drop_site_lines
 from passagekit.llm.mixing import mix_sources
+from passagekit.llm.packing import pack_documents
 from passagekit.llm.token_count import count_tokens
+from passagekit.llm.token_files import session_folder, token_files
 
 #: Where the files of the public tokenizers lie; the same on every machine of a cluster.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -18,6 +20,14 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", session_folder(spark), 50257)
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -31,6 +41,8 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_token_files": op2_token_files,
+    "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
