@@ -13,6 +13,7 @@ from passagekit.llm.mixing import mix_sources
 from passagekit.llm.packing import pack_documents
 from passagekit.llm.token_count import count_tokens
 from passagekit.llm.token_files import session_folder, token_files
+from passagekit.llm.toxicity import score_toxicity
 
 #: Where the files of the public tokenizers lie; the same on every machine of a cluster.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -24,6 +25,10 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", session_folder(spark), 50257)
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -42,6 +47,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
+    "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_mix_sources": op8_mix_sources,
