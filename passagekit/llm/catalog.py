@@ -11,6 +11,7 @@ from passagekit.llm.common import table
 from passagekit.llm.line_dedup import drop_site_lines
 from passagekit.llm.mixing import mix_sources
 from passagekit.llm.packing import pack_documents
+from passagekit.llm.quality import quality_rules
 from passagekit.llm.token_count import count_tokens
 from passagekit.llm.token_files import session_folder, token_files
 from passagekit.llm.toxicity import score_toxicity
@@ -29,6 +30,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = table(spark, folder, "labels").where("quality = 1")
+    return quality_rules(table(spark, folder, "documents"), trusted)
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -48,6 +54,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op4_toxicity": op4_toxicity,
+    "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_mix_sources": op8_mix_sources,
