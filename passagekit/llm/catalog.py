@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passagekit.llm.common import table
+from passagekit.llm.extraction import main_texts
 from passagekit.llm.line_dedup import drop_site_lines
 from passagekit.llm.mixing import mix_sources
 from passagekit.llm.packing import pack_documents
@@ -26,6 +27,10 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", session_folder(spark), 50257)
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(table(spark, folder, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -53,6 +58,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
+    "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
