@@ -16,6 +16,7 @@ from passagekit.llm.quality import quality_rules
 from passagekit.llm.token_count import count_tokens
 from passagekit.llm.token_files import session_folder, token_files
 from passagekit.llm.toxicity import score_toxicity
+from passagekit.llm.voronoi_knn import exact_top_k
 
 #: Where the files of the public tokenizers lie; the same on every machine of a cluster.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -23,6 +24,11 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_voronoi_knn(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return exact_top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", session_folder(spark), 50257)
 
@@ -57,6 +63,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_voronoi_knn": op1_voronoi_knn,
     "op2_token_files": op2_token_files,
     "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
@@ -68,6 +75,14 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_voronoi_knn": """
+WITH parts AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+ints AS (SELECT vec_id, pos, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM parts),
+scores AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.v * d.v) AS BIGINT) AS score
+           FROM ints q JOIN ints d ON q.pos = d.pos AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op8_mix_sources": """
 WITH sizes AS (SELECT source, sum(coalesce(length(text), 0)) AS size FROM documents GROUP BY source),
 weighed AS (SELECT source, size, CASE WHEN size > 0 THEN sqrt(CAST(size AS DOUBLE)) ELSE 0.0 END AS raw FROM sizes),
