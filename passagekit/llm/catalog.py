@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from passagekit.llm.common import table
 from passagekit.llm.extraction import main_texts
+from passagekit.llm.jaccard_join import jaccard_components
 from passagekit.llm.line_dedup import drop_site_lines
 from passagekit.llm.mixing import mix_sources
 from passagekit.llm.packing import pack_documents
@@ -62,6 +63,10 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_site_lines(table(spark, folder, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_token_files": op2_token_files,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op7_token_counts": op7_token_counts,
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {

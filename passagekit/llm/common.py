@@ -31,26 +31,25 @@ def spread_tasks(df: DataFrame) -> int:
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components: one row (node, component) per node of an edge, component its smallest node.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014). A step groups by node with a minimum
-    only, which is combined before the shuffle, and joins the minimum back, which adaptive execution can split; no
-    neighbour list is gathered. Every step is written to the shared folder, so lost executors cost one step.
+    Alternating large-star and small-star steps (Kiveris et al. 2014). A step takes a minimum for each node, which is
+    combined before the shuffle and written, and joins it back, which adaptive execution can split at hot nodes; no
+    neighbour list is gathered. Every step is written to the shared folder, so a lost executor costs no earlier step.
     """
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
     pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(small_low, "a")
-        pairs = stored(
-            star.select("a", F.col("m").alias("b"))
-            .unionByName(star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-            .distinct(), "edges")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    ends = pairs.groupBy("b").agg(F.count("*").alias("n")).select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends)
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = stored(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        star = large.join(low, "a")
+        pairs = stored(
+            star.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -273,7 +273,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-                   threshold: float = 0.7) -> DataFrame:
+                   threshold: float = 0.7, keep: bool = False) -> DataFrame:
     """A score between 0 and 1 for every whole text, and whether it reaches `threshold`.
 
     Tokens with signs among their letters, long repetitions, and runs of single characters become lattices of what may
@@ -281,7 +281,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     are scored: each word has the lowered share of toxic labels among training texts with it or with a word that begins
     alike, and the score is the chance that any of them is toxic. Only texts are looked at for a score.
 
-    Returns key, held_out, score, predicted. A NULL or empty text has the score of no evidence. Keys may be NULL (never
+    Returns key, held_out, score, predicted; with `keep` the whole rows as `row` instead of the key. A NULL or empty text has the score of no evidence. Keys may be NULL (never
     held out, never trained on) or repeat; labels that are NULL or repeat for a key count as the largest one. Without toxic labels every
     text has that score. Other columns are not looked at. No step shuffles texts: the letter model is at most 28^3 counts, the
     labelled rows are at most `TRAINING_ROWS`, the words at most `WORDS`; all three are broadcast within these bounds.
@@ -307,10 +307,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
                 for w in sorted(x for x in map(weight, restorer.words(one or "")) if x):
                     rest *= 1.0 - w
                 scores.append(1.0 - rest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["key", "score"])
-
-    source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    kind = source.schema["key"].dataType.simpleString()
-    scored = source.mapInArrow(run, f"key {kind}, score double")
-    return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score",
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.struct(F.col(f"`{key}`"))
+    source = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
+    kind = source.schema["row"].dataType.simpleString()
+    scored = source.mapInArrow(run, f"row {kind}, score double")
+    mine = F.col("row").getField(key)
+    return scored.select("row" if keep else mine.alias(key), held_out(mine).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
