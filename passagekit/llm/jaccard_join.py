@@ -140,21 +140,21 @@ def _digest(text: Column) -> Column:
 
 
 def _first_keys(texts: DataFrame, n: int, share: int) -> DataFrame:
-    """rep, n and the keys of each text: its smallest hashes, as many as the join asks for."""
+    """rep, digest, n and the keys of each text: its smallest hashes, as many as the join asks for."""
     def run(iterator) -> Iterator[pa.RecordBatch]:
         for batch in batches(iterator, 4 << 20):
             sizes, keys = [], []
-            for one in batch.column(1).to_pylist():
+            for one in batch.column(2).to_pylist():
                 s = shingles(one, n)
                 sizes.append(len(s))
                 keys.append(s[:missing(len(s), share) + common_keys(len(s), share)])
             at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))],
-                names=["rep", "n", "keys"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))],
+                names=["rep", "digest", "n", "keys"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, n long, keys array<long>")
+    return texts.select("rep", "digest", "text").mapInArrow(run, "rep long, digest binary, n long, keys array<long>")
 
 
 def _candidates(firsts: DataFrame, share: int) -> DataFrame:
@@ -241,8 +241,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     clusters = _groups(_candidates(firsts, share))
     links = _links(docs, reps, clusters, key, text, n, share, block)
     found = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    sizes = firsts.groupBy("rep").agg(F.max("n").alias("n"))
-    known = stored(reps.join(sizes, "rep").join(found, "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component")), "known")
+    nameless = docs.where(F.col(f"`{key}`").isNull()).select(
+        F.lit(None).cast("long").alias("rep"), _digest(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("text"))
+    sizes = firsts.select("digest", "n").unionByName(_first_keys(nameless, n, share).select("digest", "n"))
+    sizes = sizes.groupBy("digest").agg(F.max("n").alias("n"))
+    known = stored(sizes.join(reps, "digest", "left").join(found, "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component")), "known")
     out = names.join(known, "digest", "left")
     return out.select(
         F.col("key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),

@@ -73,13 +73,16 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     rates = stored(_thresholds(source_rates(docs, source, text, weights, temperature, epochs)), "source-rates")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     few = rates.count() <= BROADCAST_SOURCES
+    parts = F.transform(F.sequence(F.lit(1), F.col("parts").cast("int")), lambda part: F.struct(
+        part.alias("part"), _number(8, seed, F.col("row")[key], part).alias("at")))
+
+    def copies(one: Column) -> Column:
+        drawn = F.filter(F.sequence(F.lit(1), F.size("cuts")), lambda i: F.element_at("cuts", i) <= one["at"])
+        return F.transform(drawn, lambda i: ((one["part"] - 1) * 1024 + i).cast("long"))
+
     drawn = (
         rows.join(F.broadcast(rates) if few else rates, F.col("row")[source].eqNullSafe(F.col("site")))
-        .select("row", "cuts", F.explode(F.sequence(F.lit(1), F.col("parts").cast("int"))).alias("part"))
-        .select("row", "part", F.size(F.filter("cuts", lambda cut: cut <= _number(8, seed, F.col("row")[key], F.col("part")))).alias("n"))
-        .where("n > 0")
-        .select("row", "part", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-        .select("row", ((F.col("part") - 1) * 1024 + F.col("i")).cast("long").alias("copy"))
+        .select("row", F.explode(F.flatten(F.transform(parts, copies))).alias("copy"))
     )
     dealt = drawn.withColumn("position_key", _number(15, seed + 1, F.col("row")[key], F.col("copy")))
     return (
