@@ -58,18 +58,19 @@ def test_viterbi_is_the_cheapest_way(model):
 
 
 def test_toxicity_awkward_rows(spark):
-    bad = ["some plain words and a zorgle here", "the z0rgle again", "more zorgle text"] * 8
-    good = ["some plain words here", "nothing wrong with text", "more words of the house"] * 8
+    bad = ["some plain words and a zorgle here", "the z0rgle again", "more zorgle text"] * 16
+    good = ["some plain words here", "nothing wrong with text", "more words of the house"] * 16
     texts = [*bad, *good, None, "", "z0rgl3 is new", "zzzzorgle", "x" * 100_000, "z o r g l e", "zorgle"]
     ids = [*range(len(texts) - 2), None, 3]
     docs = awkward(spark, texts, ids=ids)
-    labels = spark.createDataFrame([(i, int(i < 24), None) for i in range(48)] + [(None, 1, 1), (3, 1, 1), (5, None, 0)],
+    labels = spark.createDataFrame([(i, int(i < 48), None) for i in range(96)] + [(None, 1, 1), (3, 1, 1), (5, None, 0)],
                                    "doc_id long, toxic int, quality int")
     out = score_toxicity(docs, labels).collect()
     assert len(out) == len(texts) and all(0 <= r["score"] <= 1 for r in out)
     by = {r["doc_id"]: r for r in out if r["doc_id"] != 3}
-    assert all(by[i]["predicted"] == 1 for i in by if i is not None and i < 24) and not any(by[i]["predicted"] for i in range(24, 50))
-    assert by[50]["predicted"] == 1 and by[51]["predicted"] == 1 and by[52]["predicted"] == 0
+    assert [i for i in by if i is not None and i < 48 and not by[i]["predicted"]] == []
+    assert not any(by[i]["predicted"] for i in range(48, 98))
+    assert by[98]["predicted"] == 1 and by[99]["predicted"] == 1 and by[100]["predicted"] == 0
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
     kept = score_toxicity(docs, labels, keep=True).where("predicted = 0").select("row.*")
     assert kept.columns == docs.columns
@@ -122,7 +123,7 @@ def test_quality_rules(spark):
         if w:
             assert math.isclose(r["ratio"], sum(ratios[ngrams(w)]) / len(ngrams(w)), abs_tol=1e-9)
         assert r["kept"] == bool(w and not r["base_failed"] and r["ratio"] >= quality.THRESHOLD)
-    assert all(out[i]["kept"] for i in range(30)) and not any(out[i]["kept"] for i in range(40, 52)) and out[52]["kept"] == out[0]["kept"]
+    assert all(out[i]["kept"] for i in range(30)) and not out[50]["kept"] and not out[51]["kept"] and out[52]["kept"] == out[0]["kept"]
     raw, target = Counter(), Counter()
     for i, t in zip([*range(53), None, 54, 55], texts):
         for b in ngrams((t or "").encode().split()).tolist() if t else []:
@@ -162,7 +163,7 @@ def test_articles_of_the_test_pages(spark):
 
 
 def test_extraction_awkward_pages(spark):
-    odd = [None, "", "<", "<![foo]>x<p>y", "<![ >z", "&#xD800; &#" + "9" * 5000 + "; <p", "<a<b>c</p></div>", "<p>" * 3000 + "deep",
+    odd = [None, "", "<", "<![foo]>x<p>y", "<![ >z", "&#xD800; &#" + "9" * 5000 + "; &#" + "0" * 5000 + "65; <p", "<a<b>c</p></div>", "<p>" * 3000 + "deep",
            "<div>" * 3000 + "deeper", "plain & text", "<script>only()</script>", "<title>t", "word " * 100_000, "same", "same"]
     rows = [(i, None if i % 3 else f"http://h.example/{i}", t, "s", 1, "b") for i, t in enumerate(odd)] + [(None, "no host", "<p>k</p>", "s", 1, "b")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n long, block string")
