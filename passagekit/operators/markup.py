@@ -60,6 +60,7 @@ class _TreeBuilder(HTMLParser):
         self.root = Element("", {})
         self.open, self.data, self.closed_voids = [self.root], [], []
         self.apart, self.open_names = [], Counter()
+        self.damaged = False
 
     def flush(self, kind: str | None = None) -> None:
         if not self.data:
@@ -108,14 +109,24 @@ class _TreeBuilder(HTMLParser):
         self.data.append(html5.get(name + ";", "&" + name))
 
     def handle_charref(self, name):
-        number = int(name[1:], 16) if name[:1] in "xX" else int(name)
-        text = ""
-        if number < 256:
-            text = bytes([number]).decode("windows-1252", "ignore")
+        digits, base = (name[1:], 16) if name[:1] in "xX" else (name, 10)
+        digits = digits.lstrip("0") or "0"
+        number = int(digits, base) if len(digits) <= 7 else -1
+        if 0 <= number < 256:
+            text = bytes([number]).decode("windows-1252", "ignore") or chr(number)
+        elif 0 < number <= 0x10FFFF and not 0xD800 <= number <= 0xDFFF:
+            text = chr(number)
+        else:
+            text = "\N{REPLACEMENT CHARACTER}"
+        self.data.append(text)
+
+    def parse_marked_section(self, i, report=1):
+        """A marked section of an unknown kind is a comment up to its end."""
         try:
-            self.data.append(text or chr(number))
-        except (ValueError, OverflowError):
-            self.data.append("\N{REPLACEMENT CHARACTER}")
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            self.damaged = True
+            return self.parse_bogus_comment(i)
 
     def special(self, kind, text):
         self.flush()
@@ -138,9 +149,21 @@ class _TreeBuilder(HTMLParser):
             self.special("comment", data)
 
 
-def parse(html: str) -> Element:
+def parse_reported(html: str) -> tuple[Element, bool]:
+    """The tree of a page, and whether markup in it could not be read.
+
+    Reading never fails: from a declaration that the reader gives up on, the page is a comment.
+    """
     builder = _TreeBuilder()
-    builder.feed(html)
-    builder.close()
+    try:
+        builder.feed(html)
+        builder.close()
+    except AssertionError:
+        builder.damaged = True
+        builder.special("comment", builder.rawdata)
     builder.flush()
-    return builder.root
+    return builder.root, builder.damaged
+
+
+def parse(html: str) -> Element:
+    return parse_reported(html)[0]

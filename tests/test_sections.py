@@ -64,3 +64,12 @@ def test_hot_uri_and_hot_page(spark):
     rows = resolve_uris(spark.createDataFrame([(u,) for u in asked], "uri string").repartition(5), pages).collect()
     expected = [(u, "t" + u.split("#a")[1] if "#" in u else "x" + u[1:]) for u in asked]
     assert sorted(map(tuple, rows)) == sorted(expected)
+
+
+def test_bad_markup_is_read_and_loses_no_page(spark):
+    bad = ["<![foo]>", "<![ >", "&#" + "5" * 5000 + ";", "&#xD800;"]
+    html = [f"<section id='a'>one {x}</section><section id='b'>two</section>" for x in bad] + ["<section id='a'>good</section>"]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    rows = extract_sections(pages, domain=None).collect()
+    assert {r["page_id"] for r in rows} == set(range(5))
+    assert [r["text"] for r in rows if r["page_id"] in (2, 3) and r["section_pos"] == 0] == ["one \N{REPLACEMENT CHARACTER}"] * 2
