@@ -95,21 +95,32 @@ def chunk_text(df: DataFrame, chunk_size: int = CHUNK_SIZE, chunk_overlap: int =
     return df.select(*others, F.posexplode(chunks).alias("chunk_pos", text_col))
 
 
-def assign_ids(chunks: DataFrame, page_col: str = "page_id", section_col: str | None = "section_pos",
-               chunk_col: str = "chunk_pos", section_bits: int = 14, chunk_bits: int = 14) -> DataFrame:
-    """Add `id`, packed from page number, section and chunk position.
+def chunks_of_sections(sections: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                       separators: tuple[str, ...] = SEPARATORS) -> Column:
+    """The chunks of a page's sections in one list, each with the anchor of its section."""
+    if overlap > size:
+        raise ValueError(f"overlap {overlap} exceeds chunk size {size}")
 
-    The ids need no shuffle, never collide and stay the same in every run. A number that does not
-    fit its share of the 63 bits stops the job.
-    """
-    page_bits = 63 - section_bits - chunk_bits
+    @F.arrow_udf("array<struct<anchor:string,text:string>>")
+    def split(pages: pa.Array) -> pa.Array:
+        found = [
+            [{"anchor": s["anchor"], "text": c} for s in own.as_py() or [] if s["text"] for c in split_text(s["text"], size, overlap, separators)]
+            for own in pages
+        ]
+        return pa.array(found, pa.list_(pa.struct([("anchor", pa.string()), ("text", pa.string())])))
+
+    return split.asNondeterministic()(sections)
 
+
+def assign_ids(chunks: DataFrame, page_col: str = "page_id", chunk_col: str = "chunk_pos", chunk_bits: int = 28) -> DataFrame:
+    """Add `id`, packed from the page number and the chunk's number on its page, which runs over all its sections.
+
+    The ids need no shuffle, never collide and stay the same in every run. No page that fits in a row has chunks enough
+    to pass its share of the 63 bits; a number that does stops the job.
+    """
     def part(name: str, bits: int) -> Column:
         value = F.col(name).cast("long")
         fits = (value >= 0) & (value < F.lit(1 << bits))
         return F.when(fits, value).otherwise(F.raise_error(F.lit(f"{name} is missing or needs more than {bits} bits")).cast("long"))
 
-    section = part(section_col, section_bits) if section_col else F.lit(0).cast("long")
-    packed = F.shiftleft(part(page_col, page_bits), section_bits + chunk_bits).bitwiseOR(
-        F.shiftleft(section, chunk_bits)).bitwiseOR(part(chunk_col, chunk_bits))
-    return chunks.withColumn("id", packed)
+    return chunks.withColumn("id", F.shiftleft(part(page_col, 63 - chunk_bits), chunk_bits).bitwiseOR(part(chunk_col, chunk_bits)))

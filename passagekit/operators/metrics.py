@@ -5,14 +5,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def with_metrics(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
-    """Count the rows of a stage while a later action runs; read it with `observation.get["rows"]`."""
+def with_metrics(df: DataFrame, stage: str, rows: Column | None = None) -> tuple[DataFrame, Observation]:
+    """Count the rows of a stage (or sum `rows`) while a later action runs; read it with `observation.get["rows"]`."""
     observation = Observation(stage)
-    return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
+    counted = F.count(F.lit(1)) if rows is None else F.coalesce(F.sum(rows), F.lit(0))
+    return df.observe(observation, counted.alias("rows")), observation
 
 
 def timed(action: Callable[[], object], *observations: Observation) -> dict[str, float]:

@@ -55,18 +55,35 @@ def extract_sections(
     `source` is the page URI followed by `#` and the element's id. With `domain=None` the path
     column already holds the URI. Sections without an id are left out unless `require_id` is off.
     """
+    lists = section_lists(pages, container, require_id, html_col, path_col, scheme, domain, keep_direct_comments)
+    keys = [c for c in lists.columns if c not in ("_uri", "_sections")]
+    rows = lists.select(*keys, "_uri", F.explode("_sections").alias("_section"))
+    return rows.select(
+        *keys, F.col("_section.pos").alias("section_pos"),
+        F.concat_ws("#", "_uri", F.nullif(F.col("_section.anchor"), F.lit(""))).alias("source"),
+        F.col("_section.text").alias("text"),
+    )
+
+
+def section_lists(
+    pages: DataFrame,
+    container: str = "section",
+    require_id: bool = True,
+    html_col: str = "html",
+    path_col: str = "url",
+    scheme: str = SCHEME,
+    domain: str | None = DOMAIN,
+    keep_direct_comments: bool = True,
+) -> DataFrame:
+    """One row per page: its other columns, `_uri`, and `_sections`, a list of pos, anchor and text."""
     keys = [c for c in pages.columns if c not in (html_col, path_col, "source", "text")]
     uri = F.col(path_col) if domain is None else path_to_uri(F.col(path_col), scheme, domain)
     find = _section_finder(container, keep_direct_comments)
-    rows = pages.select(*keys, uri.alias("_uri"), F.posexplode(find(html_col)).alias("section_pos", "_section"))
-    anchor = F.nullif(F.col("_section.anchor"), F.lit(""))
+    rows = pages.select(*keys, uri.alias("_uri"), find(html_col).alias("_found"))
+    numbered = F.transform("_found", lambda s, i: F.struct(i.alias("pos"), s["anchor"].alias("anchor"), s["text"].alias("text")))
     if require_id:
-        rows = rows.filter(anchor.isNotNull())
-    return rows.select(
-        *keys, "section_pos",
-        F.concat_ws("#", "_uri", anchor).alias("source"),
-        F.col("_section.text").alias("text"),
-    )
+        numbered = F.filter(numbered, lambda s: F.coalesce(F.length(s["anchor"]), F.lit(0)) > 0)
+    return rows.select(*keys, "_uri", numbered.alias("_sections"))
 
 
 # Anchors of one page that are looked up with one copy of its HTML.

@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 
+from passagekit.plans.index_build import IndexConfig, build_index, chunk_documents
 from passagekit.operators.chunking import SEPARATORS, assign_ids, chunk_text, split_text
 
 GOLDEN = [
@@ -74,8 +75,22 @@ def test_overlap_beyond_size_is_refused(spark):
 
 
 def test_ids_are_packed_and_guarded(spark):
-    rows = spark.createDataFrame([(5, 2, 7)], "page_id long, section_pos int, chunk_pos int")
-    assert assign_ids(rows).first()["id"] == (5 << 28) + (2 << 14) + 7
-    late = spark.createDataFrame([(5, 2, 1 << 14)], "page_id long, section_pos int, chunk_pos int")
+    rows = spark.createDataFrame([(5, 7)], "page_id long, chunk_pos int")
+    assert assign_ids(rows).first()["id"] == (5 << 28) + 7
+    late = spark.createDataFrame([(5, 1 << 28)], "page_id long, chunk_pos int")
     with pytest.raises(PySparkException, match="chunk_pos"):
         assign_ids(late).collect()
+
+
+def test_ids_run_over_all_sections_of_a_page(spark):
+    html = "".join(f"<section id='s{i}'>{'w ' * 400}</section>" for i in range(3))
+    pages = spark.createDataFrame([(5, "http://h/x", html)], "page_id long, url string, html string")
+    rows = build_index(pages, IndexConfig(domain=None)).orderBy("id").collect()
+    assert [r["id"] for r in rows] == [(5 << 28) + i for i in range(len(rows))]
+    assert list(dict.fromkeys(r["source"] for r in rows)) == ["http://h/x#s0", "http://h/x#s1", "http://h/x#s2"]
+
+
+def test_a_very_long_document_has_an_id_for_each_chunk(spark):
+    text = ("x" * 249 + " ") * 16_600
+    rows = chunk_documents(spark.createDataFrame([(1, "s", text)], "doc_id long, source string, text string"))
+    assert (rows.count(), rows.select("id").distinct().count()) == (16_600, 16_600)
