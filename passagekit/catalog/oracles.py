@@ -109,7 +109,7 @@ FROM asked JOIN lists USING (qid) JOIN names USING (qid)"""
 
 EVALUATED = ",\n".join([
     BOTH,
-    "refs AS (SELECT qid, substr(text, 1, 40) AS reference, source AS ref_source FROM sem JOIN docs USING (id) WHERE pos = 0)",
+    "refs AS (SELECT qid, text AS reference, source AS ref_source FROM sem JOIN docs USING (id) WHERE pos = 0)",
     "hits AS (SELECT l.qid, l.pos, l.id, d.text, d.source FROM lex l JOIN docs d USING (id) WHERE pos < 3)",
     _grouped("hits"),
     "pairs AS (SELECT qid, query, reference, ref_source, string_split(sources, ',') AS srcs FROM asked JOIN refs USING (qid) JOIN names USING (qid))",
@@ -188,7 +188,6 @@ INDEXED = ",\n".join([
 INDEX = f"""{_with(INDEXED)}
 SELECT ix.id, text, source, coalesce(buckets, 0) AS buckets, coalesce(peak, 0) AS peak FROM ix LEFT JOIN peaks USING (id)"""
 
-LONGEST_BUDGET = "(SELECT len(regexp_extract_all(max(text), '\\s*\\S+')) FROM benchmark)"
 _PUNCTUATED = "regexp_replace(regexp_replace({}, '([\\p{{L}}\\p{{N}}_])([?.,!])(\\S|$)', '\\1 \\2\\3', 'g'), '([\\p{{L}}\\p{{N}}_])([?.,!])(\\S|$)', '\\1 \\2\\3', 'g')"
 
 
@@ -256,8 +255,11 @@ WHERE url NOT IN (SELECT url FROM pages WHERE regexp_extract(url, '^https?://[^/
     "document_index": f"""{_with(DOC_CHUNKS)}
 SELECT key * 268435456 + chunk_pos AS id, chunks.text, source FROM chunks JOIN documents ON doc_id = key""",
     "token_counts": f"""SELECT doc_id, len(regexp_extract_all(text, '\\s*\\S+')) AS tokens, md5({_trim("text", 100)}) AS first_hundred FROM documents""",
-    "token_budget": f"""WITH m(llm, n) AS (VALUES {_MODELS})
-SELECT llm, greatest(n // 2 - {LONGEST_BUDGET}, 0) AS input_budget, n // 2 AS output_budget, n // 2 < {LONGEST_BUDGET} AS over_budget FROM m""",
+    "token_budget": r"""WITH firsts AS (SELECT conv_id, arg_min(text, (turn, text)) AS system FROM conversations GROUP BY conv_id),
+n AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'meta-llama/Llama-2-70b-chat-hf' ELSE 'gpt-4' END AS llm,
+  CASE WHEN role = 'user' THEN 4096 ELSE 8192 END // 8 AS share, len(regexp_extract_all(system, '\s*\S+')) AS used
+  FROM conversations JOIN firsts USING (conv_id))
+SELECT conv_id, turn, llm, greatest(share - used, 0) AS input_budget, share AS output_budget, share < used AS over_budget FROM n""",
     "prompt_rows": f"""WITH p AS (SELECT doc_id, '{SYSTEM} ' || {_trim("'query: ' || lang || ', context: [''' || replace(text, chr(10), '\\n') || ''']'", 150)} AS prompt
   FROM documents) SELECT doc_id, length(prompt) AS chars, md5(prompt) AS prompt_md5 FROM p""",
     "normalize_text": f"SELECT doc_id, md5({_NORMAL}) AS normal, md5({_camel('text')}) AS camel FROM documents",

@@ -27,7 +27,6 @@ from passagekit.operators.sections import extract_sections, page_text, resolve_u
 from passagekit.plans.answering import AnswerConfig, answer_questions, conversation_requests, question_contexts, run_experiment
 from passagekit.plans.evaluating import evaluate
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index, chunk_documents
-from passagekit.schemas import context_lengths
 from passagekit.session import materialize, new_path, spread
 from passagekit.sources.corpus import number_pages, only_new, read_responses
 from passagekit.sources.index_store import load_or_build_index, read_index, snapshot_index
@@ -302,10 +301,12 @@ def token_counts(spark, folder):
 
 
 def token_budget(spark, folder):
-    """Budgets of every known model, with each question as the system text length."""
-    longest = questions_of(spark, folder).agg(F.max("query").alias("text")).first()["text"]
-    models = context_lengths(spark).select(F.col("model").alias("llm"))
-    return context_budget(models, "llm", longest, "")
+    """The budget of every turn of a conversation, its first turn being the system text and the speaker choosing the model."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", F.struct("turn", "text")).alias("system"))
+    rows = turns.select("conv_id", "turn", F.when(F.col("role") == "user", LLM).otherwise("gpt-4").alias("llm"))
+    budgets = context_budget(rows.join(first, "conv_id"), "llm", F.col("system"), share=0.125)
+    return budgets.select("conv_id", "turn", "llm", "input_budget", "output_budget", "over_budget")
 
 
 def prompt_rows(spark, folder):
@@ -445,7 +446,7 @@ def _references(spark, folder):
     documents, asked = chunks_of_documents(spark, folder), questions_of(spark, folder)
     nearest = knn(hash_embed(asked, "query", DIM), hash_embed(documents, "text", DIM), 1).select("qid", "id")
     found = attach_chunks(nearest, documents, asked.count())
-    return asked.join(found, "qid").select("qid", F.col("query").alias("question"), F.substring("text", 1, 40).alias("answer"), "source")
+    return asked.join(found, "qid").select("qid", F.col("query").alias("question"), F.col("text").alias("answer"), "source")
 
 
 def _responses(spark, folder):

@@ -20,16 +20,19 @@ def attach_chunks(hits: DataFrame, chunks: DataFrame, max_hits: int | None = Non
 
     `max_hits` is a proven bound on the number of hits (questions x k). Few hits are broadcast to
     the chunks. Of more hits only the ids are broadcast, which leaves the chunks that were hit for
-    an ordinary join. Without a bound, or beyond both, both sides are shuffled by id.
+    an ordinary join. Without a bound, or beyond both, both sides are shuffled by id. A hit whose id the chunks lack, as
+    from an index that is older or newer, stops the job.
     """
-    body = chunks.select(F.col(id_col).alias("id"), "text", "source")
-    if max_hits is None or max_hits > broadcast_ids:
-        return body.join(hits, "id")
-    if max_hits <= broadcast_hits:
-        return body.join(F.broadcast(hits), "id")
-    hits = materialize(hits)
-    wanted = F.broadcast(hits.select("id").distinct())
-    return body.join(wanted, "id", "left_semi").join(hits, "id")
+    body = chunks.select(F.col(id_col).alias("id"), "text", "source", F.lit(True).alias("_known"))
+    if max_hits is not None and max_hits <= broadcast_ids:
+        hits = materialize(hits)
+        ids = F.broadcast(hits.select("id").distinct()) if max_hits > broadcast_hits else F.broadcast(hits.select("id"))
+        body = body.join(ids, "id", "left_semi")
+    found = hits.join(body, "id", "left")
+    known = F.when(F.col("_known"), F.col("text")).otherwise(
+        F.raise_error(F.concat(F.lit("no chunk has the id of a hit: "), F.col("id").cast("string"))).cast("string"))
+    others = [c for c in hits.columns if c != "id"]
+    return found.select("id", known.alias("text"), "source", *others)
 
 
 def splice(semantic: DataFrame, lexical: DataFrame, k: int, dedup: bool = False) -> DataFrame:

@@ -13,17 +13,21 @@ from passagekit.schemas import MAX_CONTEXT, context_lengths
 Tokenizer = Callable[[], object] | None
 
 
-def context_budget(df: DataFrame, llm_col: str = "llm", system: str = "", assistant: str = "", share: float = 0.5,
-                   default: int | None = MAX_CONTEXT, tokenizer: Tokenizer = None) -> DataFrame:
+def context_budget(df: DataFrame, llm_col: str = "llm", system: str | Column = "", assistant: str | Column = "", share: float = 0.5,
+                   default: int | None = MAX_CONTEXT, tokenizer: Tokenizer = None, max_context: int | None = None) -> DataFrame:
     """Add input_budget, output_budget and `over_budget`.
 
     Half of the model's context is for the answer; the system and assistant texts come off the
-    other half. An input budget below zero becomes 0 and is flagged.
+    other half. An input budget below zero becomes 0 and is flagged. The context is `max_context` if given, else that of
+    the table of models, else `default`. The texts may be columns.
     """
     limits = F.broadcast(context_lengths(df.sparkSession).withColumnRenamed("model", "_model"))
     joined = df.join(limits, df[llm_col] == limits["_model"], "left").drop("_model")
-    share_tokens = F.floor(F.coalesce("max_context", F.lit(default)) * share).cast("int")
-    spare = share_tokens - count_tokens(F.lit(system + assistant), tokenizer)
+    context = F.lit(max_context) if max_context is not None else F.coalesce("max_context", F.lit(default))
+    share_tokens = F.floor(context * share).cast("int")
+    parts = [x if isinstance(x, Column) else F.lit(x) for x in (system, assistant)]
+    used = F.concat(*[F.coalesce(x.cast("string"), F.lit("")) for x in parts])
+    spare = share_tokens - count_tokens(used, tokenizer)
     return joined.select(
         *df.columns,
         F.greatest(spare, F.lit(0)).alias("input_budget"),

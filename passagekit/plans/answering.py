@@ -18,7 +18,7 @@ from passagekit.operators.knn import knn
 from passagekit.operators.lexical import LexicalIndex, bm25_topk
 from passagekit.operators.prompts import build_prompt, context_budget
 from passagekit.operators.topk import MAX_QUESTIONS
-from passagekit.schemas import LEXICAL_K, MAX_CONTEXT, NUM_CHUNKS, RERANK_K, RERANK_THRESHOLD
+from passagekit.schemas import LEXICAL_K, NUM_CHUNKS, RERANK_K, RERANK_THRESHOLD
 from passagekit.sources.records import write_responses
 
 
@@ -34,7 +34,8 @@ class AnswerConfig:
     rerank_k: int = RERANK_K
     tag_pattern: str = TAG_PATTERN
     llm: str = "meta-llama/Llama-2-70b-chat-hf"
-    max_context_length: int = MAX_CONTEXT
+    max_context_length: int | None = None  # None: that of the model
+    tokenizer: Callable[[], object] | None = None
     system_content: str = ""
     assistant_content: str = ""
     context_format: str = "texts"
@@ -91,9 +92,10 @@ def question_contexts(questions: DataFrame, index: DataFrame, lexical: LexicalIn
 def prompts_for(contexts: DataFrame, config: AnswerConfig = AnswerConfig()) -> DataFrame:
     """Add llm, budgets and prompt."""
     named = contexts if "llm" in contexts.columns else contexts.withColumn("llm", F.lit(config.llm))
-    budgeted = context_budget(named, "llm", config.system_content, config.assistant_content, default=config.max_context_length)
+    budgeted = context_budget(named, "llm", config.system_content, config.assistant_content,
+                              tokenizer=config.tokenizer, max_context=config.max_context_length)
     column = "chunks" if config.context_format == "dicts" else "texts"
-    return build_prompt(budgeted, "query", column, config.system_content, config.assistant_content)
+    return build_prompt(budgeted, "query", column, config.system_content, config.assistant_content, tokenizer=config.tokenizer)
 
 
 def answer_questions(questions: DataFrame, index: DataFrame, factory: Callable[..., object],
@@ -113,7 +115,7 @@ def run_experiment(name: str, questions: DataFrame, index: DataFrame, factory: C
     `notes` adds what the configuration does not know, such as chunk size or temperature.
     """
     results = answer_questions(questions, index, factory, lexical, reranker, config, **options)
-    record = {"experiment_name": name, **(notes or {}), **{k: v for k, v in asdict(config).items() if k != "models"}}
+    record = {"experiment_name": name, **(notes or {}), **{k: v for k, v in asdict(config).items() if k not in ("models", "tokenizer")}}
     return write_responses(results, record, path)
 
 
@@ -137,10 +139,10 @@ def route_conversations(requests: DataFrame, index: DataFrame, factory: Callable
     """Answer single-message requests from the index and follow-ups straight from the model.
 
     `requests` holds conv_id and messages (role, content). Result: conv_id, question, sources,
-    document_ids, answer, llm, error. Follow-ups have no sources or ids.
+    document_ids, answer, llm, error. Follow-ups, and requests without messages, have no sources or ids.
     """
     first_content = F.get("messages", F.lit(0))["content"]
-    single = F.size("messages") == 1
+    single = F.coalesce(F.size("messages") == 1, F.lit(False))
     first = requests.filter(single).select(F.col("conv_id").alias("qid"), first_content.alias("query"))
     fresh = answer_questions(first, index, factory, lexical, reranker, config).withColumnRenamed("qid", "conv_id")
     contents = F.array_join(F.transform("messages", lambda m: m["content"]), " ")
