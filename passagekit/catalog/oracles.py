@@ -102,11 +102,18 @@ def _trim(text: str, n: int) -> str:
 HYBRID = ",\n".join([
     BOTH, SPLICED, "hits AS (SELECT s.*, d.text, d.source FROM spliced s JOIN docs d USING (id))", _grouped("hits"),
 ])
-ANSWERS = f"""{_with(HYBRID)}
-SELECT qid, ids, sources, md5('{SYSTEM} ' || {_trim("'query: ' || query || ', context: [' || context || ']'", 2048 - len(SYSTEM.split()))}) AS answer,
-  '{LLM}' AS llm
+def _answers(limit: str, llm: str = f"'{LLM}'", before: str = "") -> str:
+    """Answers as md5 of the prompt, trimmed to `limit` tokens, with something before it."""
+    user = _trim("'query: ' || query || ', context: [' || context || ']'", limit)
+    return f"""{_with(HYBRID)}
+SELECT qid, ids, sources, md5({before}'{SYSTEM} ' || {user}) AS answer, {llm} AS llm
 FROM asked JOIN lists USING (qid) JOIN names USING (qid)"""
 
+
+_SYSTEM_TOKENS = len(SYSTEM.split())
+ANSWERS = _answers(2048 - _SYSTEM_TOKENS)
+_ROUTED = f"CASE WHEN qid % 2 = 0 THEN '{LLM}' ELSE 'gpt-4' END"
+
 EVALUATED = ",\n".join([
     BOTH,
     "refs AS (SELECT qid, text AS reference, source AS ref_source FROM sem JOIN docs USING (id) WHERE pos = 0)",
@@ -283,6 +290,11 @@ SELECT llm, prompt_tokens, sampled_tokens, round((prompt_tokens * p::DOUBLE + sa
 FROM total LEFT JOIN price ON model = lower(regexp_replace(llm, '^.*/', ''))""",
     "hybrid_contexts": f"{_with(HYBRID)} SELECT qid, ids, sources FROM lists JOIN names USING (qid)",
     "answer_questions": ANSWERS,
+    "routed_answers": _answers(f"(CASE WHEN qid % 2 = 0 THEN 2048 ELSE 4096 END - {_SYSTEM_TOKENS})", _ROUTED,
+                               f"{_ROUTED} || CASE WHEN qid % 2 = 0 THEN '|2048|' ELSE '|4096|' END || "),
+    "answers_short_context": _answers(200 - _SYSTEM_TOKENS),
+    "bad_markup": """SELECT page_id, 0 AS section_pos, url || '#a' AS source, NULL::VARCHAR AS text FROM pages
+UNION ALL SELECT page_id, 1, url || '#b', url FROM pages""",
     "experiment_record": ANSWERS,
     "answer_stream": ANSWERS,
     "answer_log": """SELECT 'finished streaming query' AS event, source AS llm, 2 * count(*) AS events, count(DISTINCT doc_id) AS documents,

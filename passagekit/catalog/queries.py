@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.catalog.stubs import fingerprint_model, length_judge, vowel_logits, vowel_model
+from passagekit.catalog.stubs import fingerprint_model, length_judge, named_model, vowel_logits, vowel_model
 from passagekit.functions.text import (
     count_tokens, extract_generated, format_chat_reply, format_reply, normalize_for_classifier, parse_judge_json,
     parse_judge_lines, split_camel_case, strip_mention, thread_of, trim_tokens,
@@ -409,6 +410,31 @@ def answer_questions_query(spark, folder):
     return _answer_columns(answer_questions(questions_of(spark, folder), index, fingerprint_model, lexical, config=ANSWER_CONFIG))
 
 
+def routed_answers(spark, folder):
+    """Every other question goes to another model, which is called by its name and with its own share of tokens."""
+    index, lexical = _index_and_lexical(spark, folder)
+    llm = F.when(F.col("qid") % 2 == 0, LLM).otherwise("gpt-4")
+    asked = questions_of(spark, folder).withColumn("llm", llm)
+    models = {LLM: named_model, "gpt-4": named_model}
+    return _answer_columns(answer_questions(asked, index, models, lexical, config=ANSWER_CONFIG))
+
+
+def answers_short_context(spark, folder):
+    """A context length that the configuration gives goes before that of the model."""
+    index, lexical = _index_and_lexical(spark, folder)
+    config = replace(ANSWER_CONFIG, max_context_length=400)
+    return _answer_columns(answer_questions(questions_of(spark, folder), index, fingerprint_model, lexical, config=config))
+
+
+def bad_markup(spark, folder):
+    """Pages with markup that parsers give up on, in front of their article: every section is still returned."""
+    bad = F.element_at(F.array(*map(F.lit, ("<![foo]>", "<![ >", "&#" + "5" * 5000 + ";", "&#xD800;"))), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = table(spark, folder, "pages").select(
+        "page_id", "url", F.concat(F.lit("<section id='a'>x "), bad, F.lit("</section><section id='b'>"), F.col("url"), F.lit("</section>")).alias("html"))
+    rows = extract_sections(pages, domain=None)
+    return rows.select("page_id", "section_pos", "source", F.when(F.col("section_pos") == 1, F.col("text")).alias("text"))
+
+
 def experiment_record(spark, folder):
     """Answers written with their configuration and read back as responses."""
     index, lexical = _index_and_lexical(spark, folder)
@@ -564,6 +590,9 @@ QUERIES: dict[str, Query] = {
     "conversation_cost": conversation_cost,
     "hybrid_contexts": hybrid_contexts,
     "answer_questions": answer_questions_query,
+    "routed_answers": routed_answers,
+    "answers_short_context": answers_short_context,
+    "bad_markup": bad_markup,
     "experiment_record": experiment_record,
     "answer_stream": answer_stream_query,
     "answer_log": answer_log,

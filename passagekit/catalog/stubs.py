@@ -10,6 +10,11 @@ def fingerprint_model():
     return lambda prompt: {"generated_text": hashlib.md5(prompt.encode()).hexdigest()}
 
 
+def named_model(llm):
+    """A generator that answers with the md5 of its name, its share of tokens and its prompt."""
+    return lambda prompt, max_tokens: hashlib.md5(f"{llm}|{max_tokens}|{prompt}".encode()).hexdigest()
+
+
 def length_judge():
     """A judge that scores a prompt by its length."""
     return lambda prompt: f"{len(prompt) % 5}\nlength {len(prompt)}"

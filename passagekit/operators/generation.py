@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from functools import partial
+from typing import Tuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,6 +65,37 @@ def generate(df: DataFrame, factory: Callable[..., object], prompt_col: str = "p
     return out.select(*kept, F.col("_out.answer").alias(into), F.col("_out.error").alias("error"))
 
 
+def generate_by_name(df: DataFrame, factories: Mapping[str, Callable[..., object]], prompt_col: str = "prompt", llm_col: str = "llm",
+                     max_tokens_col: str | None = "output_budget", max_retries: int = 0, retry_interval: float = 60.0,
+                     fallback: str = GENERATION_ERROR, partitions: int | None = None, into: str = "answer", **options: object) -> DataFrame:
+    """`generate` with the model that each row names.
+
+    `factories[name](llm=name, **options)` runs once per partition that needs it and returns a function from a prompt and
+    `max_tokens` to a text. A name without a factory yields the fallback and an error.
+    """
+    @F.arrow_udf(_OUTPUT)
+    def run(batches: Iterator[Tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        models: dict[str, object] = {}
+        for prompts, names, budgets in batches:
+            rows = []
+            for prompt, name, budget in zip(prompts.to_pylist(), names.to_pylist(), budgets.to_pylist()):
+                if prompt is None:
+                    rows.append({"answer": None, "error": "no prompt"})
+                elif name not in factories:
+                    rows.append({"answer": fallback, "error": f"no model is named {name}"})
+                else:
+                    if name not in models:
+                        models[name] = factories[name](llm=name, **options)
+                    rows.append(_ask(partial(models[name], max_tokens=budget), prompt, max_retries, retry_interval, fallback))
+            yield pa.array(rows, pa.struct([("answer", pa.string()), ("error", pa.string())]))
+
+    spread = df.repartition(partitions) if partitions else df
+    budget = F.col(max_tokens_col).cast("int") if max_tokens_col else F.lit(None).cast("int")
+    out = spread.withColumn("_out", run.asNondeterministic()(F.col(prompt_col), F.col(llm_col), budget))
+    kept = [c for c in df.columns if c not in (into, "error")]
+    return out.select(*kept, F.col("_out.answer").alias(into), F.col("_out.error").alias("error"))
+
+
 def send_request(df: DataFrame, factory: Callable[..., object], prompt_col: str = "prompt", max_retries: int = 1,
                  retry_interval: float = 60.0, **options: object) -> DataFrame:
     """`generate` as a remote service is called: one retry, then an empty answer."""

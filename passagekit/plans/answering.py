@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -13,7 +13,7 @@ from passagekit.functions.uris import TAG_PATTERN
 from passagekit.operators.classify import classify_with_threshold
 from passagekit.operators.embedding import embed_with
 from passagekit.operators.fusion import attach_chunks, collect_context, rerank_by_tag, splice, truncate_hits
-from passagekit.operators.generation import generate, send_request
+from passagekit.operators.generation import generate, generate_by_name, send_request
 from passagekit.operators.knn import knn
 from passagekit.operators.lexical import LexicalIndex, bm25_topk
 from passagekit.operators.prompts import build_prompt, context_budget
@@ -98,12 +98,17 @@ def prompts_for(contexts: DataFrame, config: AnswerConfig = AnswerConfig()) -> D
     return build_prompt(budgeted, "query", column, config.system_content, config.assistant_content, tokenizer=config.tokenizer)
 
 
-def answer_questions(questions: DataFrame, index: DataFrame, factory: Callable[..., object],
+def answer_questions(questions: DataFrame, index: DataFrame, factory: Callable[..., object] | Mapping[str, Callable[..., object]],
                      lexical: LexicalIndex | None = None, reranker: PipelineModel | None = None,
                      config: AnswerConfig = AnswerConfig(), **options: object) -> DataFrame:
-    """qid, question, sources, document_ids, answer, llm, error."""
+    """qid, question, sources, document_ids, answer, llm, error.
+
+    With factories by name, each question is answered by the model in its `llm` column (else that of the configuration),
+    which is told its share of tokens.
+    """
     contexts = question_contexts(questions, index, lexical, reranker, config)
-    answered = generate(prompts_for(contexts, config), factory, **options)
+    call = generate_by_name if isinstance(factory, Mapping) else generate
+    answered = call(prompts_for(contexts, config), factory, **options)
     return answered.select("qid", F.col("query").alias("question"), "sources", "document_ids", "answer", "llm", "error")
 
 
