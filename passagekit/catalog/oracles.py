@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from passagekit.functions.uris import DOMAIN
 from passagekit.schemas import CONTEXT_LENGTHS, PRICES
 
 SYSTEM = "Answer the query using the context provided. Be succinct."
@@ -293,6 +294,13 @@ FROM total LEFT JOIN price ON model = lower(regexp_replace(llm, '^.*/', ''))""",
     "routed_answers": _answers(f"(CASE WHEN qid % 2 = 0 THEN 2048 ELSE 4096 END - {_SYSTEM_TOKENS})", _ROUTED,
                                f"{_ROUTED} || CASE WHEN qid % 2 = 0 THEN '|2048|' ELSE '|4096|' END || "),
     "answers_short_context": _answers(200 - _SYSTEM_TOKENS),
+    "sections_nested": f"""SELECT page_id, 0 AS section_pos, 'https://{DOMAIN}/p/' || page_id || '.html#o' || page_id AS source,
+  'one ' || page_id || chr(10) || 'mid' || chr(10) || 'tail' AS text FROM pages
+UNION ALL SELECT page_id, 1, 'https://{DOMAIN}/p/' || page_id || '.html#i', 'in ' || url FROM pages""",
+    "resolve_anchors": f"""WITH p AS (SELECT page_id, 'data/{DOMAIN}/p/' || page_id || '.html' AS base,
+  'one ' || page_id || ' mid in ' || url || 'tail' AS outside, 'in ' || url AS inside FROM pages)
+SELECT page_id, base || '#o' || page_id AS uri, outside AS text FROM p UNION ALL SELECT page_id, base || '#i', inside FROM p
+UNION ALL SELECT page_id, base || '#missing', outside || 'none' FROM p UNION ALL SELECT page_id, base, outside || 'none' FROM p""",
     "bad_markup": """SELECT page_id, 0 AS section_pos, url || '#a' AS source, NULL::VARCHAR AS text FROM pages
 UNION ALL SELECT page_id, 1, url || '#b', url FROM pages""",
     "experiment_record": ANSWERS,

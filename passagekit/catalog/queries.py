@@ -13,7 +13,7 @@ from passagekit.functions.text import (
     count_tokens, extract_generated, format_chat_reply, format_reply, normalize_for_classifier, parse_judge_json,
     parse_judge_lines, split_camel_case, strip_mention, thread_of, trim_tokens,
 )
-from passagekit.functions.uris import path_to_uri, tag_of, uri_anchor, uri_page
+from passagekit.functions.uris import DOMAIN, path_to_uri, tag_of, uri_anchor, uri_page
 from passagekit.operators.chunking import chunk_text
 from passagekit.operators.classify import classify_with_threshold, fit_router, fit_tag_classifier, route, softmax_classify
 from passagekit.operators.embedding import check_dim, embed, hash_embed
@@ -435,6 +435,28 @@ def bad_markup(spark, folder):
     return rows.select("page_id", "section_pos", "source", F.when(F.col("section_pos") == 1, F.col("text")).alias("text"))
 
 
+def _nested_pages(spark, folder):
+    """Pages of nested sections, one of them without an id, around each page's URL."""
+    page = F.col("page_id").cast("string")
+    html = F.concat(F.lit("<section id='o"), page, F.lit("'><p>one "), page, F.lit("</p> mid <section id='i'><p>in "), F.col("url"),
+                    F.lit("</p></section><p>tail</p></section><section><p>none</p></section>"))
+    path = F.concat(F.lit(f"data/{DOMAIN}/p/"), page, F.lit(".html"))
+    return table(spark, folder, "pages").select("page_id", path.alias("url"), html.alias("html"))
+
+
+def sections_nested(spark, folder):
+    """Sections by default: own text only, without those that have no id."""
+    return extract_sections(_nested_pages(spark, folder))
+
+
+def resolve_anchors(spark, folder):
+    """What anchors point to: an outer and an inner element, one that is missing, and none."""
+    pages = _nested_pages(spark, folder)
+    ends = F.array(F.concat(F.lit("#o"), F.col("page_id").cast("string")), F.lit("#i"), F.lit("#missing"), F.lit(""))
+    uris = pages.select("page_id", F.explode(F.transform(ends, lambda e: F.concat("url", e))).alias("uri"))
+    return resolve_uris(uris, pages.select("url", "html"))
+
+
 def experiment_record(spark, folder):
     """Answers written with their configuration and read back as responses."""
     index, lexical = _index_and_lexical(spark, folder)
@@ -593,6 +615,8 @@ QUERIES: dict[str, Query] = {
     "routed_answers": routed_answers,
     "answers_short_context": answers_short_context,
     "bad_markup": bad_markup,
+    "sections_nested": sections_nested,
+    "resolve_anchors": resolve_anchors,
     "experiment_record": experiment_record,
     "answer_stream": answer_stream_query,
     "answer_log": answer_log,

@@ -88,6 +88,8 @@ def section_lists(
 
 # Anchors of one page that are looked up with one copy of its HTML.
 ANCHORS_PER_COPY = 64
+# Pages asked for up to this many (their names, some 100 bytes each) are broadcast as a filter.
+ASKED_PAGES = 100_000
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -130,6 +132,9 @@ def resolve_uris(uris: DataFrame, pages: DataFrame, uri_col: str = "uri", url_co
         .agg(F.collect_list(F.struct("_uri", "_anchor")).alias("_wanted"))
     )
     bodies = pages.select(F.col(url_col).alias("_page"), F.col(html_col).alias("_html"))
+    names = distinct.select("_page").distinct()
+    if names.limit(ASKED_PAGES + 1).count() <= ASKED_PAGES:  # few pages are asked for: only their HTML is moved
+        bodies = bodies.join(F.broadcast(names), "_page", "left_semi")
     texts = _texts_at.asNondeterministic()(F.col("_html"), F.col("_wanted._anchor"))
     pairs = groups.join(bodies, "_page").select(F.col("_wanted._uri").alias("_uris"), texts.alias("_texts"))
     resolved = pairs.select(F.explode(F.arrays_zip("_uris", "_texts")).alias("_pair")).select(
