@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from passagekit.catalog.queries import QUERIES
 from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     rows = driver.queries()[name](spark, FOLDER)
     sql = driver.oracle_sql().get(name)
