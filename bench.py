@@ -19,7 +19,8 @@ HEADLINE = [
     "knn_topk", "hash_knn", "hash_embed_weights", "bm25_terms", "bm25_topk", "bm25_fill", "hybrid_splice", "rerank_by_source",
     "sections_article", "chunk_documents", "chunk_serving", "page_texts", "resolve_uris", "index_build", "index_written",
     "index_stream", "document_index", "token_counts", "prompt_rows", "normalize_text", "tag_classifier", "conversation_cost",
-    "hybrid_contexts", "answer_questions", "answer_stream", "judged_scores",
+    "hybrid_contexts", "answer_questions", "answer_stream", "judged_scores", "bm25_saved_index", "bm25_scores", "token_budget",
+    "conversation_routes",
 ]
 WARM_UP = ["knn_topk", "index_build", "hybrid_contexts"]
 

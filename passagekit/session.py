@@ -73,9 +73,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a table that several later jobs read, and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table that several later jobs read as Parquet, and go on from the written copy, which keeps column pruning."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
