@@ -8,11 +8,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagekit.llm.common import stored
+from passagekit.llm.jaccard_join import shingles
 from passagekit.llm.units import batches
 
 #: What stands for which letters (fixed values).
@@ -32,12 +34,17 @@ LONGEST = 40
 TRAINING_ROWS, WORDS = 200_000, 4096
 #: Least evidence of a word (G squared), least documents, deviations that its share is lowered by, score without any word.
 EVIDENCE, LEAST, DEVIATIONS, PRIOR = 25.0, 3, 1.5, 0.01
-KEPT = 200_000
+#: A word stands for itself from this evidence, this many toxic texts and this share of them on.
+ALONE, LEAST_ALONE, COMMON = 40.0, 10, 0.02
+KEPT = 120_000
 _TRIPLE = re.compile(r"(.)\1\1", re.S)
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz*^"
+
+
 def symbol(c: str) -> str:
     """A letter as the language model sees it: a to z, or one class of all others."""
     return c if "a" <= c <= "z" else "*"
@@ -51,7 +58,7 @@ class CharModel:
     cost: dict[str, dict[str, float]] = field(default_factory=dict)
 
     def __post_init__(self):
-        letters = [chr(97 + i) for i in range(26)] + ["*", "^"]
+        letters = LETTERS
         tri, bi, uni = Counter(), Counter(), Counter()
         for g, n in self.counts.items():
             tri[g] += n
@@ -159,16 +166,24 @@ class Restorer:
                 words += [x for x in _LETTERS.findall(part) if len(x) > 2]
         return tuple(dict.fromkeys(words))
 
+    def spaced(self, tokens: set[str], low: str) -> list[str]:
+        """The words of runs of single characters, if the text has characters enough that stand alone."""
+        if sum(len(t) == 1 for t in tokens) < 3:
+            return []
+        out: list[str] = []
+        for run in _SPACED.finditer(low):
+            letters = "".join(run[0].split())
+            for at in range(0, len(letters), LONGEST):
+                out += viterbi(lattice(letters[at:at + LONGEST], spaced=True), self.model).split()
+        return out
+
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
         low = text.lower()
-        out: set[str] = set()
-        for token in set(low.split()):
+        tokens = set(low.split())
+        out = set(self.spaced(tokens, low))
+        for token in tokens:
             out.update(self.token(token))
-        for run in _SPACED.finditer(low):
-            letters = "".join(run[0].split())
-            for at in range(0, len(letters), LONGEST):
-                out.update(viterbi(lattice(letters[at:at + LONGEST], spaced=True), self.model).split())
         return out
 
 
@@ -188,17 +203,28 @@ def features(word: str) -> list[str]:
 def char_counts(docs: DataFrame, text: str) -> dict[str, int]:
     """Trigram counts of all words of all texts; summed in each task, then over tasks, at most 28^3 rows."""
     def run(iterator) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts = np.zeros(28 ** 3, np.int64)
         for batch in batches(iterator, 4 << 20):
             words: Counter[str] = Counter()
             for one in batch.column(0).to_pylist():
                 words.update((one or "").lower().split())
-            for word, n in words.items():
-                if word.isalpha():
-                    for g in word_trigrams(word):
-                        counts[g] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                                         names=["gram", "n"])
+            words = {w: n for w, n in words.items() if w.isalpha()}
+            if not words:
+                continue
+            points = np.frombuffer(("\0\0" + "\0\0".join(words)).encode("utf-32-le"), "<u4")
+            codes = np.where(points == 0, 27, np.where((points >= 97) & (points <= 122), points - 97, 26)).astype(np.int64)
+            codes = np.append(codes, 27)
+            ends = codes == 27
+            length = np.fromiter(map(len, words), np.int64, len(words))
+            times = np.fromiter(words.values(), np.int64, len(words))
+            # a word's trigrams end at its letters and at the mark after it
+            grams = codes[:-2] * 784 + codes[1:-1] * 28 + codes[2:]
+            good = ~(ends[1:-1] & ends[2:])
+            counts += np.bincount(grams[good], np.repeat(times, length + 1), 28 ** 3).astype(np.int64)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["".join(LETTERS[i // d % 28] for d in (784, 28, 1)) for i in at.tolist()], pa.string()), pa.array(counts[at])],
+            names=["gram", "n"])
 
     grams = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "gram string, n long")
     return {r["gram"]: r["n"] for r in grams.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
@@ -213,7 +239,8 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "
     """For each telling word, or beginning of words, the least share of texts with it that are toxic, lowered further by the
     square of the share seen, so that words of clean texts too tell little alone.
 
-    Fitted on labelled rows that are not held out, at most `rows` of them by the smallest hash of their keys.
+    Fitted on labelled rows that are not held out, at most `rows` of them by the smallest hash of their keys; copies count
+    once, and of words that occur together those that explain most (see `_explaining`).
     """
     picked = (
         labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
@@ -222,7 +249,18 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "
         .orderBy(F.xxhash64("key"), "key").limit(rows)
     )
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    texts = source.join(F.broadcast(picked), "key").select("label", "text")
+    labelled = source.join(F.broadcast(picked), "key")
+
+    def sign(iterator) -> Iterator[pa.RecordBatch]:
+        for batch in batches(iterator, 4 << 20):
+            least = [int(x[0]) if len(x := shingles(t, 4)) else 0 for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64())], names=["key", "label", "sign"])
+
+    # copies have one vote: their least shingle is the same, that of near copies mostly
+    kind = labelled.schema["key"].dataType.simpleString()
+    signed = labelled.select("key", "label", "text").mapInArrow(sign, f"key {kind}, label int, sign long")
+    votes = stored(signed.groupBy("sign", "label").agg(F.min("key").alias("key")).select("key", "label").distinct(), "votes")
+    texts = source.join(F.broadcast(votes), "key").select("key", "label", "text")
 
     def run(iterator) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
@@ -236,7 +274,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "
                  pa.array([counts[0][k] for k in keys], pa.int64())], names=["word", "ones", "zeros"])
 
         for batch in batches(iterator, 4 << 20):
-            for kind, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for kind, one in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 counts[kind].update({f for w in restorer.words(one or "") for f in features(w)})
                 seen[kind] += 1
             if len(counts[0]) + len(counts[1]) > 2 * KEPT:
@@ -265,11 +303,54 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "
     p = F.col("ones") / seen
     low = (p + z * z / (2 * seen) - z * F.sqrt(p * (1 - p) / seen + z * z / (4 * seen * seen))) / (1 + z * z / seen)
     found = (
-        sums.where((F.col("word") != "") & (F.col("ones") >= LEAST)).select("word", strength.alias("strength"), low.alias("low"), (low * p * p).alias("weight"))
-        .where((F.col("strength") >= EVIDENCE) & (F.col("low") > share))
-        .orderBy(F.desc("strength"), "word").limit(WORDS)
+        sums.where((F.col("word") != "") & (F.col("ones") >= LEAST))
+        .select("word", "ones", "zeros", strength.alias("strength"), (low * p * p).alias("weight"))
+        .where((F.col("strength") >= EVIDENCE) & (low > share))
+        .orderBy(F.desc("strength"), "word").limit(WORDS).collect()
     )
-    return {r["word"]: r["weight"] for r in found.collect()}
+    return _explaining(found, texts.where("label = 1").select("text"), Restorer(model), n1, n0)
+
+
+def _explaining(found: list, toxic: DataFrame, restorer: Restorer, n1: int, n0: int) -> dict[str, float]:
+    """Of the candidates those that explain toxic texts which stronger ones don't.
+
+    The strongest is taken first, and its texts speak for no other word; so words that stand beside it by chance, as in
+    copies, are left out. Words of many different toxic texts and of hardly any other are taken in any case. At most `TRAINING_ROWS` texts with at most `WORDS` candidates each are gathered.
+    """
+    place = {r["word"]: i for i, r in enumerate(found)}
+
+    def held(iterator) -> Iterator[pa.RecordBatch]:
+        for batch in batches(iterator, 4 << 20):
+            lists = [sorted({place[f] for w in restorer.words(t or "") for f in features(w) if f in place}) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], names=["held"])
+
+    if not found:
+        return {}
+    lists = toxic.mapInArrow(held, "held array<int>").toArrow()["held"].to_pylist()
+    texts_of: list[list[int]] = [[] for _ in found]
+    for i, own in enumerate(lists):
+        for c in own:
+            texts_of[c].append(i)
+    left = np.array([len(x) for x in texts_of], float)
+    zeros = np.array([r["zeros"] for r in found], float)
+    open_, taken, share = np.ones(len(lists), bool), [], n1 / (n1 + n0)
+    while True:
+        seen = left + zeros
+        with np.errstate(divide="ignore", invalid="ignore"):
+            strength = 2 * (np.where(left > 0, left * np.log(left / (seen * share)), 0)
+                            + np.where(zeros > 0, zeros * np.log(zeros / (seen * (1 - share))), 0))
+        strength[(left < LEAST) | (left <= share * seen)] = 0
+        best = int(strength.argmax())
+        if strength[best] < EVIDENCE:
+            break
+        taken.append(best)
+        for i in texts_of[best]:
+            if open_[i]:
+                open_[i] = False
+                left[lists[i]] -= 1
+    plain = max(LEAST_ALONE, COMMON * n1)  # words of so many different texts stand for themselves
+    taken += [i for i, r in enumerate(found) if r["ones"] >= plain and r["strength"] >= ALONE and r["weight"] >= 0.5 and i not in taken]
+    return {found[i]["word"]: found[i]["weight"] for i in taken}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -292,20 +373,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     def run(iterator) -> Iterator[pa.RecordBatch]:
         restorer, known = Restorer(model), {}
 
-        def weight(word: str) -> float:
-            w = known.get(word)
-            if w is None:
-                if len(known) > KEPT:
-                    known.clear()
-                w = known[word] = max([weights.get(f, 0.0) for f in features(word)])
-            return w
+        def telling(words) -> tuple[tuple[float, str], ...]:
+            found = ((max([weights.get(f, 0.0) for f in features(w)]), w) for w in words)
+            return tuple(x for x in found if x[0])
 
         for batch in batches(iterator, 4 << 20):
             scores = []
+            if len(known) > KEPT:
+                known.clear()
             for one in batch.column(1).to_pylist():
+                low, met = (one or "").lower(), set()
+                tokens = set(low.split())
+                for token in tokens:
+                    found = known.get(token)
+                    if found is None:
+                        found = known[token] = telling(restorer._token(token))
+                    if found:
+                        met.update(found)
+                met.update(telling(restorer.spaced(tokens, low)))
                 rest = 1.0 - PRIOR
-                for w in sorted(x for x in map(weight, restorer.words(one or "")) if x):
-                    rest *= 1.0 - w
+                for weight, _ in sorted(met):
+                    rest *= 1.0 - weight
                 scores.append(1.0 - rest)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
