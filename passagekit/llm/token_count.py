@@ -13,7 +13,7 @@ from passagekit.llm.units import OTHER_SPACE, Pieces, UnitValues, batches
 #: Characters of a chunk; a longer text is cut into chunks.
 CHUNK = 1 << 16
 #: Compiled states that a task keeps.
-STATES = 120_000
+STATES = 100_000
 _NEVER = 1 << 60
 _WIDE = re.compile(f"[{OTHER_SPACE[5:]}]")
 

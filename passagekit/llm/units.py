@@ -17,7 +17,7 @@ _UNIT = re.compile(f"{_SPACE}*[^ {OTHER_SPACE}]+|{_SPACE}+")
 _ASCII_RUNS = tuple(x for c in "\t\n\x0b\x0c\r" for x in (c + " ", " " + c)) + ("  ",)
 _WIDE_SPACE = re.compile(f"[{OTHER_SPACE[5:]}]")
 #: Units that a task keeps, and characters of text looked at together.
-KEPT, AT_ONCE = 400_000, 2 << 20
+KEPT, AT_ONCE = 450_000, 2 << 20
 
 
 def units(text: str) -> tuple[list[str], list[str]]:
@@ -67,6 +67,7 @@ class UnitValues:
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Patterns that drop white space (fixed values).
 WORD_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_NAMES = dict.fromkeys(_SHOWN) | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
 BYTE_NAMES = {b: chr(b if n is None else n) for b, n in BYTE_NAMES.items()}
@@ -110,10 +111,11 @@ class Pieces:
         if self.lower:
             text = text.replace("\u03a3", "\u03c3").lower()
         bare = text[1:] if text[:1] == " " else text
-        if bare.isalpha():  # one run of letters, which every known pattern leaves whole
-            cut = [text if self.joins else bare]
-        elif bare[-1:] in ".,;:!?" and bare[:-1].isalpha():
-            cut = [(text if self.joins else bare)[:-1], bare[-1]]
+        letters = bare.rstrip(_SIGNS)
+        if letters.isalpha():  # a run of letters, and one of signs after it: every known pattern leaves both whole
+            cut = [text[:len(text) - len(bare) + len(letters)] if self.joins else letters]
+            if len(letters) < len(bare):
+                cut.append(bare[len(letters):])
         else:
             cut = self._find(text)
         return [
@@ -153,7 +155,8 @@ def encoder(path: str) -> UnitValues:
             return found
 
         def work(texts: list[str]) -> Iterator[bytes]:
-            known.clear()
+            if len(known) > KEPT // 3:
+                known.clear()
             for text in texts:
                 if not pieces.known or any(x in text for x in special) or not (text.isascii() or _SETTLED.search(text) is None):
                     yield whole(text)
