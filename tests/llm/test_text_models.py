@@ -58,8 +58,8 @@ def test_viterbi_is_the_cheapest_way(model):
 
 
 def test_toxicity_awkward_rows(spark):
-    bad = ["some plain words and a zorgle here", "the z0rgle again", "more zorgle text"] * 16
-    good = ["some plain words here", "nothing wrong with text", "more words of the house"] * 16
+    bad = [f"{t} {' '.join(words(i, 6))}" for i, t in enumerate(["some plain words and a zorgle here", "the z0rgle again", "more zorgle text"] * 16)]
+    good = [f"{t} {' '.join(words(i + 99, 6))}" for i, t in enumerate(["some plain words here", "nothing wrong with text", "more words of the house"] * 16)]
     texts = [*bad, *good, None, "", "z0rgl3 is new", "zzzzorgle", "x" * 100_000, "z o r g l e", "zorgle"]
     ids = [*range(len(texts) - 2), None, 3]
     docs = awkward(spark, texts, ids=ids)
@@ -79,6 +79,16 @@ def test_toxicity_awkward_rows(spark):
     assert score_toxicity(spark.createDataFrame([], DOCS), labels).count() == 0
 
 
+def test_copies_of_a_toxic_text_vote_once(spark):
+    rng = range(60)
+    toxic = [f"zorgle {' '.join(words(i, 8))}" for i in rng] + ["zorgle one two three four chance words beside it"] * 40
+    clean = [" ".join(words(i + 500, 8)) for i in range(300)] + ["chance words alone are fine"] * 2
+    docs = awkward(spark, toxic + clean)
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(400)], "doc_id long, toxic int")
+    out = {r["doc_id"]: r["predicted"] for r in score_toxicity(docs, labels).collect()}
+    assert all(out[i] for i in range(100)) and not any(out[i] for i in range(100, 402))
+
+
 def test_toxicity_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
