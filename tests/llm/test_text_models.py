@@ -182,3 +182,21 @@ def test_extraction_awkward_pages(spark):
     assert [out[i]["text"] for i in (0, 1, 3, 7, 8, 9, 10)] == ["", "", "x\ny", "deep", "deeper", "plain & text", ""]
     assert len(out[12]["text"]) == 499_999 and out[None]["text"] == "k"
     assert main_texts(pages.limit(0)).count() == 0
+
+
+NAMED = (
+    '<html><body><div class="menu">Home</div><article><h1>Title %d</h1><h2 id="related-work">Related work %d</h2><p class="alert">A warning %d.</p>'
+    '<section id="legal-status"><p>Law %d.</p></section><div id="social-structure"><p>Society %d.</p></div>'
+    '<div class="search-results-analysis"><p>Found %d.</p></div><div class="notice"><p>Varies %d.</p></div></article></body></html>')
+
+
+def test_names_do_not_overrule_the_wrapper():
+    pages = [NAMED % ((i,) * 7) for i in range(6)]
+    kept = ["Title %d", "Related work %d", "A warning %d.", "Law %d.", "Society %d.", "Found %d.", "Varies %d."]
+    assert extract_block(pages) == ["\n".join(kept) % ((i,) * 7) for i in range(6)]
+    assert extract_block(pages[:1]) == ["\n".join(kept[:-1]) % ((0,) * 6)]  # without a wrapper a whole class name decides
+
+
+def test_a_teaser_is_no_article():
+    page = "<body><main><p>The long text of page %d goes on for a while.</p></main><article>Teaser %d</article></body>"
+    assert extract_block([page % (i, i) for i in range(5)]) == [f"The long text of page {i} goes on for a while." for i in range(5)]
