@@ -27,8 +27,8 @@ SEPARATORS = "-._'’~·/\\"
 #: Stripped from the ends of a token before it is decoded.
 EDGES = ".,;:?!\"'’()[]{}<>#%&*|~^/\\`´«»…–—-_=+“”„¿¡"
 #: Costs (negative natural logarithms) of what the channel does to a letter or between letters.
-COST = {"leet": 1.5, "wild": 3.0, "drop": 9.0, "drop_end": 1.0, "join": 1.0, "break": 3.0, "repeat": 1.0, "space": 2.0, "part": 1.5}
-#: Longest token that is decoded as one lattice; longer ones are decoded in parts of this length at non-letters.
+COST = {"leet": 1.5, "wild": 3.0, "drop": 9.0, "drop_end": 1.0, "join": 1.0, "break": 3.0, "repeat": 1.0, "space": 2.0, "part": 1.5, "sign": 4.5}
+#: Letters at the end of a way that stay open while a longer lattice is decoded; from four times as many on the earlier ones are settled.
 LONGEST = 40
 #: Labelled rows that the word weights are fitted on at most (those of the smallest hashes); words kept of them.
 TRAINING_ROWS, WORDS = 200_000, 4096
@@ -37,9 +37,10 @@ EVIDENCE, LEAST, DEVIATIONS, PRIOR = 25.0, 3, 1.5, 0.01
 #: A word stands for itself from this evidence, this many toxic texts and this share of them on.
 ALONE, LEAST_ALONE, COMMON = 40.0, 10, 0.02
 KEPT = 120_000
-_TRIPLE = re.compile(r"(.)\1\1", re.S)
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
+_DOUBLE = re.compile(r"(.)\1", re.S)
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S)+(?!\S)")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_NO_LETTERS = {ord(c): None for c in EDGES if c not in LEET}
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz*^"
@@ -94,7 +95,7 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
         if spaced and at:
             arcs.append([("", 0.0), (" ", COST["space"])])
         if c.isalpha():
-            arcs.append([(c * n, 0.0)] if n < 3 else [(c, COST["repeat"]), (c * 2, COST["repeat"])])
+            arcs.append([(c, 0.0)] if n == 1 else [(c, COST["repeat"]), (c * 2, 0.0 if n == 2 else COST["repeat"])])
         elif c in LEET:
             own = [(x * k, COST["leet"] + (0.5 if n > 1 else 0)) for x in LEET[c] for k in range(1, min(n, 2) + 1)]
             own.append(("", COST["drop_end"] if at_end and n > 1 else COST["drop"]))
@@ -109,12 +110,37 @@ def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     return arcs
 
 
-def viterbi(arcs: list[list[tuple[str, float]]], model: CharModel) -> str:
-    """The cheapest way through a lattice under the letters' costs; ties go to the text that sorts first."""
+def lettered(arcs: list[list[tuple[str, float]]]) -> list[list[tuple[str, float]]]:
+    """A lattice in which no sign that may be a letter is left out."""
+    return [[x for x in options if x[0].strip()] or options for options in arcs]
+
+
+def edge(signs: str) -> list[list[tuple[str, float]]]:
+    """Signs that stood around a token: punctuation, or written for letters."""
+    return [[("", COST["sign"]), *options] for options in lettered(lattice(signs))]
+
+
+def cheapest(arcs: list[list[tuple[str, float]]], model: CharModel) -> tuple[float, str]:
+    """The cheapest way through a lattice under the letters' costs, and its price; ties go to the text that sorts first.
+
+    What all ways share is settled as soon as one state is left, and in any case what lies `LONGEST` letters and more back on the
+    cheapest way of a long lattice, so that the work is linear in its length.
+    """
     cost = model.cost
     best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+    settled: list[str] = []
     for options in arcs:
         after: dict[str, tuple[float, str]] = {}
+        if len(options) == 1 and len(best) == 1 and options[0][0].isalpha():  # nothing to choose
+            [(s, (total, text))], [(out, price)] = best.items(), options
+            total += price
+            for c in out:
+                x = c if "a" <= c <= "z" else "*"
+                total += cost[s][x]
+                s = s[1] + x
+            settled.append(text + out)
+            best = {s: (total, "")}
+            continue
         for state, (sofar, text) in best.items():
             for out, price in options:
                 s, total = state, sofar + price
@@ -124,14 +150,27 @@ def viterbi(arcs: list[list[tuple[str, float]]], model: CharModel) -> str:
                             total += cost[s]["^"]
                         s = "^^"
                     else:
-                        x = symbol(c)
+                        x = c if "a" <= c <= "z" else "*"
                         total += cost[s][x]
                         s = s[1] + x
-                found = (total, text + out)
-                if s not in after or found < after[s]:
-                    after[s] = found
+                held = after.get(s)
+                if held is None or total < held[0] or (total == held[0] and text + out < held[1]):
+                    after[s] = (total, text + out)
         best = after
-    return min((total + (cost[s]["^"] if s[1] != "^" else 0.0), text) for s, (total, text) in best.items())[1]
+        if len(best) == 1:
+            [(s, (total, text))] = best.items()
+            settled.append(text)
+            best = {s: (total, "")}
+        elif len(text) > 4 * LONGEST:
+            first = min(best.values())[1][:-LONGEST]
+            settled.append(first)
+            best = {s: (total, text[len(first):]) for s, (total, text) in best.items() if text.startswith(first)}
+    total, text = min((total + (cost[s]["^"] if s[1] != "^" else 0.0), text) for s, (total, text) in best.items())
+    return total, "".join(settled) + text
+
+
+def viterbi(arcs: list[list[tuple[str, float]]], model: CharModel) -> str:
+    return cheapest(arcs, model)[1]
 
 
 class Restorer:
@@ -150,31 +189,38 @@ class Restorer:
         return found
 
     def _token(self, token: str) -> tuple[str, ...]:
-        core = token if token.isalpha() else token.strip(EDGES)
-        if not core:
-            return ()
-        if _TRIPLE.search(core) is None and core.isalpha():
+        if token.isalpha() and _DOUBLE.search(token) is None:
+            return (token,)
+        core = token.strip(EDGES)
+        start = token.find(core) if core else len(token)
+        before, after = token[:start].translate(_NO_LETTERS), token[start + len(core):].translate(_NO_LETTERS)
+        if core.isalpha() and not before and not after and _DOUBLE.search(core) is None:
             return (core,)
-        if _LETTERS.search(core) is None:
-            return ()
-        words: list[str] = []
-        for part in [core] if len(core) <= LONGEST else _parts(core):
-            if part.isalpha() and _TRIPLE.search(part) is None:
-                words.append(part)
-            else:
-                words += viterbi(lattice(part), self.model).split()
-                words += [x for x in _LETTERS.findall(part) if len(x) > 2]
+        if _LETTERS.search(core) is None:  # a number or signs, unless the letters they may stand for are likelier
+            signs = [c for c in core or before if c in LEET]
+            if len(set(signs)) < 2:
+                return ()
+            price, text = cheapest(edge(before) + lettered(lattice(core)) + edge(after) if core else lettered(lattice(before)), self.model)
+            signs += [*before, *after] if core else []
+            return tuple(dict.fromkeys(text.split())) if price < COST["sign"] * len(signs) else ()
+        words = viterbi(lattice(core), self.model).split()
+        if before or after:
+            words += viterbi(edge(before) + lattice(core) + edge(after), self.model).split()
+        words += [x for x in _LETTERS.findall(core) if len(x) > 2 or len(core) > LONGEST or x == core]
         return tuple(dict.fromkeys(words))
 
     def spaced(self, tokens: set[str], low: str) -> list[str]:
-        """The words of runs of single characters, if the text has characters enough that stand alone."""
-        if sum(len(t) == 1 for t in tokens) < 3:
+        """The words of runs of single characters."""
+        if not any(len(t) == 1 for t in tokens):
             return []
         out: list[str] = []
         for run in _SPACED.finditer(low):
-            letters = "".join(run[0].split())
-            for at in range(0, len(letters), LONGEST):
-                out += viterbi(lattice(letters[at:at + LONGEST], spaced=True), self.model).split()
+            found = self.known.get(run[0])
+            if found is None:
+                if len(self.known) > KEPT:
+                    self.known.clear()
+                found = self.known[run[0]] = tuple(viterbi(lattice("".join(run[0].split()), spaced=True), self.model).split())
+            out += found
         return out
 
     def words(self, text: str) -> set[str]:
@@ -187,14 +233,6 @@ class Restorer:
         return out
 
 
-def _parts(core: str) -> list[str]:
-    """A long token in parts: at non-letters, and each as short as a lattice may be unless it is plain letters."""
-    parts = []
-    for piece in re.findall(r"[^\W\d_]+|[\W\d_]+", core):
-        parts += [piece] if piece.isalpha() else []
-    return parts
-
-
 def features(word: str) -> list[str]:
     """A word, and its beginnings as families of words; kept apart by a mark."""
     return [word, *[word[:n] + "~" for n in (4, 5, 6) if len(word) > n]] if len(word) <= 64 else [word[:6] + "~"]
@@ -357,8 +395,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
                    threshold: float = 0.7, keep: bool = False) -> DataFrame:
     """A score between 0 and 1 for every whole text, and whether it reaches `threshold`.
 
-    Tokens with signs among their letters, long repetitions, and runs of single characters become lattices of what may
-    have been meant. The cheapest way under a letter trigram model of the whole corpus is taken as the text, and its words
+    Tokens with signs among or for their letters, repetitions, and runs of single characters become lattices of what may
+    have been meant, however long they are; signs around a token may stand for letters too. The cheapest way under a letter trigram model of the whole corpus is taken as the text, and its words
     are scored: each word has the lowered share of toxic labels among training texts with it or with a word that begins
     alike, and the score is the chance that any of them is toxic. Only texts are looked at for a score.
 

@@ -200,3 +200,29 @@ def test_names_do_not_overrule_the_wrapper():
 def test_a_teaser_is_no_article():
     page = "<body><main><p>The long text of page %d goes on for a while.</p></main><article>Teaser %d</article></body>"
     assert extract_block([page % (i, i) for i in range(5)]) == [f"The long text of page {i} goes on for a while." for i in range(5)]
+
+
+@pytest.fixture(scope="module")
+def rude():
+    counts = Counter()
+    for w in "you are an idiot and should go away now ok ass ass ass stupid loser clown".split():
+        for g in word_trigrams(w):
+            counts[g] += 30
+    return CharModel(counts)
+
+
+@pytest.mark.parametrize("text, word", [
+    ("you.are.an.1d10t.and.should.go.away.now.ok", "idiot"), ("-".join(["cl0wn"] * 30 + ["1d10t"]), "idiot"), ("x1" * 500 + "_l0ser", "loser"),
+    ("4$$", "ass"), ("455", "ass"), ("a s s", "ass"), ("a s s a s s " * 20 + "i d i o t", "idiot"), ("!diot", "idiot"), ("\"|oser\"", "loser"),
+    ("(lown", "clown"), ("stuupid", "stupid"), ("s t u p i d " * 9, "stupid"),
+])
+def test_restored_whatever_the_form(rude, text, word):
+    assert word in Restorer(rude).words(text)
+
+
+def test_numbers_and_punctuation_stay(rude):
+    assert Restorer(rude).words("12 345 (12) $500 3,400.25 !! (away) ok! ...") == {"away", "ok"}
+
+
+def test_long_lattice_is_decoded_like_its_words(rude):
+    assert viterbi(lattice("1d10t-l0ser-" * 200 + "cl0wn"), rude).split() == viterbi(lattice("1d10t-l0ser-cl0wn"), rude).split()[:-1] * 200 + ["clown"]
