@@ -22,13 +22,14 @@ def _key(line: Column) -> Column:
 
 
 def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1,
-                    min_pages: int = 3) -> DataFrame:
+                    min_pages: int = 3, copies_vote: bool = True) -> DataFrame:
     """Drop the lines that more than `ratio` of a host's pages, and at least `min_pages` of them, contain.
 
     Returns the rows and columns given, `text` without those lines, and two columns: n_lines and n_dropped (of the text
     given). A page counts once for a line it repeats; pages without text count for their host. Lines are compared without
     the blanks around them. A NULL text stays NULL with no lines, an empty one stays empty; a NULL host is a host of its
-    own; repeated rows are pages of their own. Other columns may have any names but `n_lines` and `n_dropped`, which are replaced.
+    own; repeated rows are pages of their own. Without `copies_vote` pages of a host with equal texts count as one page (those without
+    text too), so that a text does not lose its lines because it was copied. Other columns may have any names but `n_lines` and `n_dropped`, which are replaced.
 
     Line counts and page totals are combined before they are shuffled, and only digests travel. At most
     (lines per page) / ratio lines of a host can pass, so they fit in one row per host; pages meet that row by a broadcast
@@ -37,9 +38,12 @@ def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text",
     names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     site = rows.select(F.col("row")[host].cast("string").alias("host"), F.col("row")[text].alias("text"))
-    totals = site.groupBy("host").agg(F.count("*").alias("pages"))
-    keys = site.select("host", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("key"))
-    counts = keys.where("key is not null").groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    digest = [] if copies_vote else [F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")]
+    votes = site.select("host", *digest)
+    totals = (votes if copies_vote else votes.distinct()).groupBy("host").agg(F.count("*").alias("pages"))
+    keys = site.select("host", *digest, F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("key")).where("key is not null")
+    keys = keys if copies_vote else keys.distinct()
+    counts = keys.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = (
         counts.alias("c").join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
         .where(F.col("n") > F.lit(float(ratio)) * F.col("pages"))

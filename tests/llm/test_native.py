@@ -64,3 +64,11 @@ def test_no_python_in_native_plans(spark):
     for out in (drop_site_lines(docs), mix_sources(docs)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_copies_of_a_page_have_one_vote(spark):
+    texts = ["menu\nline one\nline two"] * 5 + [f"menu\nown {i}" for i in range(8)] + [None, ""]
+    out = {r["doc_id"]: r["text"] for r in drop_site_lines(awkward(spark, texts), copies_vote=False).collect()}
+    assert [out[i] for i in range(15)] == ["line one\nline two"] * 5 + [f"own {i}" for i in range(8)] + [None, ""]
+    plan = drop_site_lines(awkward(spark, texts), copies_vote=False)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

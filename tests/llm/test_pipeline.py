@@ -39,3 +39,9 @@ def test_awkward_documents_and_none(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, FOLDER)
         assert docs.count() >= 0
+
+
+def test_copied_documents_keep_their_lines(spark):
+    docs = awkward(spark, ["first line\nsecond line"] * 4 + [f"other {i}" for i in range(12)])
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, FOLDER).collect()}
+    assert [out[i] for i in range(4)] == ["first line\nsecond line"] * 4
