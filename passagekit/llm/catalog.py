@@ -8,12 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passagekit.llm.common import table
+from passagekit.llm.conversation_repair import damaged, repair_conversations
 from passagekit.llm.extraction import main_texts
 from passagekit.llm.jaccard_join import jaccard_components
 from passagekit.llm.line_dedup import drop_site_lines
+from passagekit.llm.merkle import document_manifest
 from passagekit.llm.mixing import mix_sources
+from passagekit.llm.oracles import CONVERSATION_REPAIR, MERKLE_MANIFEST, SHARDING
 from passagekit.llm.packing import pack_documents
 from passagekit.llm.quality import quality_rules
+from passagekit.llm.sharding import document_shards
 from passagekit.llm.token_count import count_tokens
 from passagekit.llm.token_files import session_folder, token_files
 from passagekit.llm.toxicity import score_toxicity
@@ -67,6 +71,18 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, folder, "conversations")))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return document_manifest(table(spark, folder, "documents"))
+
+
+def op13_hash_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return document_shards(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_token_files": op2_token_files,
@@ -78,9 +94,15 @@ QUERIES: dict[str, Query] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hash_ring_shards": op13_hash_ring_shards,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_conversation_repair": CONVERSATION_REPAIR,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
+    "op13_hash_ring_shards": SHARDING,
     "op1_voronoi_knn": """
 WITH parts AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
 ints AS (SELECT vec_id, pos, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM parts),
