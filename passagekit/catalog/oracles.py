@@ -326,3 +326,8 @@ FROM {_LABELLED}""",
     "judge_prompts": f"""{_with(EVALUATED)} SELECT qid, md5({_trim("prompt", 60)}) AS prompt FROM prompts""",
     "generated_answers": "SELECT doc_id, md5(text) AS answer, NULL::VARCHAR AS error FROM documents",
 }
+ORACLES |= {
+    "knn_cells": ORACLES["knn_topk"],
+    "bm25_blocks": BM25_TOPK,
+    "context_ranges": ORACLES["context_lists"],
+}

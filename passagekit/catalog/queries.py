@@ -20,9 +20,11 @@ from passagekit.operators.embedding import check_dim, embed, hash_embed
 from passagekit.operators.evaluation import align, alignment_problems, is_retrieved, judge_prompt, quality_score, retrieval_score
 from passagekit.operators.fusion import attach_chunks, collect_context, rerank_by_tag, splice, truncate_hits
 from passagekit.operators.generation import generate, token_cost
+from passagekit.operators.cells import CellStore, knn_cells, write_cells
 from passagekit.operators.knn import knn, knn_one
 from passagekit.operators.lexical import LexicalIndex, bm25_index, bm25_scores, bm25_topk
 from passagekit.operators.metrics import corpus_statistics
+from passagekit.operators.postings import PostingsIndex, postings_topk, write_postings
 from passagekit.operators.prompts import build_prompt, context_budget
 from passagekit.operators.sections import extract_sections, page_text, resolve_uris
 from passagekit.plans.answering import AnswerConfig, answer_questions, conversation_requests, question_contexts, run_experiment
@@ -30,7 +32,7 @@ from passagekit.plans.evaluating import evaluate
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index, chunk_documents
 from passagekit.session import materialize, new_path, spread
 from passagekit.sources.corpus import number_pages, only_new, read_responses
-from passagekit.sources.index_store import load_or_build_index, read_index, snapshot_index
+from passagekit.sources.index_store import load_or_build_index, read_index, read_ranges, snapshot_index, write_ranges
 from passagekit.sources.records import append_answer_log
 from passagekit.streaming.jobs import answer_stream, index_stream, read_page_stream, read_question_stream
 
@@ -70,6 +72,13 @@ def knn_topk(spark, folder):
     return knn(vectors, vectors, 5, "vec_id", "vec_id").select("qid", "pos", "id", rounded("distance"))
 
 
+def knn_cells_query(spark, folder):
+    """The same lists from vectors that are stored by cells."""
+    vectors, path = spark.read.parquet(f"{folder}/embeddings.parquet"), new_path(spark, "cells")
+    write_cells(vectors, path, id_col="vec_id")
+    return knn_cells(vectors, CellStore.load(spark, path), 5, "vec_id").select("qid", "pos", "id", rounded("distance"))
+
+
 def knn_centroid(spark, folder):
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     parts = vectors.select(F.posexplode("embedding").alias("at", "v"))
@@ -143,6 +152,14 @@ def bm25_saved_index(spark, folder):
     return hits.select("qid", "pos", "id", rounded("score"))
 
 
+def bm25_blocks(spark, folder):
+    """The same top 3 from postings by term, read by folders and parts."""
+    path = new_path(spark, "postings")
+    write_postings(_lexical(spark, folder), path)
+    hits = postings_topk(questions_of(spark, folder), PostingsIndex.load(spark, path), 3)
+    return hits.select("qid", "pos", "id", rounded("score"))
+
+
 # Merging and re-ranking
 
 def _both_lists(spark, folder, k_semantic=5, k_lexical=2):
@@ -159,11 +176,11 @@ def hybrid_splice_dedup(spark, folder):
     return splice(*_both_lists(spark, folder), 2, dedup=True).select("qid", "pos", "id")
 
 
-def _reranked(spark, folder):
+def _reranked(spark, folder, documents=None):
     """The tag of the best lexical hit plays the predicted tag."""
     semantic, lexical = _both_lists(spark, folder)
     lexical = materialize(lexical)  # used twice; k rows per question
-    documents = chunks_of_documents(spark, folder)
+    documents = chunks_of_documents(spark, folder) if documents is None else documents
     n = questions_of(spark, folder).count()
     hits = attach_chunks(splice(semantic, lexical, 2), documents, n * 7)
     best = lexical.filter("pos = 0").select("qid", "id")
@@ -176,7 +193,18 @@ def rerank_by_source(spark, folder):
 
 
 def context_lists(spark, folder):
-    rows = collect_context(_reranked(spark, folder))
+    return _context_columns(_reranked(spark, folder))
+
+
+def context_ranges(spark, folder):
+    """The same contexts with their texts looked up in an index that lies by ranges of ids."""
+    path = new_path(spark, "ranges")
+    write_ranges(chunks_of_documents(spark, folder), path, 6)
+    return _context_columns(_reranked(spark, folder, read_ranges(spark, path)))
+
+
+def _context_columns(hits: DataFrame) -> DataFrame:
+    rows = collect_context(hits)
     return rows.select(
         "qid", F.array_join(F.transform("document_ids", lambda i: i.cast("string")), ",").alias("ids"),
         F.array_join("sources", ",").alias("sources"), F.length(F.array_join("texts", "")).alias("chars"))
@@ -567,6 +595,7 @@ def generated_answers(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "knn_topk": knn_topk,
+    "knn_cells": knn_cells_query,
     "knn_centroid": knn_centroid,
     "hash_embed_weights": hash_embed_weights,
     "embed_user_model": embed_user_model,
@@ -579,10 +608,12 @@ QUERIES: dict[str, Query] = {
     "bm25_topk": bm25_top3,
     "bm25_fill": bm25_fill,
     "bm25_saved_index": bm25_saved_index,
+    "bm25_blocks": bm25_blocks,
     "hybrid_splice": hybrid_splice,
     "hybrid_splice_dedup": hybrid_splice_dedup,
     "rerank_by_source": rerank_by_source,
     "context_lists": context_lists,
+    "context_ranges": context_ranges,
     "sections_article": sections_article,
     "sections_default_empty": sections_default_empty,
     "chunk_documents": chunk_documents_query,

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from passagekit.functions.uris import TAG_PATTERN, tag_of
 from passagekit.session import materialize
+from passagekit.sources.index_store import RANGE, RANGE_BITS
 
 # Hits up to this many rows (ids, positions and scores, under 100 bytes each) are broadcast.
 BROADCAST_HITS = 200_000
 # Hit ids up to this many (8 bytes each, under 300 MB as a hash table) are broadcast as a filter.
 BROADCAST_IDS = 8_000_000
+# Folders of an index by ranges that a filter may name.
+MAX_FOLDERS = 10_000
 
 
 def attach_chunks(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None, id_col: str = "id",
@@ -21,14 +24,33 @@ def attach_chunks(hits: DataFrame, chunks: DataFrame, max_hits: int | None = Non
     `max_hits` is a proven bound on the number of hits (questions x k). Few hits are broadcast to
     the chunks. Of more hits only the ids are broadcast, which leaves the chunks that were hit for
     an ordinary join. Without a bound, or beyond both, both sides are shuffled by id. A hit whose id the chunks lack, as
-    from an index that is older or newer, stops the job.
+    from an index that is older or newer, stops the job. Chunks of `read_ranges` are read only in the folders of the hits.
     """
+    if RANGE in chunks.columns:
+        return _attach_ranges(hits, chunks, max_hits, id_col, broadcast_ids)
     body = chunks.select(F.col(id_col).alias("id"), "text", "source", F.lit(True).alias("_known"))
     if max_hits is not None and max_hits <= broadcast_ids:
         hits = materialize(hits)
         ids = F.broadcast(hits.select("id").distinct()) if max_hits > broadcast_hits else F.broadcast(hits.select("id"))
         body = body.join(ids, "id", "left_semi")
-    found = hits.join(body, "id", "left")
+    return _with_texts(hits, hits.join(body, "id", "left"))
+
+
+def _attach_ranges(hits: DataFrame, chunks: DataFrame, max_hits: int | None, id_col: str, broadcast_ids: int) -> DataFrame:
+    """The folders to read are found at run time from the broadcast hits, or named beforehand where the hits are too many."""
+    layout = chunks.select(RANGE_BITS).first()
+    hits = materialize(hits.withColumn(RANGE, F.shiftright("id", layout[0] if layout else 0)))
+    body = chunks.select(F.col(id_col).alias("id"), RANGE, "text", "source", F.lit(True).alias("_known"))
+    wanted = hits.select(RANGE, "id").where(F.col(RANGE) >= F.lit(-1 << 62)).distinct()  # only a filtered side prunes folders at run time
+    if max_hits is not None and max_hits <= broadcast_ids:
+        body = body.join(F.broadcast(wanted), [RANGE, "id"], "left_semi")
+    else:
+        folders = [r[0] for r in wanted.select(RANGE).distinct().limit(MAX_FOLDERS + 1).collect()]
+        body = body.where(F.col(RANGE).isin(folders)) if len(folders) <= MAX_FOLDERS else body
+    return _with_texts(hits.drop(RANGE), hits.drop(RANGE).join(body.drop(RANGE), "id", "left"))
+
+
+def _with_texts(hits: DataFrame, found: DataFrame) -> DataFrame:
     known = F.when(F.col("_known"), F.col("text")).otherwise(
         F.raise_error(F.concat(F.lit("no chunk has the id of a hit: "), F.col("id").cast("string"))).cast("string"))
     others = [c for c in hits.columns if c != "id"]

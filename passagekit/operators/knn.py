@@ -15,7 +15,7 @@ from passagekit.operators.topk import MAX_QUESTIONS, best_k, slices
 DECIMALS = 10
 
 
-def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def unit_rows(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors as rows, and which rows have one; NULL and zero vectors have none."""
     column = vectors.combine_chunks()
     valid = column.is_valid().to_numpy(zero_copy_only=False)
@@ -25,7 +25,7 @@ def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError(f"vectors of different sizes: {sizes.tolist()}")
     dim = int(sizes[0]) if len(sizes) else 0
     rows = np.zeros((len(column), dim))
-    rows[valid] = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    rows[valid] = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(valid.sum()), dim)
     norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
     known = norms > 0
     rows[known] /= norms[known, None]
@@ -33,10 +33,10 @@ def _matrix(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cosine_scorer(questions: pa.Table):
-    asked, askable = _matrix(questions["embedding"])
+    asked, askable = unit_rows(questions["embedding"])
 
     def score(batch: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held, known = _matrix(batch["embedding"])
+        held, known = unit_rows(batch["embedding"])
         ids = batch["id"].to_numpy()
         if held.shape[1] and asked.shape[1] and held.shape[1] != asked.shape[1]:
             raise ValueError(f"question vectors of {asked.shape[1]}, index vectors of {held.shape[1]}")

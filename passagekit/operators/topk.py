@@ -6,23 +6,25 @@ the scored pairs.
 
 * Up to `max_questions` questions are read to the driver and broadcast. The read stops one row
   after the bound, so the bound is checked before anything larger is collected.
-* More questions are split into blocks by hash and every corpus part meets every block in a
-  shuffled cell. Nothing passes through the driver and no group grows with a hot key, because
-  blocks and parts are cut by hashed id.
+* More questions are written once, numbered, and taken in blocks of at most that many, one after the
+  other. Each block is broadcast to a scan of the corpus and its lists are written before the next
+  one, so the corpus is never shuffled or copied and the driver holds one block.
+* Lists are merged in two levels on clusters: first within slots of tasks, then over the slots.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagekit.session import materialize, new_path
+
 MAX_QUESTIONS = 10_000
-CELL_ROWS = 50_000
-BATCH_ROWS = 10_000
 SCORE_CELLS = 4_000_000
 
 BEST_FIELDS = "qid long, id long, cost double"
@@ -84,12 +86,10 @@ def best_k(
     spark = questions.sparkSession
     head = bounded(questions, max_questions)
     if head is None:
-        found = _in_cells(questions, corpus, k, make_scorer, max_questions)
-    elif head.num_rows:
-        found = _against_broadcast(spark.sparkContext.broadcast(head), corpus, k, make_scorer)
-    else:
-        found = spark.createDataFrame([], BEST_FIELDS)
-    return first_k(found, k)
+        return _by_blocks(questions, corpus, k, make_scorer, max_questions)
+    if not head.num_rows:
+        return first_k(spark.createDataFrame([], BEST_FIELDS), k)
+    return first_k(_against_broadcast(spark.sparkContext.broadcast(head), corpus, k, make_scorer), k)
 
 
 def bounded(questions: DataFrame, limit: int) -> pa.Table | None:
@@ -111,36 +111,44 @@ def _against_broadcast(shared, corpus, k, make_scorer):
     return corpus.mapInArrow(scan, BEST_FIELDS)
 
 
-def _in_cells(questions, corpus, k, make_scorer, max_questions):
-    blocks = -(-questions.count() // max_questions)
-    parts = max(-(-corpus.count() // CELL_ROWS), 1)
-
-    def copies(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+def question_blocks(questions: DataFrame, max_questions: int) -> Iterator[DataFrame]:
+    """The questions in blocks of at most `max_questions` rows, from a written and numbered copy."""
+    parts = -(-questions.count() // max_questions)
+    numbered = materialize(questions.repartition(parts).withColumn("_n", F.monotonically_increasing_id()))
+    block = F.struct(F.shiftright("_n", 33).alias("part"), F.expr(f"(_n & {(1 << 33) - 1}) div {max_questions}").alias("turn"))
+    for row in sorted(tuple(r[0]) for r in numbered.select(block).distinct().collect()):
+        yield numbered.where((block["part"] == row[0]) & (block["turn"] == row[1])).drop("_n")
 
-    left = questions.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("_part", copies(parts))
-    right = corpus.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("_block", copies(blocks))
 
-    def cell(block: pa.Table, part: pa.Table) -> pa.Table:
-        best = BestRows(block["qid"].to_numpy(), k)
-        if block.num_rows:
-            score = make_scorer(block)
-            for start in range(0, part.num_rows, BATCH_ROWS):
-                for costs, ids in score(part.slice(start, BATCH_ROWS)):
-                    best.add(costs, ids)
-        return pa.Table.from_batches([best.rows()])
+def _by_blocks(questions, corpus, k, make_scorer, max_questions):
+    spark, path = questions.sparkSession, new_path(questions.sparkSession, "lists")
+    for block in question_blocks(questions, max_questions):
+        shared = spark.sparkContext.broadcast(block.toArrow())
+        first_k(_against_broadcast(shared, corpus, k, make_scorer), k).write.mode("append").parquet(path)
+        shared.unpersist()
+    return spark.read.schema("qid long, pos int, id long, cost double").parquet(path)
 
-    keys = ("_block", "_part")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, BEST_FIELDS)
 
+def first_k(found: DataFrame, k: int, slots: int | None = None) -> DataFrame:
+    """The k best rows per question: a partial limit in every task, then one row_number.
 
-def first_k(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows per question: a partial limit in every task, then one row_number."""
-    order = Window.partitionBy("qid").orderBy(F.col("cost").asc_nulls_last(), "id")
-    ranked = found.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
+    With many tasks the rows of a question are cut down to k within each slot of tasks first, so that the last step gets
+    slots x k rows of a question and not tasks x k. `slots` is by default the root of the shuffle partitions, and 1 below 8.
+    """
+    if slots is None:
+        slots = isqrt(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        slots = slots if slots >= 8 else 1
+    if slots > 1:
+        found = _cut(found.withColumn("_slot", F.spark_partition_id() % slots), k, "qid", "_slot")
+    ranked = _cut(found, k, "qid")
     return ranked.select("qid", (F.col("pos") - 1).alias("pos"), "id", "cost")
 
 
+def _cut(found: DataFrame, k: int, *keys: str) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.col("cost").asc_nulls_last(), "id")
+    return found.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
+
+
 def slices(n_questions: int, n_rows: int, cells: int = SCORE_CELLS) -> Iterator[slice]:
     """Cut rows so that one score matrix stays below a fixed number of cells."""
     step = max(cells // max(n_questions, 1), 1)

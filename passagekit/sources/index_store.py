@@ -50,6 +50,27 @@ def read_index(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(path).select(*(columns or ("id", "text", "source")))
 
 
+#: Partition column of an index that lies by ranges of ids, and the column that says how many low bits of an id a range spans.
+RANGE, RANGE_BITS = "id_range", "range_bits"
+
+
+def write_ranges(index: DataFrame, path: str, bits: int, mode: str = "overwrite") -> None:
+    """Write id, text, source (and embedding, if there is one) in folders of 2 ** bits ids each, sorted by id.
+
+    With packed ids a folder holds the chunks of 2 ** (bits - 28) pages. Rows are dealt by ranges of ids, so a folder of any
+    size is written by many tasks. Overwriting replaces the folders that the rows belong to and leaves the others.
+    """
+    columns = [F.col(c) if c == "embedding" else _required(c) for c in INDEX.names if c in index.columns]
+    placed = index.select(*columns, F.lit(bits).alias(RANGE_BITS)).withColumn(RANGE, F.shiftright("id", bits))
+    placed.repartitionByRange(RANGE, "id").sortWithinPartitions(RANGE, "id").write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic").partitionBy(RANGE).parquet(path)
+
+
+def read_ranges(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Columns of an index by ranges, and its range; lookups by id then read the folders that they need."""
+    return spark.read.parquet(path).select(*(columns or ("id", "text", "source")), RANGE, RANGE_BITS)
+
+
 def snapshot_path(root: str, model: str, chunk_size: int, chunk_overlap: int) -> str:
     """Where the snapshot of one configuration lies."""
     return f"{root.rstrip('/')}/{model.rsplit('/', 1)[-1]}_{chunk_size}_{chunk_overlap}"
