@@ -330,4 +330,15 @@ ORACLES |= {
     "knn_cells": ORACLES["knn_topk"],
     "bm25_blocks": BM25_TOPK,
     "context_ranges": ORACLES["context_lists"],
+    "incremental_refresh": f"""{_with(INDEXED, "tags AS (SELECT page_id, coalesce(regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1), '') AS tag FROM pages)")}
+SELECT page_id, CASE tag WHEN 'fr' THEN 'new' WHEN 'de' THEN 'changed' ELSE 'same' END AS status, ix.id, ix.text, ix.source
+FROM tags LEFT JOIN ix ON ix.id >> 28 = page_id
+UNION ALL SELECT page_id + 10000000, 'gone', NULL, NULL, NULL FROM tags WHERE tag = 'es'""",
+    # the copies that only the earlier arrivals have stay, as a stream brings no word of pages that are gone
+    "index_stream_repeats": f"""{_with(INDEXED, "tags AS (SELECT page_id, coalesce(regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1), '') AS tag FROM pages)")}
+SELECT id, text, source FROM ix
+UNION ALL SELECT ix.id + 10000000 * 268435456, ix.text, ix.source FROM ix JOIN tags ON ix.id >> 28 = page_id WHERE tag = 'es'""",
+    "numbered_files": """WITH n AS (SELECT printf('%08d', page_id) AS name, contains(coalesce(url, ''), '/en/') AS early FROM pages),
+r AS (SELECT name, early, row_number() OVER (PARTITION BY early ORDER BY name) - 1 AS place, count(*) FILTER (early) OVER () AS first FROM n)
+SELECT name, CASE WHEN early THEN place ELSE first + place END AS number, CASE WHEN early THEN place END AS first_number FROM r""",
 }

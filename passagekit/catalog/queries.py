@@ -31,10 +31,13 @@ from passagekit.plans.answering import AnswerConfig, answer_questions, conversat
 from passagekit.plans.evaluating import evaluate
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index, chunk_documents
 from passagekit.session import materialize, new_path, spread
-from passagekit.sources.corpus import number_pages, only_new, read_responses
+from passagekit.sources.corpus import grown_numbers, number_pages, only_new, read_responses
 from passagekit.sources.index_store import load_or_build_index, read_index, read_ranges, snapshot_index, write_ranges
 from passagekit.sources.records import append_answer_log
-from passagekit.streaming.jobs import answer_stream, index_stream, read_page_stream, read_question_stream
+from passagekit.sources.refresh import refresh_index, stored_index
+from passagekit.streaming.jobs import (
+    answer_stream, index_stream, read_arrivals, read_page_stream, read_question_stream, refresh_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -316,6 +319,53 @@ def index_stream_query(spark, folder):
     return _index_columns(read_index(spark, f"{path}/index", "id", "text", "source", "embedding"))
 
 
+REFRESH_CONFIG = replace(PAGE_CONFIG, model="hash-16")
+
+
+def _earlier_pages(spark, folder):
+    """The pages before a refresh: French ones are missing, German ones read otherwise, Spanish ones have copies that will go."""
+    pages = table(spark, folder, "pages").withColumn("tag", F.coalesce(tag_of(F.col("url"), URL_TAG), F.lit("")))
+    old = F.when(F.col("tag") == "de", F.concat(F.lit("<article><p>old</p></article>"), "html")).otherwise(F.col("html"))
+    copies = pages.where("tag = 'es'").withColumn("page_id", F.col("page_id") + 10_000_000)
+    return pages.where("tag <> 'fr'").withColumn("html", old).unionByName(copies).select("page_id", "url", "html")
+
+
+def _index_with_status(index: DataFrame, changes: DataFrame) -> DataFrame:
+    rows = index.select(F.shiftright("id", 28).alias("page_id"), "id", "text", "source")
+    return changes.join(rows, "page_id", "left").select("page_id", "status", "id", "text", "source")
+
+
+def incremental_refresh(spark, folder):
+    """An index brought up to date: each page's status, and the chunks that the index has of it afterwards."""
+    path = new_path(spark, "store")
+    refresh_index(_earlier_pages(spark, folder), path, REFRESH_CONFIG, 6)
+    changes = refresh_index(table(spark, folder, "pages"), path, REFRESH_CONFIG, 6)
+    return _index_with_status(stored_index(spark, path), changes)
+
+
+def index_stream_repeats(spark, folder):
+    """Pages that arrive three times, the last time as they are now: the store holds every page once."""
+    path = new_path(spark, "arrivals")
+    for pages in (_earlier_pages(spark, folder), _earlier_pages(spark, folder), table(spark, folder, "pages")):
+        pages.select("page_id", "url", "html").write.mode("append").parquet(f"{path}/pages")
+        arrivals = read_arrivals(spark, f"{path}/pages")
+        refresh_stream(arrivals, f"{path}/store", f"{path}/state", REFRESH_CONFIG, page_bits=6).awaitTermination()
+    return stored_index(spark, f"{path}/store").select("id", "text", "source")
+
+
+def numbered_files(spark, folder):
+    """Pages written as files in two steps; the first ones keep their numbers when the others come."""
+    path = new_path(spark, "files")
+    pages = table(spark, folder, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"))
+    early = F.col("url").contains("/en/")
+    named = pages.select("page_id", F.format_string("%08d", "page_id").alias("name"), early.alias("early"))
+    first = grown_numbers(named.where("early").select("name"), f"{path}/numbers")
+    first.write.parquet(f"{path}/first")
+    last = grown_numbers(named.select("name"), f"{path}/numbers")
+    before = spark.read.parquet(f"{path}/first").withColumnRenamed("page_id", "first_number")
+    return last.join(before, "name", "left").select("name", F.col("page_id").alias("number"), "first_number")
+
+
 def document_index(spark, folder):
     """Chunks of the documents with their ids."""
     return chunk_documents(table(spark, folder, "documents"))
@@ -629,6 +679,9 @@ QUERIES: dict[str, Query] = {
     "index_written": index_written,
     "index_loaded": index_loaded,
     "index_stream": index_stream_query,
+    "incremental_refresh": incremental_refresh,
+    "index_stream_repeats": index_stream_repeats,
+    "numbered_files": numbered_files,
     "document_index": document_index,
     "token_counts": token_counts,
     "token_budget": token_budget,

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from passagekit.schemas import ANSWER, QUESTIONS, REFERENCES
 from passagekit.session import materialize
+from passagekit.sources.index_store import is_complete
+
+# Names of files (some 100 bytes each) that are broadcast with their numbers at a time.
+BROADCAST_NAMES = 2_000_000
 
 
 def read_html_corpus(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
@@ -44,10 +48,54 @@ def number_pages(pages: DataFrame, source_col: str = "source", into: str = "page
     return pages.join(numbered, F.col(source_col) == F.col("_name"), "left").drop("_name")
 
 
-def pages_from_files(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
-    """page_id, url, html of the HTML files below `path`; the url is the file path."""
+def grown_numbers(names: DataFrame, path: str) -> DataFrame:
+    """name, page_id of all names ever seen: names (one column) that the table at `path` lacks are appended to it.
+
+    New names get the numbers after the highest one, in their order; old numbers never move. Only names are read and sorted.
+    NULL is no name. The table is written by one job at a time.
+    """
+    spark = names.sparkSession
+    schema = "name string, page_id long"
+    wanted = names.toDF("name").where("name IS NOT NULL").distinct()
+    if is_complete(spark, path):
+        known = spark.read.schema(schema).parquet(path)
+        highest = known.agg(F.max("page_id")).first()[0]
+        wanted = wanted.join(known, "name", "left_anti")
+    else:
+        highest = None
+    fresh = number_pages(wanted, "name", start=0 if highest is None else highest + 1)
+    fresh.select("name", "page_id").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def pages_from_files(spark: SparkSession, path: str, glob: str = "*.html", numbers: str | None = None,
+                     max_names: int = BROADCAST_NAMES) -> DataFrame:
+    """page_id, url, html of the HTML files below `path`; the url is the file path.
+
+    With `numbers`, a path of a table that keeps every name's number (`grown_numbers`), adding files leaves old numbers alone;
+    without it the names are numbered in their order anew. Numbers are broadcast to the files, for more than `max_names` in
+    ranges of names, each with the files of its range only; the HTML is never shuffled.
+    """
+    listed = list_corpus(spark, path, glob).select(F.col("path").alias("name"))
+    table = materialize(grown_numbers(listed, numbers).join(listed, "name", "left_semi") if numbers else number_pages(listed, "name"))
     files = read_html_corpus(spark, path, glob)
-    return number_pages(files).select("page_id", F.col("source").alias("url"), F.col("text").alias("html"))
+    count = table.count()
+    cuts = [None, None]
+    if count > max_names:
+        parts = -(-count // max_names) * 2  # ranges that are uneven still stay below
+        ordered = table.repartitionByRange(parts, "name").groupBy(F.spark_partition_id().alias("_part")).agg(F.min("name").alias("low"))
+        cuts = [None, *[r["low"] for r in ordered.orderBy("low").collect()][1:], None]
+    found = []
+    for low, high in zip(cuts, cuts[1:]):
+        def within(name: Column, low: str | None = low, high: str | None = high) -> Column:
+            return (F.lit(True) if low is None else name >= low) & (F.lit(True) if high is None else name < high)
+
+        some = table.where(within(F.col("name")))
+        found.append(files.where(within(F.col("source"))).join(F.broadcast(some), F.col("source") == F.col("name")))
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out.select("page_id", F.col("source").alias("url"), F.col("text").alias("html"))
 
 
 def only_new(pages: DataFrame, indexed: DataFrame, page_source: Column | str = "source",
