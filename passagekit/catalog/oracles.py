@@ -115,6 +115,13 @@ _SYSTEM_TOKENS = len(SYSTEM.split())
 ANSWERS = _answers(2048 - _SYSTEM_TOKENS)
 _ROUTED = f"CASE WHEN qid % 2 = 0 THEN '{LLM}' ELSE 'gpt-4' END"
 
+_CONVERSATIONS = ",\n".join([
+    """prefixes AS (SELECT r.conv_id, r.turn, count(*) AS n, string_agg(m.role || ': ' || m.text, chr(10) ORDER BY m.turn) AS whole
+  FROM conversations r JOIN conversations m ON m.conv_id = r.conv_id AND m.turn <= r.turn WHERE r.role = 'user' GROUP BY r.conv_id, r.turn)""",
+    "asked AS (SELECT c.conv_id AS qid, c.text AS query FROM conversations c JOIN prefixes f ON c.conv_id = f.conv_id AND c.turn = f.turn AND n = 1)",
+    DOCS, HASH_RANK, "hits AS (SELECT s.qid, s.pos, s.id, d.text, d.source FROM sem s JOIN docs d USING (id) WHERE pos < 2)", _grouped("hits"),
+])
+
 EVALUATED = ",\n".join([
     BOTH,
     "refs AS (SELECT qid, text AS reference, source AS ref_source FROM sem JOIN docs USING (id) WHERE pos = 0)",
@@ -337,7 +344,15 @@ UNION ALL SELECT page_id + 10000000, 'gone', NULL, NULL, NULL FROM tags WHERE ta
     # the copies that only the earlier arrivals have stay, as a stream brings no word of pages that are gone
     "index_stream_repeats": f"""{_with(INDEXED, "tags AS (SELECT page_id, coalesce(regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1), '') AS tag FROM pages)")}
 SELECT id, text, source FROM ix
-UNION ALL SELECT ix.id + 10000000 * 268435456, ix.text, ix.source FROM ix JOIN tags ON ix.id >> 28 = page_id WHERE tag = 'es'""",
+UNION ALL SELECT ix.id + 10000000::BIGINT * 268435456, ix.text, ix.source FROM ix JOIN tags ON ix.id >> 28 = page_id WHERE tag = 'es'""",
+    "generated_batches": "SELECT doc_id, md5(text) AS answer, NULL::VARCHAR AS error FROM documents",
+    "conversation_prefixes": """SELECT r.conv_id, r.turn, count(*) AS messages,
+  md5(string_agg(m.role || ': ' || m.text, chr(10) ORDER BY m.turn)) AS whole
+FROM conversations r JOIN conversations m ON m.conv_id = r.conv_id AND m.turn <= r.turn WHERE r.role = 'user' GROUP BY r.conv_id, r.turn""",
+    "routed_conversations": f"""{_with(_CONVERSATIONS)}
+SELECT f.conv_id, f.turn, coalesce(ids, '') AS ids, coalesce(sources, '') AS sources, CASE WHEN n = 1
+  THEN md5('{SYSTEM} ' || {_trim("'query: ' || query || ', context: [' || context || ']'", 2048 - _SYSTEM_TOKENS)}) ELSE md5(whole) END AS answer
+FROM prefixes f LEFT JOIN asked ON qid = f.conv_id AND n = 1 LEFT JOIN lists USING (qid) LEFT JOIN names USING (qid)""",
     "numbered_files": """WITH n AS (SELECT printf('%08d', page_id) AS name, contains(coalesce(url, ''), '/en/') AS early FROM pages),
 r AS (SELECT name, early, row_number() OVER (PARTITION BY early ORDER BY name) - 1 AS place, count(*) FILTER (early) OVER () AS first FROM n)
 SELECT name, CASE WHEN early THEN place ELSE first + place END AS number, CASE WHEN early THEN place END AS first_number FROM r""",

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.catalog.stubs import fingerprint_model, length_judge, named_model, vowel_logits, vowel_model
+from passagekit.catalog.stubs import chat_model, fingerprint_model, flaky_batch_model, length_judge, named_model, vowel_logits, vowel_model
 from passagekit.functions.text import (
     count_tokens, extract_generated, format_chat_reply, format_reply, normalize_for_classifier, parse_judge_json,
     parse_judge_lines, split_camel_case, strip_mention, thread_of, trim_tokens,
@@ -27,7 +27,7 @@ from passagekit.operators.metrics import corpus_statistics
 from passagekit.operators.postings import PostingsIndex, postings_topk, write_postings
 from passagekit.operators.prompts import build_prompt, context_budget
 from passagekit.operators.sections import extract_sections, page_text, resolve_uris
-from passagekit.plans.answering import AnswerConfig, answer_questions, conversation_requests, question_contexts, run_experiment
+from passagekit.plans.answering import AnswerConfig, answer_questions, conversation_messages, conversation_requests, question_contexts, route_conversations, run_experiment
 from passagekit.plans.evaluating import evaluate
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index, chunk_documents
 from passagekit.session import materialize, new_path, spread
@@ -448,6 +448,23 @@ def conversation_routes(spark, folder):
     return requests.select("conv_id", "turn", "query", "retrieves")
 
 
+def conversation_prefixes(spark, folder):
+    """The messages of every request of a conversation."""
+    requests = conversation_messages(table(spark, folder, "conversations"))
+    lines = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return requests.select("conv_id", "turn", F.size("messages").alias("messages"), F.md5(lines).alias("whole"))
+
+
+def routed_conversations(spark, folder):
+    """First questions answered from the documents, follow-ups by a chat model that sees all messages and roles."""
+    index = hash_embed(chunks_of_documents(spark, folder), "text", DIM)
+    config = replace(ANSWER_CONFIG, num_chunks=2, use_lexical_search=False)
+    requests = conversation_messages(table(spark, folder, "conversations"))
+    rows = route_conversations(requests, index, fingerprint_model, config=config, chat_factory=chat_model)
+    ids = F.array_join(F.transform("document_ids", lambda i: i.cast("string")), ",").alias("ids")
+    return rows.select("conv_id", "turn", ids, F.array_join("sources", ",").alias("sources"), "answer")
+
+
 def conversation_cost(spark, folder):
     """Long conversations on the strong model; user and system texts are prompts, answers are sampled."""
     turns = table(spark, folder, "conversations")
@@ -643,6 +660,12 @@ def generated_answers(spark, folder):
     return generate(rows, fingerprint_model).select("doc_id", "answer", "error")
 
 
+def generated_batches(spark, folder):
+    """The same answers from a model of lists whose rows all fail once."""
+    rows = table(spark, folder, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return generate(rows, flaky_batch_model, max_retries=2, retry_interval=0.0, batch_size=64).select("doc_id", "answer", "error")
+
+
 QUERIES: dict[str, Query] = {
     "knn_topk": knn_topk,
     "knn_cells": knn_cells_query,
@@ -693,6 +716,8 @@ QUERIES: dict[str, Query] = {
     "route_model": route_model_query,
     "softmax_labels": softmax_labels,
     "conversation_routes": conversation_routes,
+    "conversation_prefixes": conversation_prefixes,
+    "routed_conversations": routed_conversations,
     "conversation_cost": conversation_cost,
     "hybrid_contexts": hybrid_contexts,
     "answer_questions": answer_questions_query,
@@ -714,4 +739,5 @@ QUERIES: dict[str, Query] = {
     "quality_score": quality_score_query,
     "judge_prompts": judge_prompts,
     "generated_answers": generated_answers,
+    "generated_batches": generated_batches,
 }

@@ -10,6 +10,23 @@ def fingerprint_model():
     return lambda prompt: {"generated_text": hashlib.md5(prompt.encode()).hexdigest()}
 
 
+def flaky_batch_model():
+    """A model of lists that fails for every prompt the first time it sees it."""
+    seen = set()
+
+    def call(prompts):
+        out = [hashlib.md5(p.encode()).hexdigest() if p in seen else RuntimeError("not yet") for p in prompts]
+        seen.update(prompts)
+        return out
+
+    return call
+
+
+def chat_model():
+    """A chat model that answers with the md5 of its messages and their roles."""
+    return lambda messages: hashlib.md5("\n".join(f"{m['role']}: {m['content']}" for m in messages).encode()).hexdigest()
+
+
 def named_model(llm):
     """A generator that answers with the md5 of its name, its share of tokens and its prompt."""
     return lambda prompt, max_tokens: hashlib.md5(f"{llm}|{max_tokens}|{prompt}".encode()).hexdigest()

@@ -19,6 +19,7 @@ from passagekit.operators.lexical import LexicalIndex, bm25_topk
 from passagekit.operators.prompts import build_prompt, context_budget
 from passagekit.operators.topk import MAX_QUESTIONS
 from passagekit.schemas import LEXICAL_K, NUM_CHUNKS, RERANK_K, RERANK_THRESHOLD
+from passagekit.session import materialize
 from passagekit.sources.records import write_responses
 
 
@@ -48,6 +49,9 @@ SERVING_CHUNK_SIZE = 700
 SERVING_CHUNK_OVERLAP = 50
 
 
+# Turn numbers of a segment of a conversation, whose messages are gathered in one group.
+SEGMENT = 1000
+
 # What a question without any hit has.
 _NO_CONTEXT = {
     "document_ids": "array<bigint>", "texts": "array<string>", "sources": "array<string>",
@@ -138,21 +142,54 @@ def conversation_requests(turns: DataFrame, conv_col: str = "conv_id", turn_col:
         (F.col(turn_col) == F.col("_start")).alias("retrieves"))
 
 
+def conversation_messages(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+                          text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
+    """The request of each user turn: conv_id, turn, messages. The messages are all turns up to it, as (role, content) in order.
+
+    Turns that share a number are ordered by role and text, and a request ends with its own message. NULL turns come first.
+    Conversations are cut by turn numbers into segments first. A segment's requests meet the segments before it, each a
+    list made once, so a long conversation is spread over many groups; no group holds more than the messages of its longest request.
+    """
+    message = F.struct(
+        F.col(turn_col).cast("long").alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("content"))
+    segments = materialize(
+        turns.select(F.col(conv_col).alias("conv_id"), F.coalesce(F.floor(F.col(turn_col) / segment), F.lit(-(1 << 62))).alias("part"), message.alias("m"))
+        .groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("m")).alias("own")))
+    earlier = segments.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.col("own").alias("_own"))
+    asking = segments.where(F.exists("own", lambda m: m["role"] == "user"))
+    before = (F.col("conv_id").eqNullSafe(F.col("_conv"))) & (F.col("_part") < F.col("part"))
+    met = asking.select("conv_id", "part").join(earlier, before).groupBy("conv_id", "part").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_part", "_own"))), lambda x: x["_own"])).alias("before"))
+    met = met.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), "before")
+    joined = asking.join(met, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left")
+    each = joined.select("conv_id", "own", "before", F.posexplode("own").alias("at", "last")).where("last.role = 'user'")
+    whole = F.concat(F.coalesce("before", F.array().cast(each.schema["own"].dataType)), F.slice("own", F.lit(1), F.col("at") + 1))
+    return each.select(
+        "conv_id", F.col("last.turn").alias("turn"),
+        F.transform(whole, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
 def route_conversations(requests: DataFrame, index: DataFrame, factory: Callable[..., object],
                         lexical: LexicalIndex | None = None, reranker: PipelineModel | None = None,
-                        config: AnswerConfig = AnswerConfig(), max_retries: int = 1, retry_interval: float = 60.0) -> DataFrame:
+                        config: AnswerConfig = AnswerConfig(), max_retries: int = 1, retry_interval: float = 60.0,
+                        chat_factory: Callable[..., object] | None = None, **options: object) -> DataFrame:
     """Answer single-message requests from the index and follow-ups straight from the model.
 
-    `requests` holds conv_id and messages (role, content). Result: conv_id, question, sources,
-    document_ids, answer, llm, error. Follow-ups, and requests without messages, have no sources or ids.
+    `requests` holds conv_id, messages (role, content), and turn where a conversation has several requests (of which one at
+    most has a single message). Result: conv_id, turn if given, question, sources, document_ids, answer, llm, error. Follow-ups, and
+    requests without messages, have no sources or ids. The model of `chat_factory` gets their messages with the roles; without it
+    that of `factory` gets their contents joined by blanks.
     """
+    key = [c for c in ("conv_id", "turn") if c in requests.columns]
     first_content = F.get("messages", F.lit(0))["content"]
     single = F.coalesce(F.size("messages") == 1, F.lit(False))
-    first = requests.filter(single).select(F.col("conv_id").alias("qid"), first_content.alias("query"))
-    fresh = answer_questions(first, index, factory, lexical, reranker, config).withColumnRenamed("qid", "conv_id")
-    contents = F.array_join(F.transform("messages", lambda m: m["content"]), " ")
-    later = requests.filter(~single).select("conv_id", first_content.alias("question"), contents.alias("prompt"))
-    direct = send_request(later, factory, max_retries=max_retries, retry_interval=retry_interval).select(
-        "conv_id", "question", F.array().cast("array<string>").alias("sources"),
+    first = requests.filter(single).select(F.col("conv_id").alias("qid"), *key[1:], first_content.alias("query"))
+    fresh = answer_questions(first.select("qid", "query"), index, factory, lexical, reranker, config, **options)
+    if key[1:]:
+        fresh = fresh.join(first.select("qid", "turn"), "qid")
+    contents = F.col("messages") if chat_factory else F.array_join(F.transform("messages", lambda m: m["content"]), " ")
+    later = requests.filter(~single).select(*key, first_content.alias("question"), contents.alias("prompt"))
+    direct = send_request(later, chat_factory or factory, max_retries=max_retries, retry_interval=retry_interval, **options).select(
+        *key, "question", F.array().cast("array<string>").alias("sources"),
         F.array().cast("array<bigint>").alias("document_ids"), "answer", F.lit(config.llm).alias("llm"), "error")
-    return fresh.unionByName(direct)
+    return fresh.withColumnRenamed("qid", "conv_id").select(*direct.columns).unionByName(direct)
