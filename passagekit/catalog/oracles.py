@@ -218,6 +218,32 @@ _MODELS = ", ".join(f"('{model}', {length})" for model, length in CONTEXT_LENGTH
 _PRICES = ", ".join(f"('{model}', {prompt}, {sampled})" for model, prompt, sampled in PRICES)
 _REPLY_SOURCES = "CASE WHEN lang = 'en' THEN []::VARCHAR[] ELSE [source, lang] END"
 
+
+
+def _bayes(training: str, asked: str, key: str) -> str:
+    """Multinomial naive Bayes with add-one smoothing. training: label, text. asked: key columns, text. Result: chances (key, label, p)."""
+    normal = f"list_filter(string_split_regex(lower({_NORMAL}), '\\s+'), lambda x: x <> '')"
+    return ",\n".join([
+        f"taught AS (SELECT label, {normal} AS words FROM ({training}))",
+        "classes AS (SELECT label, ln((count(*) + 1) / (sum(count(*)) OVER () + count(*) OVER ())) AS prior FROM taught GROUP BY label)",
+        "seen AS (SELECT label, w, count(*) AS n FROM (SELECT label, unnest(words) AS w FROM taught) GROUP BY label, w)",
+        "vocabulary AS (SELECT DISTINCT w FROM seen)",
+        "sizes AS (SELECT label, sum(n) AS total FROM seen GROUP BY label)",
+        """thetas AS (SELECT c.label, v.w, ln((coalesce(s.n, 0) + 1) / (coalesce(z.total, 0) + (SELECT count(*) FROM vocabulary))) AS theta
+  FROM classes c CROSS JOIN vocabulary v LEFT JOIN seen s ON s.label = c.label AND s.w = v.w LEFT JOIN sizes z ON z.label = c.label)""",
+        f"""said AS (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest({normal}) AS w FROM ({asked})) GROUP BY {key}, w)""",
+        f"parts AS (SELECT {key}, label, sum(n * theta) AS score FROM said JOIN thetas USING (w) GROUP BY {key}, label)",
+        f"""logits AS (SELECT {key}, c.label, c.prior + coalesce(p.score, 0) AS logit FROM ({asked}) a CROSS JOIN classes c
+  LEFT JOIN parts p USING ({key}, label))""",
+        f"""chances AS (SELECT {key}, label, 1 / sum(exp(least(o.logit - l.logit, 700))) AS p FROM logits l JOIN
+  (SELECT {key}, label AS other, logit FROM logits) o USING ({key}) GROUP BY {key}, label)""",
+    ])
+
+
+_TAGGED = f"""{_with(_bayes(f"SELECT quality::VARCHAR AS label, text FROM {_LABELLED}", "SELECT doc_id, text FROM documents", "doc_id"))}
+SELECT doc_id, CASE WHEN max(p) >= 0.7 THEN arg_max(label, p) ELSE 'other' END AS predicted,
+  round(max(p) FILTER (label = '1'), 5) AS probability FROM chances GROUP BY doc_id"""
+
 BM25_TOPK = f"{_with(LEXICAL)} SELECT qid, pos, id, round(score, 6) AS score FROM lex WHERE pos < 3"
 
 ORACLES: dict[str, str] = {
@@ -303,13 +329,15 @@ FROM total LEFT JOIN price ON model = lower(regexp_replace(llm, '^.*/', ''))""",
     "answers_short_context": _answers(200 - _SYSTEM_TOKENS),
     "sections_nested": f"""SELECT page_id, 0 AS section_pos, 'https://{DOMAIN}/p/' || page_id || '.html#o' || page_id AS source,
   'one ' || page_id || chr(10) || 'mid' || chr(10) || 'tail' AS text FROM pages
-UNION ALL SELECT page_id, 1, 'https://{DOMAIN}/p/' || page_id || '.html#i', 'in ' || url FROM pages""",
+UNION ALL SELECT page_id, 1, 'https://{DOMAIN}/p/' || page_id || '.html#i', trim({PAGE_TEXT}, ' ' || chr(10)) FROM pages""",
     "resolve_anchors": f"""WITH p AS (SELECT page_id, 'data/{DOMAIN}/p/' || page_id || '.html' AS base,
-  'one ' || page_id || ' mid in ' || url || 'tail' AS outside, 'in ' || url AS inside FROM pages)
+  'one ' || page_id || ' mid ' || {PAGE_TEXT} || 'tail' AS outside, {PAGE_TEXT} AS inside FROM pages)
 SELECT page_id, base || '#o' || page_id AS uri, outside AS text FROM p UNION ALL SELECT page_id, base || '#i', inside FROM p
 UNION ALL SELECT page_id, base || '#missing', outside || 'none' FROM p UNION ALL SELECT page_id, base, outside || 'none' FROM p""",
-    "bad_markup": """SELECT page_id, 0 AS section_pos, url || '#a' AS source, NULL::VARCHAR AS text FROM pages
-UNION ALL SELECT page_id, 1, url || '#b', url FROM pages""",
+    "bad_markup": f"""SELECT page_id, 0 AS section_pos, url || '#a' AS source, page_id % 4 < 2 AS damaged,
+  CASE page_id % 4 WHEN 0 THEN 'x' || chr(10) || '[foo]' WHEN 1 THEN 'x' || chr(10) || '[' ELSE 'x ' || chr(65533) END
+  || chr(10) || trim({PAGE_TEXT}, ' ' || chr(10)) AS text FROM pages
+UNION ALL SELECT page_id, 1, url || '#b', page_id % 4 < 2, url FROM pages""",
     "experiment_record": ANSWERS,
     "answer_stream": ANSWERS,
     "answer_log": """SELECT 'finished streaming query' AS event, source AS llm, 2 * count(*) AS events, count(DISTINCT doc_id) AS documents,
@@ -345,6 +373,38 @@ UNION ALL SELECT page_id + 10000000, 'gone', NULL, NULL, NULL FROM tags WHERE ta
     "index_stream_repeats": f"""{_with(INDEXED, "tags AS (SELECT page_id, coalesce(regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1), '') AS tag FROM pages)")}
 SELECT id, text, source FROM ix
 UNION ALL SELECT ix.id + 10000000::BIGINT * 268435456, ix.text, ix.source FROM ix JOIN tags ON ix.id >> 28 = page_id WHERE tag = 'es'""",
+    "html_files": "SELECT page_id, md5(html || chr(10)) AS content FROM pages",
+    "index_table": INDEX,
+    "index_reset": INDEX,
+    "stage_counts": f"""{_with(INDEXED)} SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM articles) AS sections,
+  (SELECT count(*) FROM ix) AS chunks""",
+    "first_chunks": "SELECT doc_id, md5(text) AS content FROM documents ORDER BY doc_id DESC LIMIT 20",
+    "references_read": """SELECT form, CASE form WHEN 'array' THEN row_number() OVER (PARTITION BY form ORDER BY item_id) - 1 ELSE item_id END AS qid,
+  md5(text) AS question, md5(text) AS answer, 's#' || item_id AS source FROM benchmark, (VALUES ('array'), ('lines')) AS f(form)""",
+    "sent_requests": """SELECT doc_id, CASE WHEN length(text) % 7 = 0 THEN '' ELSE md5(text) END AS answer,
+  CASE WHEN length(text) % 7 = 0 THEN 'RuntimeError: busy' END AS error FROM documents""",
+    "evaluation_written": f"""{_with(EVALUATED)} SELECT qid, score, reasoning, 'owner/Length-Judge' AS evaluator,
+  round(avg(found) OVER (), 6) AS retrieval_score,
+  round(avg(score) FILTER (score <> 0 AND length(reference) > 0) OVER (), 6) AS quality_score FROM judged""",
+    "experiment_from_pages": f"""{_with(INDEXED, "docs AS (SELECT id, text, source FROM ix)",
+        "asked AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, text AS query FROM benchmark)", BM25_INDEX, BM25_SCORES, BM25_RANK, HASH_RANK,
+        SPLICED, "hits AS (SELECT s.*, d.text, d.source FROM spliced s JOIN docs d USING (id))", _grouped("hits"))}
+SELECT qid, ids, sources, md5('{SYSTEM} ' || {_trim("'query: ' || query || ', context: [' || context || ']'", 2048 - _SYSTEM_TOKENS)}) AS answer,
+  '{LLM}' AS llm FROM asked JOIN lists USING (qid) JOIN names USING (qid)""",
+    "tag_probabilities": _TAGGED,
+    "tag_weights": _TAGGED,
+    "routed_by_model": f"""{_with(_bayes(f"SELECT quality::VARCHAR AS label, text FROM {_LABELLED}",
+        "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'", "conv_id, turn"))}
+SELECT conv_id, turn, CASE WHEN max(p) FILTER (label = '1') > max(p) FILTER (label = '0') THEN '{LLM}' ELSE 'gpt-4' END AS llm
+FROM chances GROUP BY conv_id, turn""",
+    "reranked_answers": f"""{_with(BOTH, SPLICED, _bayes("SELECT source AS label, text FROM documents", "SELECT qid, query AS text FROM asked", "qid"),
+        """tags AS (SELECT qid, CASE WHEN max(p) >= 0.5 THEN arg_max(label, p) ELSE 'other' END AS predicted FROM chances GROUP BY qid),
+moved AS (SELECT s.qid, s.id, d.source, d.text, row_number() OVER (PARTITION BY s.qid
+  ORDER BY (predicted <> 'other' AND d.source <> predicted), s.pos) - 1 AS pos
+  FROM spliced s JOIN docs d USING (id) JOIN tags t ON t.qid = s.qid),
+hits AS (SELECT * FROM moved WHERE pos < 4)""", _grouped("hits"))}
+SELECT qid, ids, sources, md5('{SYSTEM} ' || {_trim("'query: ' || query || ', context: [' || context || ']'", 2048 - _SYSTEM_TOKENS)}) AS answer,
+  '{LLM}' AS llm FROM asked JOIN lists USING (qid) JOIN names USING (qid)""",
     "generated_batches": "SELECT doc_id, md5(text) AS answer, NULL::VARCHAR AS error FROM documents",
     "conversation_prefixes": """SELECT r.conv_id, r.turn, count(*) AS messages,
   md5(string_agg(m.role || ': ' || m.text, chr(10) ORDER BY m.turn)) AS whole

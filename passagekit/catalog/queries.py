@@ -4,36 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from uuid import uuid4
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.catalog.stubs import chat_model, fingerprint_model, flaky_batch_model, length_judge, named_model, vowel_logits, vowel_model
+from passagekit.catalog.stubs import busy_model, chat_model, fingerprint_model, flaky_batch_model, length_judge, named_model, vowel_logits, vowel_model
 from passagekit.functions.text import (
     count_tokens, extract_generated, format_chat_reply, format_reply, normalize_for_classifier, parse_judge_json,
     parse_judge_lines, split_camel_case, strip_mention, thread_of, trim_tokens,
 )
 from passagekit.functions.uris import DOMAIN, path_to_uri, tag_of, uri_anchor, uri_page
 from passagekit.operators.chunking import chunk_text
-from passagekit.operators.classify import classify_with_threshold, fit_router, fit_tag_classifier, route, softmax_classify
+from passagekit.operators.classify import (
+    classifier_weights, classify_with_threshold, fit_router, fit_tag_classifier, label_with_threshold, route, score_with_weights,
+    softmax_classify,
+)
 from passagekit.operators.embedding import check_dim, embed, hash_embed
 from passagekit.operators.evaluation import align, alignment_problems, is_retrieved, judge_prompt, quality_score, retrieval_score
 from passagekit.operators.fusion import attach_chunks, collect_context, rerank_by_tag, splice, truncate_hits
-from passagekit.operators.generation import generate, token_cost
+from passagekit.operators.generation import generate, send_request, token_cost
 from passagekit.operators.cells import CellStore, knn_cells, write_cells
 from passagekit.operators.knn import knn, knn_one
 from passagekit.operators.lexical import LexicalIndex, bm25_index, bm25_scores, bm25_topk
-from passagekit.operators.metrics import corpus_statistics
+from passagekit.operators.metrics import corpus_statistics, preview
 from passagekit.operators.postings import PostingsIndex, postings_topk, write_postings
 from passagekit.operators.prompts import build_prompt, context_budget
 from passagekit.operators.sections import extract_sections, page_text, resolve_uris
-from passagekit.plans.answering import AnswerConfig, answer_questions, conversation_messages, conversation_requests, question_contexts, route_conversations, run_experiment
+from passagekit.plans.answering import (
+    AnswerConfig, answer_questions, conversation_messages, conversation_requests, experiment_from_pages, question_contexts,
+    route_conversations, run_experiment,
+)
 from passagekit.plans.evaluating import evaluate
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index, chunk_documents
 from passagekit.session import materialize, new_path, spread
-from passagekit.sources.corpus import grown_numbers, number_pages, only_new, read_responses
-from passagekit.sources.index_store import load_or_build_index, read_index, read_ranges, snapshot_index, write_ranges
-from passagekit.sources.records import append_answer_log
+from passagekit.sources.corpus import (
+    grown_numbers, list_corpus, number_pages, only_new, read_html_corpus, read_references, read_responses,
+)
+from passagekit.sources.index_store import (
+    create_index_table, insert_index, load_or_build_index, read_index, read_ranges, reset_index, snapshot_index, write_ranges,
+)
+from passagekit.sources.records import append_answer_log, evaluation_name
 from passagekit.sources.refresh import refresh_index, stored_index
 from passagekit.streaming.jobs import (
     answer_stream, index_stream, read_arrivals, read_page_stream, read_question_stream, refresh_stream,
@@ -366,6 +378,67 @@ def numbered_files(spark, folder):
     return last.join(before, "name", "left").select("name", F.col("page_id").alias("number"), "first_number")
 
 
+def html_files(spark, folder):
+    """Pages written as files, listed without opening them, and read back."""
+    path = new_path(spark, "html")
+    table(spark, folder, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    number = lambda c: F.regexp_extract(c, "page_id=([0-9]+)", 1).cast("long")
+    listed = list_corpus(spark, path, "*.txt").select(number(F.col("path")).alias("page_id"))
+    read = read_html_corpus(spark, path, "*.txt").select(number(F.col("source")).alias("page_id"), F.md5("text").alias("content"))
+    return listed.join(read, "page_id")
+
+
+def index_table(spark, folder):
+    """A catalog table, created once, filled by two inserts."""
+    name, path = f"document_{uuid4().hex}", new_path(spark, "table")
+    for _ in range(2):
+        create_index_table(spark, name, path)
+    index = build_index(table(spark, folder, "pages"), PAGE_CONFIG)
+    english = F.col("source").contains("/en/")
+    insert_index(index.where(english), name, DIM)
+    insert_index(index.where(~english), name, DIM)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return _index_columns(read_index(spark, path, "id", "text", "source", "embedding"))
+
+
+def index_reset(spark, folder):
+    """An index that was emptied and filled anew holds nothing of before."""
+    path = new_path(spark, "index")
+    build_and_write(_earlier_pages(spark, folder), path, PAGE_CONFIG)
+    reset_index(spark, path)
+    build_and_write(table(spark, folder, "pages"), path, PAGE_CONFIG)
+    return _index_columns(read_index(spark, path, "id", "text", "source", "embedding"))
+
+
+def stage_counts(spark, folder):
+    """The rows of every stage of an index build, counted while it is written."""
+    report = build_and_write(table(spark, folder, "pages"), new_path(spark, "index"), PAGE_CONFIG)
+    return spark.range(1).select(*(F.lit(int(report[stage])).cast("long").alias(stage) for stage in ("pages", "sections", "chunks")))
+
+
+def first_chunks(spark, folder):
+    """A preview of the documents with the highest numbers."""
+    return preview(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.md5("text").alias("content")).orderBy(F.desc("doc_id")), 20)
+
+
+def references_read(spark, folder):
+    """References from one JSON array and from JSON lines: the same rows."""
+    path = new_path(spark, "references")
+    rows = questions_of(spark, folder).select("qid", F.col("query").alias("question"), F.md5("query").alias("answer"), F.concat(F.lit("s#"), "qid").alias("source"))
+    rows.write.json(f"{path}/lines")
+    whole = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("qid", "question", "answer", "source"))), lambda r: F.struct(r["question"], r["answer"], r["source"])))
+    rows.agg(whole.alias("value")).coalesce(1).write.text(f"{path}/array.json")
+    both = read_references(spark, f"{path}/lines").select("*", F.lit("lines").alias("form")).unionByName(
+        read_references(spark, f"{path}/array.json").select("*", F.lit("array").alias("form")))
+    return both.select("form", "qid", F.md5("question").alias("question"), "answer", "source")
+
+
+def sent_requests(spark, folder):
+    """A service that is busy for some texts: one repeat, then an empty answer and its error."""
+    rows = table(spark, folder, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return send_request(rows, busy_model, retry_interval=0.0).select("doc_id", "answer", "error")
+
+
 def document_index(spark, folder):
     """Chunks of the documents with their ids."""
     return chunk_documents(table(spark, folder, "documents"))
@@ -437,6 +510,46 @@ def route_model_query(spark, folder):
     return route(turns.select("conv_id", "turn", "text"), router, LLM, "gpt-4", "text").select("conv_id", "turn", "llm")
 
 
+def _saved_classifier(spark, training: DataFrame, label: str) -> PipelineModel:
+    """Trained, written by the model writer and loaded again."""
+    path = new_path(spark, "classifier")
+    fit_tag_classifier(training, "text", label, algorithm="bayes").write().save(path)
+    return PipelineModel.load(path)
+
+
+def tag_probabilities(spark, folder):
+    """The label and the probability of label 1 of every document, by a loaded model."""
+    model = _saved_classifier(spark, _labelled(spark, folder), "quality")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    rows = classify_with_threshold(documents, model, "text", 0.7, probabilities="chances")
+    return rows.select("doc_id", "predicted", F.round(F.get("chances", F.lit(1)), 5).alias("probability"))
+
+
+def tag_weights(spark, folder):
+    """The same by joins with the weights of the loaded model."""
+    model = _saved_classifier(spark, _labelled(spark, folder), "quality")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    rows = score_with_weights(documents, classifier_weights(model), "doc_id", "text")
+    label = label_with_threshold(F.col("probabilities"), ["0", "1"], 0.7)
+    return rows.select("doc_id", label.alias("predicted"), F.round(F.get("probabilities", F.lit(1)), 5).alias("probability"))
+
+
+def routed_by_model(spark, folder):
+    """Every user turn and the model that a trained and loaded router sends it to."""
+    router = _saved_classifier(spark, _labelled(spark, folder), "quality")
+    turns = table(spark, folder, "conversations").filter("role = 'user'")
+    return route(turns.select("conv_id", "turn", "text"), router, LLM, "gpt-4", "text").select("conv_id", "turn", "llm")
+
+
+def reranked_answers(spark, folder):
+    """Answers whose hits are re-ranked by a classifier of sources, trained on the documents and loaded."""
+    documents = table(spark, folder, "documents")
+    reranker = _saved_classifier(spark, documents.select("text", "source"), "source")
+    index, lexical = _index_and_lexical(spark, folder)
+    config = replace(ANSWER_CONFIG, use_reranking=True, rerank_threshold=0.5, rerank_k=4)
+    return _answer_columns(answer_questions(questions_of(spark, folder), index, fingerprint_model, lexical, reranker, config))
+
+
 def softmax_labels(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
     rows = softmax_classify(documents, "text", vowel_logits, ["a", "e"], threshold=0.6)
@@ -522,19 +635,18 @@ def answers_short_context(spark, folder):
 
 
 def bad_markup(spark, folder):
-    """Pages with markup that parsers give up on, in front of their article: every section is still returned."""
+    """Pages with markup that parsers give up on in front of them: the whole page is still read, and the damage is reported."""
     bad = F.element_at(F.array(*map(F.lit, ("<![foo]>", "<![ >", "&#" + "5" * 5000 + ";", "&#xD800;"))), (F.col("page_id") % 4 + 1).cast("int"))
-    pages = table(spark, folder, "pages").select(
-        "page_id", "url", F.concat(F.lit("<section id='a'>x "), bad, F.lit("</section><section id='b'>"), F.col("url"), F.lit("</section>")).alias("html"))
-    rows = extract_sections(pages, domain=None)
-    return rows.select("page_id", "section_pos", "source", F.when(F.col("section_pos") == 1, F.col("text")).alias("text"))
+    pages = table(spark, folder, "pages").select("page_id", "url", F.concat(
+        F.lit("<section id='a'>x "), bad, F.lit("<div>"), "html", F.lit("</div></section><section id='b'>"), F.col("url"), F.lit("</section>")).alias("html"))
+    return extract_sections(pages, domain=None, damaged="damaged").select("page_id", "section_pos", "source", "text", "damaged")
 
 
 def _nested_pages(spark, folder):
-    """Pages of nested sections, one of them without an id, around each page's URL."""
+    """Each page as an inner section, within an outer one and beside one without an id."""
     page = F.col("page_id").cast("string")
-    html = F.concat(F.lit("<section id='o"), page, F.lit("'><p>one "), page, F.lit("</p> mid <section id='i'><p>in "), F.col("url"),
-                    F.lit("</p></section><p>tail</p></section><section><p>none</p></section>"))
+    html = F.concat(F.lit("<section id='o"), page, F.lit("'><p>one "), page, F.lit("</p> mid <section id='i'><div>"), F.col("html"),
+                    F.lit("</div></section><p>tail</p></section><section><p>none</p></section>"))
     path = F.concat(F.lit(f"data/{DOMAIN}/p/"), page, F.lit(".html"))
     return table(spark, folder, "pages").select("page_id", path.alias("url"), html.alias("html"))
 
@@ -552,6 +664,18 @@ def resolve_anchors(spark, folder):
     return resolve_uris(uris, pages.select("url", "html"))
 
 
+def experiment_from_pages_query(spark, folder):
+    """The whole experiment over the pages, run twice: the second run loads what the first one built."""
+    root = new_path(spark, "experiment")
+    references = f"{root}/references.json"
+    rows = questions_of(spark, folder).select(F.struct("qid", F.col("query").alias("question"), F.lit("").alias("answer"), F.lit("").alias("source")).alias("r"))
+    rows.agg(F.to_json(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.struct(r["question"], r["answer"], r["source"]))).alias("value")).coalesce(
+        1).write.text(references)
+    for name in ("first", "second"):
+        target = experiment_from_pages(name, table(spark, folder, "pages"), references, root, fingerprint_model, PAGE_CONFIG, ANSWER_CONFIG)
+    return _answer_columns(read_responses(spark, f"{target}/results"))
+
+
 def experiment_record(spark, folder):
     """Answers written with their configuration and read back as responses."""
     index, lexical = _index_and_lexical(spark, folder)
@@ -627,6 +751,17 @@ def judged_scores(spark, folder):
     return scores.select(rounded("retrieval_score"), rounded("quality_score"))
 
 
+def evaluation_written(spark, folder):
+    """An evaluation as its files hold it: every judged answer beside both scores."""
+    path = new_path(spark, "evaluations")
+    evaluate(_references(spark, folder), _responses(spark, folder), length_judge, "hybrid", "owner/Length-Judge", path)
+    target = f"{path}/{evaluation_name('hybrid', 'owner/Length-Judge')}"
+    results = spark.read.schema("qid long, score double, reasoning string").json(f"{target}/results")
+    scores = spark.read.schema("config struct<evaluator:string>, retrieval_score double, quality_score double").json(f"{target}/summary")
+    return results.join(F.broadcast(scores)).select(
+        "qid", "score", "reasoning", F.col("config.evaluator").alias("evaluator"), rounded("retrieval_score"), rounded("quality_score"))
+
+
 def judge_lines(spark, folder):
     rows = spark.read.parquet(f"{folder}/labels.parquet")
     reply = F.when(F.col("toxic") == 1, F.lit("no score")).otherwise(
@@ -705,6 +840,15 @@ QUERIES: dict[str, Query] = {
     "incremental_refresh": incremental_refresh,
     "index_stream_repeats": index_stream_repeats,
     "numbered_files": numbered_files,
+    "html_files": html_files,
+    "index_table": index_table,
+    "index_reset": index_reset,
+    "stage_counts": stage_counts,
+    "first_chunks": first_chunks,
+    "references_read": references_read,
+    "sent_requests": sent_requests,
+    "evaluation_written": evaluation_written,
+    "experiment_from_pages": experiment_from_pages_query,
     "document_index": document_index,
     "token_counts": token_counts,
     "token_budget": token_budget,
@@ -714,6 +858,10 @@ QUERIES: dict[str, Query] = {
     "generator_outputs": generator_outputs,
     "tag_classifier": tag_classifier,
     "route_model": route_model_query,
+    "tag_probabilities": tag_probabilities,
+    "tag_weights": tag_weights,
+    "routed_by_model": routed_by_model,
+    "reranked_answers": reranked_answers,
     "softmax_labels": softmax_labels,
     "conversation_routes": conversation_routes,
     "conversation_prefixes": conversation_prefixes,

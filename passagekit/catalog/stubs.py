@@ -22,6 +22,16 @@ def flaky_batch_model():
     return call
 
 
+def busy_model():
+    """A service that refuses prompts whose length is a multiple of seven."""
+    def call(prompt):
+        if len(prompt) % 7 == 0:
+            raise RuntimeError("busy")
+        return hashlib.md5(prompt.encode()).hexdigest()
+
+    return call
+
+
 def chat_model():
     """A chat model that answers with the md5 of its messages and their roles."""
     return lambda messages: hashlib.md5("\n".join(f"{m['role']}: {m['content']}" for m in messages).encode()).hexdigest()

@@ -21,6 +21,7 @@ JUDGE_ANSWER = r'"answer"\s*:\s*"([^"]*)"'
 JUDGE_SCORE = r'"score"\s*:\s*([0-9]+)'
 JUDGE_REASONING = r'"reasoning"\s*:\s*"([^"]*)"'
 CAMEL_CASE = "([a-z0-9])([A-Z])"
+# The look-behind follows the sign, so that it is only tried at signs and not at every character: the same matches, in less time.
 TIGHT_PUNCTUATION = r"(?U)([?.,!])(?<=\w[?.,!])(?!\s)"
 
 _PIECE = r"(?U)\s*\S+"

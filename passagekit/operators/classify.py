@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from passagekit.session import materialize
 
 OTHER = "other"
 FEATURES = 1 << 12
+# Words of a naive Bayes classifier; the driver and every task hold them.
+VOCABULARY = 1 << 18
 
 
 def label_with_threshold(probabilities: Column, labels: list[str], threshold: float = RERANK_THRESHOLD,
@@ -31,19 +33,34 @@ def label_with_threshold(probabilities: Column, labels: list[str], threshold: fl
     return F.when(top >= threshold, best).otherwise(F.lit(other))
 
 
+Subwords = Callable[[Column], Column] | None
+
+
 def fit_tag_classifier(training: DataFrame, text_col: str = "text", label_col: str = "label",
-                       features: int = FEATURES, max_iter: int = 20) -> PipelineModel:
-    """Hashed TF-IDF and logistic regression over normalised text. Save it with `model.write()`.
+                       features: int = FEATURES, max_iter: int = 20, algorithm: str = "logistic",
+                       subwords: Subwords = None) -> PipelineModel:
+    """A classifier over normalised text. Save it with `model.write()`, load it with `PipelineModel.load`.
+
+    `logistic`: hashed TF-IDF and logistic regression. `bayes`: multinomial naive Bayes over the counts of the `VOCABULARY` most
+    frequent words; its weights are a table (`classifier_weights`) that a join can score with. `subwords` maps the normalised
+    text to its sub-word tokens, joined by blanks; classify with the same one. Rows without a label or with a NULL text are left out.
 
     The normalised texts are written once, since every stage of the pipeline reads them again.
     """
     prepared = materialize(training.select(
-        normalize_for_classifier(F.col(text_col)).alias("text"), F.col(label_col).cast("string").alias("label")))
+        normalize_for_classifier(F.col(text_col), subwords).alias("text"), F.col(label_col).cast("string").alias("label")).dropna())
+    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+")
+    target = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep")
+    if algorithm == "bayes":
+        return Pipeline(stages=[
+            words, CountVectorizer(inputCol="words", outputCol="features", vocabSize=VOCABULARY), target,
+            NaiveBayes(labelCol="target", featuresCol="features", modelType="multinomial"),
+        ]).fit(prepared)
     return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"),
+        words,
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
         IDF(inputCol="counts", outputCol="features"),
-        StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        target,
         LogisticRegression(labelCol="target", featuresCol="features", maxIter=max_iter),
     ]).fit(prepared)
 
@@ -54,22 +71,55 @@ def _labels(model: PipelineModel) -> list[str]:
 
 
 def classify_with_threshold(df: DataFrame, model: PipelineModel, text_col: str = "query",
-                            threshold: float = RERANK_THRESHOLD, other: str = OTHER, into: str = "predicted") -> DataFrame:
-    """Add the thresholded label and its probability."""
+                            threshold: float = RERANK_THRESHOLD, other: str = OTHER, into: str = "predicted",
+                            subwords: Subwords = None, probabilities: str | None = None) -> DataFrame:
+    """Add the thresholded label and its probability; with `probabilities`, all of them under that name in the order of the labels."""
     names = _labels(model)
     scoring = PipelineModel([s for s in model.stages if not hasattr(s, "labelsArray")])
     prepared = df.withColumn("_text", F.col(text_col))
-    renamed = prepared.select(*df.columns, normalize_for_classifier(F.col("_text")).alias("_normal"))
+    renamed = prepared.select(*df.columns, normalize_for_classifier(F.col("_text"), subwords).alias("_normal"))
     columns = [F.col(c).alias(f"_in_{c}") for c in df.columns]
     scored = scoring.transform(renamed.select(*columns, F.coalesce("_normal", F.lit("")).alias("text")))
-    probabilities = F.slice(vector_to_array("probability"), 1, len(names))
+    chances = F.slice(vector_to_array("probability"), 1, len(names))
+    every = [chances.alias(probabilities)] if probabilities else []
     return scored.select(
         *(F.col(f"_in_{c}").alias(c) for c in df.columns),
-        label_with_threshold(probabilities, names, threshold, other).alias(into),
-        F.array_max(probabilities).alias(f"{into}_probability"),
+        label_with_threshold(chances, names, threshold, other).alias(into),
+        F.array_max(chances).alias(f"{into}_probability"), *every,
     )
 
 
+def classifier_weights(model: PipelineModel) -> DataFrame:
+    """The weights of a `bayes` classifier: term (NULL: the class itself), weights (one per label in alphabetical order).
+
+    At most `VOCABULARY` rows, which the model's own vocabulary bounds.
+    """
+    spark = SparkSession.getActiveSession()
+    bayes = next(s for s in model.stages if hasattr(s, "theta"))
+    vocabulary = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
+    weights = np.column_stack([bayes.pi.toArray(), bayes.theta.toArray()]).T
+    return spark.createDataFrame(pa.table({
+        "term": pa.array([None, *vocabulary], pa.string()), "weights": pa.array(list(weights), pa.list_(pa.float64()))}))
+
+
+def score_with_weights(df: DataFrame, weights: DataFrame, key: str, text_col: str = "query", subwords: Subwords = None) -> DataFrame:
+    """key and `probabilities` by joins alone: the words of each text are counted, meet the weights and are summed per key.
+
+    The weights are broadcast, as the vocabulary bounds them. Keys must be unique; a text without known words has the classes' own chances.
+    """
+    words = F.split(F.lower(normalize_for_classifier(F.coalesce(text_col, F.lit("")), subwords)), r"\s+")
+    counted = df.select(F.col(key).alias("_key"), F.explode(words).alias("term")).groupBy("_key", "term").agg(F.count(F.lit(1)).alias("n"))
+    size = F.size("weights")
+    known = counted.join(F.broadcast(weights.where("term IS NOT NULL")), "term").select(
+        "_key", F.posexplode(F.transform("weights", lambda w: w * F.col("n"))).alias("label", "part"))
+    sums = known.groupBy("_key", "label").agg(F.sum("part").alias("score"))
+    chances = F.broadcast(weights.where("term IS NULL").select(F.posexplode("weights").alias("label", "prior"), size.alias("labels")))
+    every = df.select(F.col(key).alias("_key")).join(chances).join(sums, ["_key", "label"], "left")
+    logits = every.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(
+        "label", (F.col("prior") + F.coalesce("score", F.lit(0.0))).alias("logit")))).alias("logits"))
+    return logits.select(F.col("_key").alias(key), softmax(F.col("logits.logit")).alias("probabilities"))
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of logits, shifted by the largest so that nothing overflows."""
     shifted = F.transform(logits, lambda v: F.exp(v.cast("double") - F.array_max(logits).cast("double")))
@@ -102,7 +152,7 @@ def softmax_classify(df: DataFrame, text_col: str, factory: Callable[..., object
     return probable.withColumn(into, label_with_threshold(F.col("probabilities"), labels, threshold))
 
 
-def fit_router(training: DataFrame, text_col: str = "text", label_col: str = "label", **settings: int) -> PipelineModel:
+def fit_router(training: DataFrame, text_col: str = "text", label_col: str = "label", **settings: object) -> PipelineModel:
     """A yes/no classifier: label 1 means that the cheap model is good enough."""
     return fit_tag_classifier(training, text_col, label_col, **settings)
 

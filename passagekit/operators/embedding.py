@@ -86,6 +86,11 @@ def embed(df: DataFrame, text_col: str, factory: Callable[..., object], dim: int
     return out.withColumn(into, check_dim(F.col(into), dim)) if dim else out
 
 
+def dimension_of(model: str) -> int | None:
+    """The size of a model's vectors, None if it is not known beforehand."""
+    return int(model.removeprefix("hash-")) if model.startswith("hash-") else dict(EMBEDDING_DIMS).get(model)
+
+
 def embed_with(df: DataFrame, text_col: str, model: str, models: dict[str, Callable] | None = None,
                into: str = "embedding", **options: object) -> DataFrame:
     """Choose by name: `hash-<dim>` is built in, other names are looked up in `models`.

@@ -152,7 +152,7 @@ class _TreeBuilder(HTMLParser):
 def parse_reported(html: str) -> tuple[Element, bool]:
     """The tree of a page, and whether markup in it could not be read.
 
-    Reading never fails: from a declaration that the reader gives up on, the page is a comment.
+    Reading never fails: from a declaration that the reader gives up on, the rest of the page is a comment.
     """
     builder = _TreeBuilder()
     try:
@@ -160,7 +160,11 @@ def parse_reported(html: str) -> tuple[Element, bool]:
         builder.close()
     except AssertionError:
         builder.damaged = True
-        builder.special("comment", builder.rawdata)
+        line, column = builder.getpos()
+        at = -1
+        for _ in range(line - 1):
+            at = html.find("\n", at + 1)
+        builder.special("comment", html[at + 1 + column:])
     builder.flush()
     return builder.root, builder.damaged
 

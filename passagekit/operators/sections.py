@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagekit.functions.uris import DOMAIN, SCHEME, path_to_uri, uri_anchor, uri_page
-from passagekit.operators.markup import Element, parse
+from passagekit.operators.markup import Element, parse, parse_reported
+from passagekit.session import estimated_bytes
 
 _SECTIONS = pa.list_(pa.struct([("anchor", pa.string()), ("text", pa.string())]))
 
@@ -26,16 +27,17 @@ def _own_text(element: Element, container: str, keep_comments: bool) -> str:
 
 
 def _section_finder(container: str, keep_comments: bool):
-    @F.arrow_udf("array<struct<anchor:string,text:string>>")
+    @F.arrow_udf("struct<damaged:boolean,sections:array<struct<anchor:string,text:string>>>")
     def find(pages: pa.Array) -> pa.Array:
-        found = []
+        found, damage = [], []
         for html in pages:
-            tree = parse(html.as_py() or "")
+            tree, damaged = parse_reported(html.as_py() or "")
+            damage.append(damaged)
             found.append([
                 {"anchor": e.attrs.get("id"), "text": _own_text(e, container, keep_comments)}
                 for e in tree.elements() if e.name == container
             ])
-        return pa.array(found, _SECTIONS)
+        return pa.StructArray.from_arrays([pa.array(damage, pa.bool_()), pa.array(found, _SECTIONS)], names=["damaged", "sections"])
 
     return find.asNondeterministic()  # never evaluated twice by a pushed-down filter
 
@@ -49,13 +51,15 @@ def extract_sections(
     scheme: str = SCHEME,
     domain: str | None = DOMAIN,
     keep_direct_comments: bool = True,
+    damaged: str | None = None,
 ) -> DataFrame:
     """One row per container element: the other page columns, section_pos, source and text.
 
     `source` is the page URI followed by `#` and the element's id. With `domain=None` the path
-    column already holds the URI. Sections without an id are left out unless `require_id` is off.
+    column already holds the URI. Sections without an id are left out unless `require_id` is off. `damaged` names a column
+    that says whether markup of the page could not be read (see `damaged_pages` for pages without sections).
     """
-    lists = section_lists(pages, container, require_id, html_col, path_col, scheme, domain, keep_direct_comments)
+    lists = section_lists(pages, container, require_id, html_col, path_col, scheme, domain, keep_direct_comments, damaged)
     keys = [c for c in lists.columns if c not in ("_uri", "_sections")]
     rows = lists.select(*keys, "_uri", F.explode("_sections").alias("_section"))
     return rows.select(
@@ -74,22 +78,35 @@ def section_lists(
     scheme: str = SCHEME,
     domain: str | None = DOMAIN,
     keep_direct_comments: bool = True,
+    damaged: str | None = None,
 ) -> DataFrame:
-    """One row per page: its other columns, `_uri`, and `_sections`, a list of pos, anchor and text."""
+    """One row per page: its other columns, `_uri`, and `_sections`, a list of pos, anchor and text; with `damaged`, a column of that name."""
     keys = [c for c in pages.columns if c not in (html_col, path_col, "source", "text")]
     uri = F.col(path_col) if domain is None else path_to_uri(F.col(path_col), scheme, domain)
     find = _section_finder(container, keep_direct_comments)
     rows = pages.select(*keys, uri.alias("_uri"), find(html_col).alias("_found"))
-    numbered = F.transform("_found", lambda s, i: F.struct(i.alias("pos"), s["anchor"].alias("anchor"), s["text"].alias("text")))
+    numbered = F.transform("_found.sections", lambda s, i: F.struct(i.alias("pos"), s["anchor"].alias("anchor"), s["text"].alias("text")))
     if require_id:
         numbered = F.filter(numbered, lambda s: F.coalesce(F.length(s["anchor"]), F.lit(0)) > 0)
-    return rows.select(*keys, "_uri", numbered.alias("_sections"))
+    report = [F.col("_found.damaged").alias(damaged)] if damaged else []
+    return rows.select(*keys, *report, "_uri", numbered.alias("_sections"))
+
+
+def damaged_pages(pages: DataFrame, html_col: str = "html", into: str = "damaged") -> DataFrame:
+    """Add whether markup of the page could not be read and was taken as a comment."""
+    @F.arrow_udf(T.BooleanType())
+    def check(pages: pa.Array) -> pa.Array:
+        return pa.array([parse_reported(html.as_py() or "")[1] for html in pages], pa.bool_())
+
+    return pages.withColumn(into, check.asNondeterministic()(html_col))
 
 
 # Anchors of one page that are looked up with one copy of its HTML.
 ANCHORS_PER_COPY = 64
 # Pages asked for up to this many (their names, some 100 bytes each) are broadcast as a filter.
 ASKED_PAGES = 100_000
+# Below this size all pages may be moved, which is cheaper than counting those that are asked for.
+SMALL_PAGES = 64 << 20
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -133,7 +150,7 @@ def resolve_uris(uris: DataFrame, pages: DataFrame, uri_col: str = "uri", url_co
     )
     bodies = pages.select(F.col(url_col).alias("_page"), F.col(html_col).alias("_html"))
     names = distinct.select("_page").distinct()
-    if names.limit(ASKED_PAGES + 1).count() <= ASKED_PAGES:  # few pages are asked for: only their HTML is moved
+    if estimated_bytes(bodies) > SMALL_PAGES and names.limit(ASKED_PAGES + 1).count() <= ASKED_PAGES:  # few pages are asked for: only their HTML is moved
         bodies = bodies.join(F.broadcast(names), "_page", "left_semi")
     texts = _texts_at.asNondeterministic()(F.col("_html"), F.col("_wanted._anchor"))
     pairs = groups.join(bodies, "_page").select(F.col("_wanted._uri").alias("_uris"), texts.alias("_texts"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from time import perf_counter
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -11,15 +12,18 @@ from pyspark.sql import functions as F
 
 from passagekit.functions.uris import TAG_PATTERN
 from passagekit.operators.classify import classify_with_threshold
-from passagekit.operators.embedding import embed_with
+from passagekit.operators.embedding import dimension_of, embed_with
 from passagekit.operators.fusion import attach_chunks, collect_context, rerank_by_tag, splice, truncate_hits
 from passagekit.operators.generation import generate, generate_by_name, send_request
 from passagekit.operators.knn import knn
-from passagekit.operators.lexical import LexicalIndex, bm25_topk
+from passagekit.operators.lexical import LexicalIndex, bm25_index, bm25_topk
 from passagekit.operators.prompts import build_prompt, context_budget
 from passagekit.operators.topk import MAX_QUESTIONS
+from passagekit.plans.index_build import IndexConfig, build_index
 from passagekit.schemas import LEXICAL_K, NUM_CHUNKS, RERANK_K, RERANK_THRESHOLD
 from passagekit.session import materialize
+from passagekit.sources.corpus import read_references
+from passagekit.sources.index_store import is_complete, load_or_build_index, snapshot_path
 from passagekit.sources.records import write_responses
 
 
@@ -128,6 +132,53 @@ def run_experiment(name: str, questions: DataFrame, index: DataFrame, factory: C
     return write_responses(results, record, path)
 
 
+def experiment_from_pages(name: str, pages: DataFrame, references: str, root: str, factory: Callable[..., object],
+                          index_config: IndexConfig = IndexConfig(), config: AnswerConfig = AnswerConfig(),
+                          reranker: PipelineModel | None = None, num_samples: int | None = None, **options: object) -> str:
+    """The whole experiment: index, lexical index, questions, answers and their record below `root`; returns where the record lies.
+
+    The index of pages (page_id, url, html) is loaded from `root/snapshots` if one of the same model, chunk size and overlap was
+    finished there, else built and written; so is the lexical index beside it. Questions come from a file of references. Options,
+    such as the temperature, go to the factory and into the record.
+    """
+    spark = pages.sparkSession
+    settings = (index_config.model, index_config.chunk_size, index_config.chunk_overlap)
+    index = load_or_build_index(spark, f"{root}/snapshots", index_config.model, dimension_of(index_config.model),
+                                *settings[1:], lambda: build_index(pages, index_config))
+    lexical = None
+    if config.use_lexical_search:
+        beside = snapshot_path(f"{root}/lexical", *settings)
+        if not is_complete(spark, f"{beside}/stats"):  # written last
+            bm25_index(index.select("id", "text")).save(beside)
+        lexical = LexicalIndex.load(spark, beside)
+    questions = materialize(read_references(spark, references, num_samples).select("qid", F.col("question").alias("query")))
+    notes = {
+        "chunk_size": index_config.chunk_size, "chunk_overlap": index_config.chunk_overlap, "references": references,
+        "num_samples": questions.count(), **options,
+    }
+    answering = replace(config, embedding_model=index_config.model, models=index_config.models)
+    return run_experiment(name, questions, index, factory, f"{root}/responses", lexical, reranker, answering, notes, **options)
+
+
+def answer_timed(questions: DataFrame, index: DataFrame, factory: Callable[..., object], lexical: LexicalIndex | None = None,
+                 reranker: PipelineModel | None = None, config: AnswerConfig = AnswerConfig(),
+                 **options: object) -> tuple[DataFrame, dict[str, float]]:
+    """The contexts with their responses, and the seconds of the search, of the generation and of both, rounded to hundredths.
+
+    Both steps are written, so the times hold for all questions together and nothing runs twice.
+    """
+    start = perf_counter()
+    contexts = materialize(question_contexts(questions, index, lexical, reranker, config))
+    found = perf_counter()
+    answers = materialize(generate(prompts_for(contexts, config), factory, into="response", **options))
+    done = perf_counter()
+    return answers.select("qid", "query", "chunks", "response", "error"), {
+        "semantic_search_time_seconds": round(found - start, 2),
+        "response_generation_time_seconds": round(done - found, 2),
+        "execution_time_seconds": round(done - start, 2),
+    }
+
+
 def conversation_requests(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                           text_col: str = "text") -> DataFrame:
     """Each user turn is a request: conv_id, turn, query, retrieves.

@@ -86,5 +86,9 @@ def spread(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
     through without a shuffle; the size is the optimizer's own estimate.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * bytes_per_core else df
+    return df.repartition(cores) if estimated_bytes(df) < cores * bytes_per_core else df
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's own estimate of a table's size; it runs nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -87,7 +87,7 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def load_or_build_index(spark: SparkSession, root: str, model: str, dim: int, chunk_size: int, chunk_overlap: int,
+def load_or_build_index(spark: SparkSession, root: str, model: str, dim: int | None, chunk_size: int, chunk_overlap: int,
                         build: Callable[[], DataFrame]) -> DataFrame:
     """Read the snapshot of this configuration; build and write it first if it is not complete."""
     snapshot = snapshot_path(root, model, chunk_size, chunk_overlap)
