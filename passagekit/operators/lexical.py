@@ -132,7 +132,9 @@ def question_terms(questions: DataFrame, index: LexicalIndex, qid_col: str = "qi
     pairs = words.select("qid", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("p"))
     asked = pairs.select("qid", F.col("p.terms").alias("term"), F.col("p.tfs").alias("repeats"))
     entry = F.struct("term", (F.col("idf") * F.col("repeats")).alias("weight"))
-    return asked.join(index.terms, "term", "left").groupBy("qid").agg(
+    # the few asked terms go to the term table, not the other way round
+    known = index.terms.join(asked.select("term").distinct(), "term", "left_semi")
+    return asked.join(known, "term", "left").groupBy("qid").agg(
         F.array_sort(F.collect_list(F.when(F.col("idf").isNotNull(), entry))).alias("entries"))
 
 

@@ -84,8 +84,10 @@ def question_contexts(questions: DataFrame, index: DataFrame, lexical: LexicalIn
                       reranker: PipelineModel | None = None, config: AnswerConfig = AnswerConfig()) -> DataFrame:
     """One row per question: its columns, document_ids, texts, sources, chunks.
 
-    The number of questions bounds the hits; few enough let the text lookup scan the index in place.
+    The number of questions bounds the hits; few enough let the text lookup scan the index in place. Questions are written
+    once, since every step reads them.
     """
+    questions = materialize(questions)
     found = retrieve(questions, index, lexical, config)
     hits = attach_chunks(found, index, questions.count() * (config.num_chunks + config.lexical_search_k))
     if reranker is not None and config.use_reranking:
