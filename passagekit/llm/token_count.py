@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagekit.llm.units import OTHER_SPACE, Pieces, UnitValues, batches
+from passagekit.llm.units import OTHER_SPACE, TABLES, Pieces, UnitValues, batches
 
 #: Characters of a chunk; a longer text is cut into chunks.
 CHUNK = 1 << 16
@@ -197,15 +197,12 @@ def scan(maps: list[ChunkMap], count) -> list[ChunkMap]:
     return out
 
 
-_COUNTERS: dict[str, tuple[CountTransducer, UnitValues]] = {}
-
-
 def counter(path: str) -> tuple[CountTransducer, UnitValues]:
     """The transducer of a tokenizer file; one per Python worker."""
-    if path not in _COUNTERS:
+    if ("counts", path) not in TABLES:
         machine = CountTransducer(path)
-        _COUNTERS[path] = machine, UnitValues(lambda texts: [sum(map(machine.unit, t.split(" "))) for t in texts])
-    return _COUNTERS[path]
+        TABLES["counts", path] = machine, UnitValues(lambda texts: [sum(map(machine.unit, t.split(" "))) for t in texts])
+    return TABLES["counts", path]
 
 
 def _blanks(text: str) -> str:
@@ -258,7 +255,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     of the transducer.
     """
     def run(iterator):
-        for batch in batches(iterator):
+        for batch in batches(iterator, table=("counts", tokenizer)):
             texts = batch.column(1).to_pylist()
             n = count_text(tokenizer, texts)
             yield pa.RecordBatch.from_arrays(

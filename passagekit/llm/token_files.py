@@ -161,7 +161,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, vocabulary:
 
     def run(iterator):
         out, path = None, ""
-        for batch in batches(iterator):
+        for batch in batches(iterator, table=("ids", tokenizer)):
             if batch.num_rows and out is None:
                 part = TaskContext.get().partitionId()
                 path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -125,7 +126,10 @@ class Pieces:
 
 #: Scripts whose characters have been assigned for long; others may be newer in one library than in another.
 _SETTLED = re.compile("[^\\x00-\u024f\u0391-\u03ff\u0400-\u052f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
-_ENCODERS: dict[str, UnitValues] = {}
+
+
+#: What a Python worker keeps for the next tasks, by what it was made for.
+TABLES: dict[tuple[str, str], object] = {}
 
 
 def encoder(path: str) -> UnitValues:
@@ -134,7 +138,7 @@ def encoder(path: str) -> UnitValues:
     Short pieces go to the library's model one by one, without the bookkeeping of offsets that its whole encoder does;
     units with special tokens, and files of another make, go through the whole encoder. Both give the same ids.
     """
-    if path not in _ENCODERS:
+    if ("ids", path) not in TABLES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
@@ -151,20 +155,32 @@ def encoder(path: str) -> UnitValues:
         def ids(piece: str) -> bytes:
             found = known.get(piece)
             if found is None:
-                found = known[piece] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(piece)])
+                found = known[piece] = array("I", [t.id for t in model.tokenize(piece)]).tobytes()
             return found
 
+        mark, lower = "\u0120" if pieces.joins else "", pieces.lower
+
         def work(texts: list[str]) -> Iterator[bytes]:
             if len(known) > KEPT // 3:
                 known.clear()
+            together = "\n".join(texts)
+            plain = pieces.known and not any(x in together for x in special)
             for text in texts:
+                if plain and text.isascii():  # ASCII letters and signs after them, as most words are: both are pieces by themselves
+                    blank = text[0] == " "
+                    bare = text[1:] if blank else text
+                    letters = bare.rstrip(_SIGNS)
+                    if letters.isalpha():
+                        first = ids((mark if blank else "") + (letters.lower() if lower else letters))
+                        yield first + ids(bare[len(letters):]) if len(letters) < len(bare) else first
+                        continue
                 if not pieces.known or any(x in text for x in special) or not (text.isascii() or _SETTLED.search(text) is None):
                     yield whole(text)
                 else:
                     yield b"".join([ids(x) for x in pieces(text)])
 
-        _ENCODERS[path] = UnitValues(work)
-    return _ENCODERS[path]
+        TABLES["ids", path] = UnitValues(work)
+    return TABLES["ids", path]
 
 
 def encode(path: str, texts: list[str | None]) -> Iterator[bytes]:
@@ -172,8 +188,13 @@ def encode(path: str, texts: list[str | None]) -> Iterator[bytes]:
     return map(b"".join, encoder(path).rows([t or "" for t in texts]))
 
 
-def batches(iterator: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about `size` bytes at most, or one row."""
+def batches(iterator: Iterable[pa.RecordBatch], size: int = 8 << 20, table: tuple[str, str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about `size` bytes at most, or one row.
+
+    `table` is what this step uses of `TABLES`; a worker drops all else, so that its tables of an earlier step take no memory.
+    """
+    for name in [n for n in TABLES if n != table]:
+        del TABLES[name]
     for batch in iterator:
         parts = max(1, -(-batch.nbytes // size))
         step = max(1, batch.num_rows // parts)

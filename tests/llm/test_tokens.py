@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from passagekit.llm import token_count, units
-from passagekit.llm.packing import best_fit, pack_documents, pack_sizes
+from passagekit.llm.packing import best_fit, least_bins, pack_documents, pack_sizes
 from passagekit.llm.token_count import ChunkMap, compose, count_text, count_tokens, scan
 from passagekit.llm.token_files import IdFile, IdFileWriter, pack, read_documents, session_folder, unpack, width, write_token_files
 from tests.llm.data import DOCS, awkward
@@ -140,3 +140,21 @@ def test_exchanges_save_a_bin_that_best_fit_needs():
         assert sorted(i for b in bins for i in b) == list(range(40)) and all(sum(sizes[i] for i in b) <= 100 for b in bins)
         assert len(bins) <= len(best_fit(sizes, 100))
     assert pack_sizes([], 10) == [] and pack_sizes([10, 10], 10) == [[0], [1]]
+
+
+def test_exchanges_save_sequences_and_the_bound_holds():
+    rng = random.Random(1)
+    sizes = [rng.randrange(500, 900) for _ in range(600)]
+    packed = pack_sizes(sizes, 2048)
+    assert sorted(i for b in packed for i in b) == list(range(600)) and all(sum(sizes[i] for i in b) <= 2048 for b in packed)
+    assert least_bins(sizes, 2048) <= len(packed) < len(best_fit(sizes, 2048))
+
+    def optimum(left, capacity, bins=()):
+        if not left:
+            return len(bins)
+        options = [optimum(left[1:], capacity, (*bins[:i], b + left[0], *bins[i + 1:])) for i, b in enumerate(bins) if b + left[0] <= capacity]
+        return min([*options, optimum(left[1:], capacity, (*bins, left[0]))])
+
+    for _ in range(60):
+        sizes = [rng.randrange(1, 13) for _ in range(6)]
+        assert -(-sum(sizes) // 12) <= least_bins(sizes, 12) <= optimum(sizes, 12)
