@@ -36,7 +36,7 @@ TRAINING_ROWS, WORDS = 200_000, 4096
 EVIDENCE, LEAST, DEVIATIONS, PRIOR = 25.0, 3, 1.5, 0.01
 #: A word stands for itself from this evidence, this many toxic texts and this share of them on.
 ALONE, LEAST_ALONE, COMMON = 40.0, 10, 0.02
-KEPT = 120_000
+KEPT = 240_000
 _DOUBLE = re.compile(r"(.)\1", re.S)
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S)+(?!\S)")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -177,7 +177,7 @@ class Restorer:
     """Restores tokens; what it has decoded is kept up to a bound."""
 
     def __init__(self, model: CharModel):
-        self.model, self.known = model, {}
+        self.model, self.known, self.cores = model, {}, {}
 
     def token(self, token: str) -> tuple[str, ...]:
         """The words of a lower-case token without white space."""
@@ -194,8 +194,15 @@ class Restorer:
         core = token.strip(EDGES)
         start = token.find(core) if core else len(token)
         before, after = token[:start].translate(_NO_LETTERS), token[start + len(core):].translate(_NO_LETTERS)
-        if core.isalpha() and not before and not after and _DOUBLE.search(core) is None:
-            return (core,)
+        if core.isalpha() and not before and not after:  # whatever stands around it
+            if _DOUBLE.search(core) is None:
+                return (core,)
+            found = self.cores.get(core)
+            if found is None:
+                if len(self.cores) > KEPT // 4:
+                    self.cores.clear()
+                found = self.cores[core] = self._words(core, "", "")
+            return found
         if _LETTERS.search(core) is None:  # a number or signs, unless the letters they may stand for are likelier
             signs = [c for c in core or before if c in LEET]
             if len(set(signs)) < 2:
@@ -203,6 +210,9 @@ class Restorer:
             price, text = cheapest(edge(before) + lettered(lattice(core)) + edge(after) if core else lettered(lattice(before)), self.model)
             signs += [*before, *after] if core else []
             return tuple(dict.fromkeys(text.split())) if price < COST["sign"] * len(signs) else ()
+        return self._words(core, before, after)
+
+    def _words(self, core: str, before: str, after: str) -> tuple[str, ...]:
         words = viterbi(lattice(core), self.model).split()
         if before or after:
             words += viterbi(edge(before) + lattice(core) + edge(after), self.model).split()
@@ -301,10 +311,22 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "
     texts = source.join(F.broadcast(votes), "key").select("key", "label", "text")
 
     def run(iterator) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
+        restorer, known = Restorer(model), {}
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         seen = [0, 0]
 
+        def signs(text: str) -> set[str]:
+            """The features of a text's restored words; those of a token are kept."""
+            low = text.lower()
+            tokens = set(low.split())
+            out = {f for w in restorer.spaced(tokens, low) for f in features(w)}
+            for token in tokens:
+                found = known.get(token)
+                if found is None:
+                    found = known[token] = tuple({f for w in restorer._token(token) for f in features(w)})
+                out.update(found)
+            return out
+
         def out() -> pa.RecordBatch:
             keys = list(counts[0].keys() | counts[1].keys())
             return pa.RecordBatch.from_arrays(
@@ -313,8 +335,10 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "
 
         for batch in batches(iterator, 4 << 20):
             for kind, one in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                counts[kind].update({f for w in restorer.words(one or "") for f in features(w)})
+                counts[kind].update(signs(one or ""))
                 seen[kind] += 1
+            if len(known) > KEPT // 4:
+                known.clear()
             if len(counts[0]) + len(counts[1]) > 2 * KEPT:
                 yield out()
                 counts[0].clear()
