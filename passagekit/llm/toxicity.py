@@ -221,7 +221,7 @@ class Restorer:
 
     def spaced(self, tokens: set[str], low: str) -> list[str]:
         """The words of runs of single characters."""
-        if not any(len(t) == 1 for t in tokens):
+        if min(map(len, tokens), default=0) != 1:
             return []
         out: list[str] = []
         for run in _SPACED.finditer(low):
@@ -319,13 +319,9 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "
             """The features of a text's restored words; those of a token are kept."""
             low = text.lower()
             tokens = set(low.split())
-            out = {f for w in restorer.spaced(tokens, low) for f in features(w)}
-            for token in tokens:
-                found = known.get(token)
-                if found is None:
-                    found = known[token] = tuple({f for w in restorer._token(token) for f in features(w)})
-                out.update(found)
-            return out
+            for token in tokens.difference(known):
+                known[token] = tuple({f for w in restorer._token(token) for f in features(w)})
+            return {f for w in restorer.spaced(tokens, low) for f in features(w)}.union(*map(known.__getitem__, tokens))
 
         def out() -> pa.RecordBatch:
             keys = list(counts[0].keys() | counts[1].keys())
@@ -433,7 +429,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     weights = fit_words(docs, labels, model, key, text, label)
 
     def run(iterator) -> Iterator[pa.RecordBatch]:
-        restorer, known = Restorer(model), {}
+        restorer, known, evidence = Restorer(model), set(), {}  # tokens met, and what those with evidence tell
+        told: set[str] = set()  # the keys of evidence
 
         def telling(words) -> tuple[tuple[float, str], ...]:
             found = ((max([weights.get(f, 0.0) for f in features(w)]), w) for w in words)
@@ -442,16 +439,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
         for batch in batches(iterator, 4 << 20):
             scores = []
             if len(known) > KEPT:
-                known.clear()
+                for kept in (known, evidence, told):
+                    kept.clear()
             for one in batch.column(1).to_pylist():
                 low, met = (one or "").lower(), set()
                 tokens = set(low.split())
-                for token in tokens:
-                    found = known.get(token)
-                    if found is None:
-                        found = known[token] = telling(restorer._token(token))
+                for token in tokens - known:
+                    found = telling(restorer._token(token))
                     if found:
-                        met.update(found)
+                        evidence[token] = found
+                        told.add(token)
+                known |= tokens
+                for token in tokens & told:
+                    met.update(evidence[token])
                 met.update(telling(restorer.spaced(tokens, low)))
                 rest = 1.0 - PRIOR
                 for weight, _ in sorted(met):
