@@ -34,9 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similar texts join."""
+    """One document of each group that links join: texts whose five-word shingles have a Jaccard index of 0.8 or more."""
     prepare(spark)
-    return one_of_each(docs.select(*COLUMNS))
+    return one_of_each(docs.select(*COLUMNS), n=5, share=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def test_stages(spark):
     assert lines.columns == docs.columns and lines.count() == len(good)
     assert lines.where("n_chars <> length(text)").count() == 0
     single = stages["n-gram Jaccard join"](spark, lines, FOLDER)
-    smallest = {r[0] for r in jaccard_components(lines).select("component_id").distinct().collect()}
+    smallest = {r[0] for r in jaccard_components(lines, n=5, share=80).select("component_id").distinct().collect()}
     assert single.columns == docs.columns and {r["doc_id"] for r in single.collect()} == smallest and single.count() == len(smallest)
     mixed = stages["mixing sources to target weights"](spark, single, FOLDER)
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= smallest
