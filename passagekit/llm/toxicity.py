@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from passagekit.llm.common import stored
 from passagekit.llm.jaccard_join import shingles
-from passagekit.llm.units import batches
+from passagekit.llm.units import batches, kept
 
 #: What stands for which letters (fixed values).
 LEET = {
@@ -39,6 +40,8 @@ ALONE, LEAST_ALONE, COMMON = 40.0, 10, 0.02
 KEPT = 240_000
 _DOUBLE = re.compile(r"(.)\1", re.S)
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S)+(?!\S)")
+#: Two single characters side by side, after white space: what every spaced run begins with, and quicker to look for.
+_SPACED_PAIR = re.compile(r"\s\S[ \t]\S(?!\S)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _NO_LETTERS = {ord(c): None for c in EDGES if c not in LEET}
 
@@ -219,9 +222,9 @@ class Restorer:
         words += [x for x in _LETTERS.findall(core) if len(x) > 2 or len(core) > LONGEST or x == core]
         return tuple(dict.fromkeys(words))
 
-    def spaced(self, tokens: set[str], low: str) -> list[str]:
+    def spaced(self, low: str) -> list[str]:
         """The words of runs of single characters."""
-        if min(map(len, tokens), default=0) != 1:
+        if _SPACED_PAIR.search(" " + low) is None:
             return []
         out: list[str] = []
         for run in _SPACED.finditer(low):
@@ -237,7 +240,7 @@ class Restorer:
         """The distinct restored words of a text."""
         low = text.lower()
         tokens = set(low.split())
-        out = set(self.spaced(tokens, low))
+        out = set(self.spaced(low))
         for token in tokens:
             out.update(self.token(token))
         return out
@@ -321,7 +324,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: CharModel, key: str = "
             tokens = set(low.split())
             for token in tokens.difference(known):
                 known[token] = tuple({f for w in restorer._token(token) for f in features(w)})
-            return {f for w in restorer.spaced(tokens, low) for f in features(w)}.union(*map(known.__getitem__, tokens))
+            return {f for w in restorer.spaced(low) for f in features(w)}.union(*map(known.__getitem__, tokens))
 
         def out() -> pa.RecordBatch:
             keys = list(counts[0].keys() | counts[1].keys())
@@ -411,6 +414,51 @@ def _explaining(found: list, toxic: DataFrame, restorer: Restorer, n1: int, n0:
     return {found[i]["word"]: found[i]["weight"] for i in taken}
 
 
+class Evidence:
+    """What restored tokens and texts tell under word weights.
+
+    Tokens met are kept in two halves of `KEPT`: when the newer half is full it becomes the older one, whose tokens go
+    unless they have been met again.
+    """
+
+    def __init__(self, model: CharModel, weights: dict[str, float]):
+        self.restorer, self.weights = Restorer(model), weights
+        self.newer: set[str] = set()
+        self.older: set[str] = set()
+        self.told: dict[str, tuple[tuple[float, str], ...]] = {}  # of both halves the tokens that tell anything
+        self.telling_tokens: set[str] = set()
+
+    def telling(self, words) -> tuple[tuple[float, str], ...]:
+        weights = self.weights
+        found = ((max([weights.get(f, 0.0) for f in features(w)]), w) for w in words)
+        return tuple(x for x in found if x[0])
+
+    def _meet(self, tokens: set[str]) -> None:
+        if len(self.newer) > KEPT:
+            self.newer, self.older = set(), self.newer
+            self.told = {t: x for t, x in self.told.items() if t in self.older}
+            self.telling_tokens = set(self.told)
+        for token in (tokens - self.newer) - self.older:
+            found = self.telling(self.restorer._token(token))
+            if found:
+                self.told[token] = found
+                self.telling_tokens.add(token)
+        self.newer |= tokens
+
+    def score(self, text: str | None) -> float:
+        """The chance that any of the words tells true."""
+        low, met = (text or "").lower(), set()
+        tokens = set(low.split())
+        self._meet(tokens)
+        for token in tokens & self.telling_tokens:
+            met.update(self.told[token])
+        met.update(self.telling(self.restorer.spaced(low)))
+        rest = 1.0 - PRIOR
+        for weight, _ in sorted(met):
+            rest *= 1.0 - weight
+        return 1.0 - rest
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
                    threshold: float = 0.7, keep: bool = False) -> DataFrame:
     """A score between 0 and 1 for every whole text, and whether it reaches `threshold`.
@@ -427,36 +475,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     """
     model = CharModel(char_counts(docs, text))
     weights = fit_words(docs, labels, model, key, text, label)
+    made = hashlib.sha256(repr((sorted(model.counts.items()), sorted(weights.items()))).encode()).hexdigest()
+    name = ("toxicity", made)  # tasks of one worker go on with the tokens of the tasks before
 
     def run(iterator) -> Iterator[pa.RecordBatch]:
-        restorer, known, evidence = Restorer(model), set(), {}  # tokens met, and what those with evidence tell
-        told: set[str] = set()  # the keys of evidence
-
-        def telling(words) -> tuple[tuple[float, str], ...]:
-            found = ((max([weights.get(f, 0.0) for f in features(w)]), w) for w in words)
-            return tuple(x for x in found if x[0])
-
-        for batch in batches(iterator, 4 << 20):
-            scores = []
-            if len(known) > KEPT:
-                for kept in (known, evidence, told):
-                    kept.clear()
-            for one in batch.column(1).to_pylist():
-                low, met = (one or "").lower(), set()
-                tokens = set(low.split())
-                for token in tokens - known:
-                    found = telling(restorer._token(token))
-                    if found:
-                        evidence[token] = found
-                        told.add(token)
-                known |= tokens
-                for token in tokens & told:
-                    met.update(evidence[token])
-                met.update(telling(restorer.spaced(tokens, low)))
-                rest = 1.0 - PRIOR
-                for weight, _ in sorted(met):
-                    rest *= 1.0 - weight
-                scores.append(1.0 - rest)
+        for batch in batches(iterator, 4 << 20, name):
+            score = kept(name, lambda: Evidence(model, weights)).score
+            scores = [score(one) for one in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.struct(F.col(f"`{key}`"))

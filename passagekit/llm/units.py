@@ -183,6 +183,13 @@ def encoder(path: str) -> UnitValues:
     return TABLES["ids", path]
 
 
+def kept(name: tuple[str, str], make: Callable[[], object]):
+    """What a worker keeps under a name of `TABLES`, made where there is nothing yet."""
+    if name not in TABLES:
+        TABLES[name] = make()
+    return TABLES[name]
+
+
 def encode(path: str, texts: list[str | None]) -> Iterator[bytes]:
     """Ids of whole texts (none: empty), equal to those of the library for the whole text."""
     return map(b"".join, encoder(path).rows([t or "" for t in texts]))
