@@ -202,6 +202,45 @@ def test_a_teaser_is_no_article():
     assert extract_block([page % (i, i) for i in range(5)]) == [f"The long text of page {i} goes on for a while." for i in range(5)]
 
 
+ARTICLE = "<html><body><article><h1>Title %d</h1><p>The text of article %d is long enough to be one.</p>%s</article></body></html>"
+
+
+@pytest.mark.parametrize("box", [
+    "<div class='comments'><p>I agree %d</p></div>", "<div class='ad'>Buy %d</div>", "<div class='advert'>Buy %d</div>",
+    "<div class='related-posts'>See %d</div>", "<ul class='share-links'><li>Send %d</li></ul>"])
+def test_boxes_that_are_out_of_an_article_even_if_they_vary(box):
+    pages = [ARTICLE % (i, i, box % i) for i in range(10)]
+    assert extract_block(pages) == [f"Title {i}\nThe text of article {i} is long enough to be one." for i in range(10)]
+
+
+def test_members_of_runs_are_aligned_one_by_one():
+    notice = ["<article>" + "".join(f"<p>Part {k} of {i}.</p>" for k in range(i % 4 + 1)) + f"<p>Subscribe</p><p>End {i}</p></article>" for i in range(10)]
+    assert extract_block(notice) == ["\n".join([*(f"Part {k} of {i}." for k in range(i % 4 + 1)), f"End {i}"]) for i in range(10)]
+    plain = [f"<body><div>Home About</div><div>Article {i} has text</div><div>All rights</div></body>" for i in range(10)]
+    assert extract_block(plain) == [f"Article {i} has text" for i in range(10)]
+    assert extract_block(plain[:1]) == ["Home About\nArticle 0 has text\nAll rights"]  # without a wrapper nothing tells
+    nested = [f"<div><p>Home</p><p>Visit</p></div><div><p>Article {i} has text</p><p>and more {i}</p>" + f"<p>x {i}</p>" * (i % 3)
+              + "</div><div><p>about</p><p>All rights</p></div>" for i in range(10)]
+    assert extract_block(nested) == ["\n".join([f"Article {i} has text", f"and more {i}", *[f"x {i}"] * (i % 3)]) for i in range(10)]
+
+
+def test_a_header_belongs_to_an_article_only():
+    pages = [f"<body><header>Visitor {i}</header><article><header><h1>T {i}</h1></header><p>Long text of article {i}.</p></article></body>" for i in range(6)]
+    assert extract_block(pages) == [f"T {i}\nLong text of article {i}." for i in range(6)]
+
+
+def test_a_passage_that_some_articles_share_is_no_template():
+    pages = ["<article>" + f"<p>First of {i}.</p>" + "<p>A shared passage.</p>" * (i % 3 == 0) + f"<p>Last of {i}.</p></article>" for i in range(16)]
+    assert extract_block(pages) == ["\n".join([f"First of {i}.", *["A shared passage."] * (i % 3 == 0), f"Last of {i}."]) for i in range(16)]
+
+
+def test_long_rows_and_deep_trees_are_aligned_whole():
+    long = ["".join(f"<p>a{i}b{k}</p>" for k in range(600 + i)) + "<p>foot</p>" for i in range(5)]
+    assert extract_block(long) == ["\n".join(f"a{i}b{k}" for k in range(600 + i)) for i in range(5)]
+    deep = ["<div>" * 3000 + f"<p>menu</p><p>deep {i}</p>" for i in range(5)]
+    assert extract_block(deep) == [f"deep {i}" for i in range(5)]
+
+
 @pytest.fixture(scope="module")
 def rude():
     counts = Counter()
