@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagekit.llm.units import OTHER_SPACE, TABLES, Pieces, UnitValues, batches
+from passagekit.llm.units import OTHER_SPACE, SETTLED, TABLES, Pieces, UnitValues, batches
 
 #: Characters of a chunk; a longer text is cut into chunks.
 CHUNK = 1 << 16
@@ -29,7 +29,7 @@ class CountTransducer:
     """
 
     def __init__(self, path: str):
-        self.pieces = Pieces(path)
+        self.path, self.pieces, self.library = path, Pieces(path), None
         model = self.pieces.spec["model"]
         if not self.pieces.known:
             raise ValueError(f"no transducer for the pre-tokenizer or normalizer of {path}")
@@ -142,7 +142,19 @@ class CountTransducer:
             total += count
         return total
 
+    def _by_library(self, text: str) -> int:
+        """Tokens of a text with characters that are too new for all libraries to cut them alike."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return len(self.library.encode(text, add_special_tokens=False).ids)
+
     def _plain(self, text: str) -> int:
+        if not text.isascii() and SETTLED.search(text):
+            return self._by_library(text)
         total, known = 0, self.known
         for piece in self.pieces(text) if text else ():
             n = known.get(piece)

@@ -125,7 +125,7 @@ class Pieces:
 
 
 #: Scripts whose characters have been assigned for long; others may be newer in one library than in another.
-_SETTLED = re.compile("[^\\x00-\u024f\u0391-\u03ff\u0400-\u052f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+SETTLED = re.compile("[^\\x00-\u024f\u0391-\u03ff\u0400-\u052f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 
 
 #: What a Python worker keeps for the next tasks, by what it was made for.
@@ -174,7 +174,7 @@ def encoder(path: str) -> UnitValues:
                         first = ids((mark if blank else "") + (letters.lower() if lower else letters))
                         yield first + ids(bare[len(letters):]) if len(letters) < len(bare) else first
                         continue
-                if not pieces.known or any(x in text for x in special) or not (text.isascii() or _SETTLED.search(text) is None):
+                if not pieces.known or any(x in text for x in special) or not (text.isascii() or SETTLED.search(text) is None):
                     yield whole(text)
                 else:
                     yield b"".join([ids(x) for x in pieces(text)])

@@ -47,6 +47,11 @@ def test_any_text(text):
     assert count_text(WORDS, [text]) == [len(ids_of(library, text))]
 
 
+def test_counts_of_letters_newer_than_the_tables(libraries):
+    texts = [f"a{chr(c)}b {chr(c)} x{chr(c)}y'll" for c in (0xA7CB, 0xA7DC, 0x1C89, 0x10D4A, 0x1F600, 0x378, 0x300)]
+    assert count_text(WORDS, texts) == [len(ids_of(libraries[WORDS], t)) for t in texts]
+
+
 def test_counts_over_chunks_and_forgotten_states(libraries, monkeypatch):
     monkeypatch.setattr(token_count, "CHUNK", 7)
     monkeypatch.setattr(token_count, "STATES", 50)
