@@ -21,6 +21,18 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.unhex(F.md5(bare)))
 
 
+def _holds(keys: Column, key: Column) -> Column:
+    """Whether a sorted array holds a key, by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(keys) + F.lit(1))).cast("int"))
+    half = lambda s: F.shiftright(s["low"] + s["high"], 1)
+    ends = F.aggregate(
+        steps, F.struct(F.lit(0).alias("low"), F.size(keys).alias("high")),
+        lambda s, _: F.when(s["low"] >= s["high"], s)
+        .when(F.get(keys, half(s)) < key, F.struct((half(s) + 1).alias("low"), s["high"].alias("high")))
+        .otherwise(F.struct(s["low"].alias("low"), half(s).alias("high"))))
+    return F.get(keys, ends["low"]) == key
+
+
 def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1,
                     min_pages: int = 3, copies_vote: bool = True) -> DataFrame:
     """Drop the lines that more than `ratio` of a host's pages, and at least `min_pages` of them, contain.
@@ -32,7 +44,7 @@ def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text",
     text too), so that a text does not lose its lines because it was copied. Other columns may have any names but `n_lines` and `n_dropped`, which are replaced.
 
     Line counts and page totals are combined before they are shuffled, and only digests travel. At most
-    (lines per page) / ratio lines of a host can pass, so they fit in one row per host; pages meet that row by a broadcast
+    (lines per page) / ratio lines of a host can pass, so they fit in one row per host, sorted: a line of a page is looked up by halving. Pages meet that row by a broadcast
     below `BROADCAST_LINES`, else by a join whose hot hosts adaptive execution splits.
     """
     names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
@@ -47,15 +59,16 @@ def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text",
     often = (
         counts.alias("c").join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
         .where(F.col("n") > F.lit(float(ratio)) * F.col("pages"))
-        .groupBy("c.host").agg(F.collect_list("key").alias("keys"))
+        .groupBy("c.host").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     )
     often = stored(often.select(F.col("host").alias("site"), "keys"), "site-lines")
     n = often.agg(F.sum(F.size("keys"))).first()[0] or 0
     joined = rows.join(F.broadcast(often) if n <= BROADCAST_LINES else often,
                        F.col("row")[host].cast("string").eqNullSafe(F.col("site")), "left")
-    none = F.array().cast("array<binary>")
-    kept = F.filter(_lines(F.col("row")[text]), lambda line: ~F.coalesce(
-        F.array_contains(F.coalesce(F.col("keys"), none), _key(line)), F.lit(False)))
+    lines = _lines(F.col("row")[text])
+    both = F.transform(lines, lambda line: F.struct(line.alias("line"), _key(line).alias("key")))
+    kept = F.when(F.col("keys").isNull(), lines).otherwise(
+        F.filter(both, lambda one: ~F.coalesce(_holds(F.col("keys"), one["key"]), F.lit(False)))["line"])
     out = joined.select("row", kept.alias("kept"))
     return out.select(
         *[(F.array_join("kept", "\n") if c == text else F.col("row")[c]).alias(c) for c in names],

@@ -24,6 +24,16 @@ def test_line_dedup_without_rows_and_with_long_text(spark):
     assert [r["text"] for r in out] == [""] * 3 and out[0]["n_dropped"] == 50_000
 
 
+def test_many_shared_lines_are_looked_up_as_brute_force_does(spark):
+    texts = ["\n".join(f" line {(i * 37 + k * (i + 1)) % 900} " for k in range(700)) for i in range(6)]
+    pages = [{line.strip(" ") for line in t.split("\n")} for t in texts]
+    often = {line for page in pages for line in page if sum(line in p for p in pages) >= 4}
+    out = {r["doc_id"]: r for r in drop_site_lines(awkward(spark, texts), ratio=0.6).collect()}
+    for i, t in enumerate(texts):
+        kept = [line for line in t.split("\n") if line.strip(" ") not in often]
+        assert out[i]["text"] == "\n".join(kept) and out[i]["n_dropped"] == 700 - len(kept)
+
+
 @pytest.mark.parametrize("broadcast", [0, 10 ** 6])
 def test_lines_by_shuffle_or_broadcast(spark, monkeypatch, broadcast):
     monkeypatch.setattr("passagekit.llm.line_dedup.BROADCAST_LINES", broadcast)
