@@ -83,6 +83,28 @@ def test_exact_products_of_large_numbers():
     assert inner_products(a, a).tolist() == [[2 ** 58 + 9, 2 ** 29 + 3], [2 ** 29 + 3, 2]]
     rows, columns = best_of(np.array([[5, 5, 7, 5]]), np.array([9, 4, 8, 1]), 3)
     assert columns.tolist() == [2, 3, 1]
+    assert inner_products(np.array([[2 ** 61, 2 ** 61]]), np.array([[3, -2]])).tolist() == [[2 ** 61]]
+    with pytest.raises(OverflowError):
+        inner_products(np.array([[2 ** 62]]), np.array([[4]]))
+
+
+def test_top_k_takes_large_vectors_and_refuses_too_large_ones(spark):
+    rows = [(0, [2.0 ** 44, 1.0]), (1, [0.0, 2.0 ** 40]), (2, [1.0, 1.0])]
+    data = table(spark, rows)
+    assert sorted(tuple(r) for r in exact_top_k(data.where("vec_id = 2"), data).collect()) == brute_top(rows, lambda q: q == 2, 5)
+    with pytest.raises(Exception, match="does not fit in a long"):
+        exact_top_k(data, table(spark, [(3, [1e30, 0.0])])).collect()
+
+
+def test_more_pivots_than_a_batch_and_few_pivots(spark, monkeypatch):
+    monkeypatch.setattr(voronoi_knn, "LEAST_PIVOTS", 200)
+    monkeypatch.setattr(voronoi_knn, "AT_ONCE", 7)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(240)]
+    data = table(spark, rows)
+    for pivots in (None, 3):
+        out = exact_top_k(data.where("vec_id % 20 = 0"), data, 3, pivots=pivots)
+        assert sorted(tuple(r) for r in out.collect()) == brute_top(rows, lambda q: q % 20 == 0, 3)
 
 
 def jaccard(a, b):
