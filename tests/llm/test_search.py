@@ -57,6 +57,21 @@ def test_top_k_few_rows_repeats_and_none(spark):
     assert exact_top_k(alone, alone).count() == 0
 
 
+def test_rows_that_share_the_key_of_a_query_are_candidates(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    rows += [rows[0], rows[10], rows[10]]  # whole rows that come again
+    rows += [(20, [float(x) for x in np.array(rows[20][1]) * (1 + j / 50)]) for j in range(12)]  # one key, many vectors
+    ints = [[int(np.floor(256 * float(np.float32(x)))) for x in v] for _, v in rows]
+    want = []
+    for at, (q, _) in enumerate(rows):
+        if q % 10 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(ints[at], w)), rows[i][0]) for i, w in enumerate(ints) if i != at)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    data = table(spark, rows)
+    assert sorted(tuple(r) for r in exact_top_k(data.where("vec_id % 10 = 0"), data, 5).collect()) == sorted(want)
+
+
 def test_bounds_prune_far_groups_and_lose_nothing():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(8, 6)) * 4000
