@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from passagekit.llm.dom import BLOCKS, Node, RAW, parse
 
 #: Pages that a wrapper is induced from and applied to; a host's pages are dealt evenly to such blocks.
 BLOCK_PAGES = 32
-#: Nodes that one with the same text counts for in a matching; rows of children with more pairs than `CELLS` are matched in linear time.
+#: Nodes that one with the same text counts for in a matching; rows of children with more pairs than `CELLS` are matched by numpy, a row
+#: of sums at a time, with the same result.
 SAME_TEXT, CELLS = 64, 1 << 16
 #: A node is template if so many different pages have it, and this share of them has the same text in it.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 4, 0.8
@@ -96,35 +99,79 @@ def branches(root: Node) -> Branch:
     return top
 
 
-def _even(a: list[Slot], b: list[Branch]) -> list[tuple[int, int]]:
-    """A matching of two long rows in linear time: like texts first, then like labels in order between them."""
-    where: dict[int, list[int]] = {}
-    for i in range(len(a) - 1, -1, -1):
-        for digest in a[i].seen:
-            where.setdefault(digest, []).append(i)
-    anchors, done = [], 0
+def _below(rows: list, digests, shapes: dict) -> list[tuple[int, set[int]]]:
+    """For each tree a number of its shape (labels alone), and all digests in it."""
+    out = []
+    for top in rows:
+        order, stack = [], [top]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(node.children)
+        found: set[int] = set()
+        own: dict[int, int] = {}
+        for node in reversed(order):
+            found.update(digests(node))
+            own[id(node)] = shapes.setdefault((node.label, *(own[id(c)] for c in node.children)), len(shapes))
+        out.append((own[id(top)], found))
+    return out
+
+
+def _weights(a: list[Slot], b: list[Branch], known: dict) -> Iterator[np.ndarray]:
+    """For each node of a long row, its weights with all of the other row: those of `weight`, where labels differ 0.
+
+    Trees without a like text weigh by their shapes alone, so these are taken once for each pair of shapes; only trees that
+    share a text are matched one by one, and what that finds is not kept.
+    """
+    shapes, by_shape = known.setdefault("shapes", {}), known.setdefault("weights", {})
+    sizes, deep = np.array([y.size for y in b], np.int64), np.array([bool(y.children) for y in b])
+    labels: dict[str, list[int]] = {}
+    same: dict[tuple, list[int]] = {}
     for j, y in enumerate(b):
-        at = where.get(y.digest) if y.digest else None
-        while at and at[-1] < done:
-            at.pop()
-        if at and a[at[-1]].label == y.label and at[-1] - done <= 2 * (j - (anchors[-1][1] if anchors else -1)) + 16:
-            done = at.pop()
-            anchors.append((done, j))
-            done += 1
-    pairs, i, j = [], 0, 0
-    for end_a, end_b in [*anchors, (len(a), len(b))]:
-        while i < end_a and j < end_b:
-            if a[i].label == b[j].label:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif end_a - i > end_b - j:
-                i += 1
-            else:
-                j += 1
-        if end_a < len(a):
-            pairs.append((end_a, end_b))
-        i, j = end_a + 1, end_b + 1
-    return pairs
+        labels.setdefault(y.label, []).append(j)
+        if y.digest:
+            same.setdefault((y.label, y.digest), []).append(j)
+    places = {label: np.array(js, np.int64) for label, js in labels.items()}
+    inner = _below(b, lambda y: (y.digest,) if y.digest else (), shapes)
+    numbers, holders = np.array([shape for shape, _ in inner], np.int64), {}
+    for j, (_, found) in enumerate(inner):
+        for digest in found if deep[j] else ():
+            holders.setdefault(digest, []).append(j)
+    for x in a:
+        row = np.zeros(len(b), np.int64)
+        js = places.get(x.label)
+        if js is not None:
+            row[js] = 1
+            if x.children:
+                ((shape, seen),) = _below([x], lambda s: s.seen, shapes)
+                met = np.zeros(len(b), bool)
+                for digest in seen.intersection(holders):
+                    met[holders[digest]] = True
+                for j in js[deep[js] & met[js]].tolist():
+                    row[j] = weight(x, b[j], {"shapes": shapes, "weights": by_shape})
+                apart = js[deep[js] & ~met[js]]
+                for number, first in zip(*np.unique(numbers[apart], return_index=True)):
+                    key = shape, int(number)
+                    if key not in by_shape:
+                        by_shape[key] = weight(x, b[apart[first]], {"shapes": shapes, "weights": by_shape})
+                    row[apart[numbers[apart] == number]] = by_shape[key]
+            for digest in x.seen:
+                at = same.get((x.label, digest))
+                if at:
+                    row[at] = SAME_TEXT * sizes[at]
+        yield row
+
+
+def _long_matching(a: list[Slot], b: list[Branch], known: dict, paths: list | None = None) -> int:
+    """The last sum of `matching`, a row at a time; `paths` gets for each row where its sums are those above, and those before."""
+    above = np.zeros(len(b) + 1, np.int64)
+    for weights in _weights(a, b, known):
+        row = np.zeros(len(b) + 1, np.int64)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights), out=row[1:])
+        if paths is not None:
+            paths.append((np.packbits(row == above), np.packbits(row[1:] == row[:-1])))
+        above = row
+    return int(above[-1])
 
 
 def matching(a: list[Slot], b: list[Branch], known: dict) -> list[list[int]]:
@@ -152,8 +199,7 @@ def weight(x: Slot, y: Branch, known: dict) -> int:
         if len(a) > 1 or len(b) > 1:
             key = (id(x), id(y))
             if key not in known:
-                known[key] = (sum(weight(a[i], b[j], known) for i, j in _even(a, b)) if len(a) * len(b) > CELLS
-                              else matching(a, b, known)[-1][-1])
+                known[key] = _long_matching(a, b, known) if len(a) * len(b) > CELLS else matching(a, b, known)[-1][-1]
             return above + 1 + known[key]
         above, x, y = above + 1, a[0], b[0]
         if x.label != y.label:
@@ -165,10 +211,24 @@ def _pairs(a: list[Slot], b: list[Branch], known: dict) -> list[tuple[int, int]]
     """The places of the nodes that the best matching of two rows binds."""
     if len(a) == 1 == len(b):
         return [(0, 0)] if a[0].label == b[0].label else []
+    i, j, pairs = len(a), len(b), []
     if len(a) * len(b) > CELLS:
-        return _even(a, b)
+        paths: list = []
+        _long_matching(a, b, known, paths)
+
+        def bit(bits: np.ndarray, at: int) -> int:
+            return bits[at >> 3] >> (7 - (at & 7)) & 1
+
+        while i and j:
+            if bit(paths[i - 1][0], j):
+                i -= 1
+            elif bit(paths[i - 1][1], j - 1):
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+        return pairs[::-1]
     table = matching(a, b, known)
-    i, j, pairs = len(a), len(b), []
     while i and j:
         if table[i][j] == table[i - 1][j]:
             i -= 1
@@ -385,7 +445,7 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     if they hold most of the page's varying text) without template nodes, navigation, footers, asides, forms, scripts and styles.
     Boxes with a class of comments, adverts or offers are left out wherever they are, and headers outside an article; boxes named
     as menus or notices where the wrapper does not tell that they vary in the article. Like siblings are aligned one by one; nodes of the
-    same text meet first, so a constant member of a run is template. Rows of children with more than `CELLS` pairs are matched in linear time.
+    same text meet first, so a constant member of a run is template.
 
     A NULL html counts as empty and gives an empty text, as does a page without text; pages without a host in their URL (or
     NULL) are a host of their own. Keys may be NULL or repeat; repeated rows get equal texts when they meet. Other columns are not looked at.

@@ -1,6 +1,7 @@
 """Toxicity, quality rules and extraction: edge cases, brute force and held-out labels."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from passagekit.llm import quality, toxicity
+from passagekit.llm import extraction, quality, toxicity
 from passagekit.llm.extraction import extract_block, main_texts
 from passagekit.llm.quality import base_counts, log_ratios, ngrams, quality_rules
 from passagekit.llm.toxicity import CharModel, Restorer, lattice, score_toxicity, viterbi, word_trigrams
@@ -234,6 +235,31 @@ def test_a_passage_that_some_articles_share_is_no_template():
     assert extract_block(pages) == ["\n".join([f"First of {i}.", *["A shared passage."] * (i % 3 == 0), f"Last of {i}."]) for i in range(16)]
 
 
+def test_long_rows_are_matched_like_short_ones(monkeypatch):
+    rng = random.Random(8)
+
+    def page(n):
+        kinds = [lambda: f"<p>{rng.choice('abcdefgh')}</p>", lambda: f"<div><p>{rng.choice('abcd')}</p><p>{rng.random()}</p></div>",
+                 lambda: f"<div><ul><li>{rng.choice('xyz')}</li><li>{rng.random()}</li></ul><p>{rng.choice('ab')}</p></div>", lambda: "<h2>t</h2>"]
+        return "<main>" + "".join(rng.choice(kinds)() for _ in range(n)) + "</main>"
+
+    pages = [page(rng.randint(20, 60)) for _ in range(8)]
+
+    def bound(cells):
+        monkeypatch.setattr(extraction, "CELLS", cells)
+        wrapper, shape = extraction.Slot("#root."), []
+        for one in pages:
+            extraction.align(wrapper, extraction.branches(extraction.parse(one)), True)
+        stack = [wrapper]
+        while stack:
+            slot = stack.pop()
+            shape.append((slot.label, slot.pages, sorted(slot.texts.items())))
+            stack.extend(slot.children)
+        return shape
+
+    assert bound(0) == bound(1 << 30) == bound(40)
+
+
 def test_long_rows_and_deep_trees_are_aligned_whole():
     long = ["".join(f"<p>a{i}b{k}</p>" for k in range(600 + i)) + "<p>foot</p>" for i in range(5)]
     assert extract_block(long) == ["\n".join(f"a{i}b{k}" for k in range(600 + i)) for i in range(5)]
