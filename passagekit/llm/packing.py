@@ -15,8 +15,9 @@ from passagekit.llm.units import batches, encode
 
 #: Pieces that are packed together, numbers only. Groups leave about one underfull sequence each.
 GROUP_PIECES = 32_768
-#: The local search looks at so many of the least filled bins, which hold nearly all free places, and ends after so many exchanges.
-SEARCH_BINS, EXCHANGES = 200, 300
+#: The local search begins with so many of the least filled bins, which hold nearly all free places, and goes on with `WIDER` times as many,
+#: up to all bins that are not full, while fewer bins might do.
+SEARCH_BINS, WIDER = 200, 4
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -49,30 +50,30 @@ class _Exchange:
         self.bins, self.sizes, self.capacity = bins, sizes, capacity
         self.fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
         self.offers = [self._offer(b) for b in range(len(bins))]
+        self.stuck = np.zeros(len(bins), bool)
+        self._pool()
 
     def _offer(self, b: int) -> tuple:
         """What a bin can give in turn: nothing, a piece, a pair; each with the sizes."""
         kinds = [()], [(i,) for i in self.bins[b]], list(combinations(self.bins[b], 2))
         return tuple((np.array([sum(self.sizes[i] for i in x) for x in kind], np.int64), kind) for kind in kinds)
 
-    def _pool(self, giver: int) -> None:
-        """The offers of all other underfull bins; only those of changed bins are made anew."""
-        self.others = np.array([b for b in np.flatnonzero((self.fill < self.capacity) & (self.fill > 0)).tolist() if b != giver], np.int64)
+    def _pool(self) -> None:
+        """The offers of all underfull bins."""
+        some = np.flatnonzero((self.fill < self.capacity) & (self.fill > 0))
         self.pool = []
         for kind in range(3):
-            parts = [self.offers[b][kind][0] for b in self.others]
+            parts = [self.offers[b][kind][0] for b in some]
             counts = np.array([len(x) for x in parts], np.int64)
-            self.pool.append((np.concatenate(parts) if parts else np.empty(0, np.int64), np.repeat(self.others, counts),
+            self.pool.append((np.concatenate(parts) if parts else np.empty(0, np.int64), np.repeat(some, counts),
                               np.repeat(np.cumsum(counts) - counts, counts)))
 
-    def _best(self, given: int, fill: int, kind: int) -> tuple[int, tuple] | None:
+    def _best(self, giver: int, given: int, kind: int) -> tuple[int, tuple] | None:
         """What to take in turn for pieces of size `given`: the exchange that fills another bin most."""
         size, home, start = self.pool[kind]
-        if not len(size):
-            return None
         gain = given - size
         filled = self.fill[home] + gain
-        good = np.flatnonzero((gain > 0) & (filled <= self.capacity) & (filled > fill))
+        good = np.flatnonzero((gain > 0) & (filled <= self.capacity) & (filled > self.fill[giver]) & (home != giver))
         if not len(good):
             return None
         at = good[np.argmax(filled[good])]
@@ -86,20 +87,44 @@ class _Exchange:
         self.fill[taker] += size
         for b in (giver, taker):
             self.offers[b] = self._offer(b)
+        self._pool()
+        self.stuck[[giver, taker]] = False
+        self._wake(giver)
+        self._wake(taker)
+
+    def _wake(self, taker: int) -> None:
+        """Bins that were stuck are no more if they have an exchange with this one, which has changed; with others they have none."""
+        room = self.capacity - self.fill[taker]
+        if not 0 < room < self.capacity:
+            return
+        for kind, kinds in ((1, (0, 1, 2)), (2, (1,))):
+            size, home, _ = self.pool[kind]
+            taken = np.sort(np.concatenate([self.offers[taker][x][0] for x in kinds]))
+            least = np.maximum(0, self.fill[home] - self.fill[taker])  # what a giver must give more than it takes
+            can = np.searchsorted(taken, size - room) < np.searchsorted(taken, size - least)
+            self.stuck[home[can & (home != taker)]] = False
 
     def better(self, giver: int) -> bool:
         """One move, one-for-one, one-for-two or two-for-one exchange out of a bin, if any raises the sum of squares."""
-        self._pool(giver)
-        fill, own = int(self.fill[giver]), sorted(self.bins[giver], key=lambda i: (-self.sizes[i], i))
+        own = sorted(self.bins[giver], key=lambda i: (-self.sizes[i], i))
         for given, kinds in [((i,), (0, 1, 2)) for i in own] + [(p, (1,)) for p in combinations(own, 2)]:
             size = sum(self.sizes[i] for i in given)
             for kind in kinds:
-                found = self._best(size, fill, kind)
+                found = self._best(giver, size, kind)
                 if found:
                     self._swap(giver, given, *found)
                     return True
+        self.stuck[giver] = True
         return False
 
+    def empty(self, spare: int) -> None:
+        """Exchanges out of the least filled bin that is not stuck, until `spare` bins are empty or all are stuck."""
+        while int((self.fill == 0).sum()) < spare:
+            givers = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity) & ~self.stuck)
+            if not len(givers):
+                break
+            self.better(int(givers[np.argmin(self.fill[givers])]))
+
 
 def least_bins(sizes: list[int], capacity: int) -> int:
     """A number of bins that no packing is below (the bound of Martello and Toth).
@@ -120,31 +145,25 @@ def pack_sizes(sizes: list[int], capacity: int) -> list[list[int]]:
     """Few bins of at most `capacity`: best fit, then a local search among the least filled bins while fewer might do.
 
     The search empties the least filled bin by moves and exchanges, each of which raises the sum of squared fills, so it
-    ends; if that bin is stuck, the next one gives. It ends at a local optimum, after `EXCHANGES`, or as soon as no packing can be smaller,
-    which is before it begins where best fit reaches the bound.
+    ends; if that bin is stuck, the next one gives. It ends at a local optimum of all bins that are not full, or as soon as no packing can be
+    smaller, which is before it begins where best fit reaches the bound.
     """
-    bins = best_fit(sizes, capacity)
-    spare = len(bins) - least_bins(sizes, capacity)
-    if spare <= 0:
-        return bins
-    fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
-    order = np.argsort(fill, kind="stable")
-    loose = [b for b in order[:SEARCH_BINS].tolist() if fill[b] < capacity]
-    # emptying a bin takes as many free places as it has filled ones
-    if capacity * len(loose) - int(fill[loose].sum()) < capacity:
-        return bins
-    state, stuck, done = _Exchange([bins[b] for b in loose], sizes, capacity), set(), 0
-    while done < EXCHANGES and int((state.fill == 0).sum()) < spare:
-        givers = [b for b in np.argsort(state.fill, kind="stable").tolist() if 0 < state.fill[b] < capacity and b not in stuck]
-        if not givers:
+    bins, least, width = best_fit(sizes, capacity), least_bins(sizes, capacity), SEARCH_BINS
+    while len(bins) > least:
+        fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+        order = np.argsort(fill, kind="stable")
+        order = order[fill[order] < capacity]
+        loose = order[:width].tolist()
+        # emptying a bin takes as many free places as it has filled ones
+        if capacity * len(loose) - int(fill[loose].sum()) >= capacity:
+            state = _Exchange([bins[b] for b in loose], sizes, capacity)
+            state.empty(len(bins) - least)
+            rest = set(loose)
+            bins = [x for b, x in enumerate(bins) if b not in rest] + [b for b in state.bins if b]
+        if width >= len(order):
             break
-        if state.better(givers[0]):
-            stuck.clear()
-            done += 1
-        else:
-            stuck.add(givers[0])
-    rest = set(loose)
-    return [x for b, x in enumerate(bins) if b not in rest] + [b for b in state.bins if b]
+        width *= WIDER
+    return bins
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str, text: str) -> DataFrame:

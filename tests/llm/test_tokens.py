@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from passagekit.llm import token_count, units
-from passagekit.llm.packing import best_fit, least_bins, pack_documents, pack_sizes
+from passagekit.llm.packing import _Exchange, best_fit, least_bins, pack_documents, pack_sizes
 from passagekit.llm.token_count import ChunkMap, compose, count_text, count_tokens, scan
 from passagekit.llm.token_files import IdFile, IdFileWriter, pack, read_documents, session_folder, unpack, width, write_token_files
 from tests.llm.data import DOCS, awkward
@@ -147,6 +147,16 @@ def test_exchanges_save_a_bin_that_best_fit_needs():
     assert pack_sizes([], 10) == [] and pack_sizes([10, 10], 10) == [[0], [1]]
 
 
+def test_exchanges_go_on_until_no_bin_has_one():
+    rng = random.Random(2)
+    sizes = [rng.randint(500, 800) for _ in range(800)]  # some hundred bins that are not full, and more than 300 exchanges
+    bins = pack_sizes(sizes, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(800)) and all(sum(sizes[i] for i in b) <= 2048 for b in bins)
+    assert len(bins) <= 264 < len(best_fit(sizes, 2048))
+    state = _Exchange(bins, sizes, 2048)
+    assert not any(state.better(b) for b in range(len(bins)) if state.fill[b] < 2048)
+
+
 def test_exchanges_save_sequences_and_the_bound_holds():
     rng = random.Random(1)
     sizes = [rng.randrange(500, 900) for _ in range(600)]
