@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from passagekit.operators.embedding import hash_embed
 from passagekit.plans.answering import AnswerConfig
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index
 from passagekit.schemas import INDEX
+from passagekit.session import ARROW_BYTES, prepare
 from passagekit.sources.corpus import list_corpus, number_pages, only_new, pages_from_files, read_html_corpus
 from passagekit.sources.index_store import (
     create_index_table, insert_index, load_or_build_index, read_index, reset_index, snapshot_index, snapshot_path, write_if_absent,
@@ -134,3 +136,16 @@ def test_log_and_names(spark, tmp_path):
     row = spark.read.json(str(tmp_path / "log")).first()
     assert (row["event"], row["query"], row["document_ids"]) == ("finished chat query", "q", [1]) and row["ts"]
     assert evaluation_name("e", "Owner/GPT-4") == "e_gpt-4"
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    prepare(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    pages = spark.range(60).selectExpr("repeat('x', 100000) AS html").repartition(1)
+    assert max(r["bytes"] for r in pages.mapInArrow(sizes, "rows long, bytes long").collect()) < ARROW_BYTES + 2 * 100_000
+    large = spark.range(3).selectExpr(f"repeat('x', {2 * ARROW_BYTES}) AS html").repartition(1)
+    assert [r["rows"] for r in large.mapInArrow(sizes, "rows long, bytes long").collect()] == [1, 1, 1]
