@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagekit.functions.text import document_tokens, query_tokens
-from passagekit.operators.topk import MAX_QUESTIONS, best_k, bounded, slices
+from passagekit.operators.topk import MAX_QUESTIONS, adding, best_k, bounded, slices
 from passagekit.session import materialize
 
 # The Okapi parameters and the floor for terms in more than half of the chunks.
@@ -213,7 +213,7 @@ def bm25_topk(questions: DataFrame, index: LexicalIndex, k: int, qid_col: str =
     higher.
     """
     asked = question_terms(questions, index, qid_col, query_col)
-    hits = best_k(asked, index.chunks, k, _bm25_scorer(index.avgdl), max_questions)
+    hits = best_k(asked, index.chunks, k, adding(_bm25_scorer(index.avgdl)), max_questions)
     return hits.select("qid", "pos", "id", (-F.col("cost") + F.lit(0.0)).alias("score"))
 
 

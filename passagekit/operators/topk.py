@@ -8,7 +8,7 @@ the scored pairs.
   after the bound, so the bound is checked before anything larger is collected.
 * More questions are written once, numbered, and taken in blocks of at most that many, one after the
   other. Each block is broadcast to a scan of the corpus and its lists are written before the next
-  one, so the corpus is never shuffled or copied and the driver holds one block.
+  one, so the corpus is never shuffled and the driver holds one block.
 * Lists are merged in two levels on clusters: first within slots of tasks, then over the slots.
 """
 
@@ -32,66 +32,95 @@ _BEST = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("cost", pa.float64(
 
 
 class BestRows:
-    """The k lowest costs per question so far; equal costs go by id, unknown costs come last."""
+    """The k lowest costs per question so far; equal costs go by id, unknown costs come last.
 
-    def __init__(self, qids: np.ndarray, k: int):
+    `bound` is a cost for each question above which no row matters.
+    """
+
+    def __init__(self, qids: np.ndarray, k: int, bound: np.ndarray | None = None):
         self.qids, self.k = qids, k
-        self.question = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int64)
-        self.costs = np.empty(0, np.float64)
+        self.bound = np.full(len(qids), np.inf) if bound is None else bound
+        # Places that no row has yet hold NaN, which sorts behind unknown costs (infinity).
+        self.ids = np.full((len(qids), k), np.iinfo(np.int64).max)
+        self.costs = np.full((len(qids), k), np.nan)
         # Cost and id of the k-th row of each question, which a new row has to beat.
-        self.last_cost = np.full(len(qids), np.inf)
+        self.last_cost = self.bound.copy()
         self.last_id = np.full(len(qids), np.iinfo(np.int64).max)
 
-    def add(self, costs: np.ndarray, ids: np.ndarray) -> None:
-        """Take in costs of shape (questions, rows)."""
+    def add(self, costs: np.ndarray, ids: np.ndarray, who: np.ndarray | None = None) -> None:
+        """Take in costs of shape (questions, rows); `who` are the places of the questions, by default all."""
         if not costs.size:
             return
         costs = np.where(np.isnan(costs), np.inf, costs)
-        last = self.last_cost[:, None]
-        better = (costs < last) | ((costs == last) & (ids < self.last_id[:, None]))
+        who = np.arange(len(self.qids)) if who is None else who
+        last = self.last_cost[who, None]
+        better = (costs < last) | ((costs == last) & (ids < self.last_id[who, None]))
         if costs.shape[1] > self.k and better.sum() > 4 * self.k * len(costs):
             better &= costs <= np.partition(costs, self.k - 1, axis=1)[:, self.k - 1:self.k]
         question, row = np.nonzero(better)
-        cost = np.concatenate([self.costs, costs[question, row]])
-        question = np.concatenate([self.question, question])
-        found = np.concatenate([self.ids, ids[row]])
-        order = np.lexsort((found, cost, question))
-        question, found, cost = question[order], found[order], cost[order]
-        starts = np.searchsorted(question, np.arange(len(self.qids)))
-        rank = np.arange(len(question)) - starts[question]
-        kept = rank < self.k
-        self.question, self.ids, self.costs = question[kept], found[kept], cost[kept]
-        full = rank == self.k - 1
-        self.last_cost[question[full]], self.last_id[question[full]] = cost[full], found[full]
+        self.add_pairs(who[question], ids[row], costs[question, row])
+
+    def add_pairs(self, question: np.ndarray, ids: np.ndarray, costs: np.ndarray) -> None:
+        """Take in one row of a question each; only the lists of these questions are sorted."""
+        better = (costs < self.last_cost[question]) | ((costs == self.last_cost[question]) & (ids < self.last_id[question]))
+        question, ids, costs = question[better], ids[better], costs[better]
+        if not len(question):
+            return
+        who, place = np.unique(question, return_inverse=True)
+        place = np.concatenate([np.repeat(np.arange(len(who)), self.k), place])
+        found = np.concatenate([self.ids[who].ravel(), ids])
+        cost = np.concatenate([self.costs[who].ravel(), costs])
+        order = np.lexsort((found, cost, place))
+        place = place[order]
+        kept = order[np.arange(len(order)) - np.searchsorted(place, np.arange(len(who)))[place] < self.k]
+        self.ids[who], self.costs[who] = found[kept].reshape(-1, self.k), cost[kept].reshape(-1, self.k)
+        last = self.costs[who, -1]
+        full = ~np.isnan(last)
+        self.last_cost[who[full]], self.last_id[who[full]] = last[full], self.ids[who[full], -1]
 
     def rows(self) -> pa.RecordBatch:
-        unknown = np.isinf(self.costs)
-        cost = pa.array(self.costs, pa.float64(), mask=unknown)
-        return pa.RecordBatch.from_arrays([pa.array(self.qids[self.question]), pa.array(self.ids), cost], schema=_BEST)
+        question, place = np.nonzero(~np.isnan(self.costs))
+        costs = self.costs[question, place]
+        cost = pa.array(costs, pa.float64(), mask=np.isinf(costs))
+        return pa.RecordBatch.from_arrays([pa.array(self.qids[question]), pa.array(self.ids[question, place]), cost], schema=_BEST)
 
 
 def best_k(
     questions: DataFrame,
     corpus: DataFrame,
     k: int,
-    make_scorer: Callable[[pa.Table], Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]],
+    make_scorer: Callable[[pa.Table], Callable[[pa.Table, BestRows], None]],
     max_questions: int = MAX_QUESTIONS,
+    write_corpus: bool = False,
 ) -> DataFrame:
     """qid, pos (from 0), id, cost.
 
-    `make_scorer(questions)` returns a function from a corpus batch to pairs of costs (questions x
-    rows) and row ids. `questions` has a column qid, `corpus` a column id.
+    `make_scorer(questions)` returns a function that adds a corpus batch to the best rows. `questions` has a column qid, `corpus`
+    a column id. With `write_corpus` a corpus that several blocks of questions meet is worked out and written once.
     """
     spark = questions.sparkSession
     head = bounded(questions, max_questions)
     if head is None:
-        return _by_blocks(questions, corpus, k, make_scorer, max_questions)
+        return _by_blocks(questions, materialize(corpus) if write_corpus else corpus, k, make_scorer, max_questions)
     if not head.num_rows:
         return first_k(spark.createDataFrame([], BEST_FIELDS), k)
     return first_k(_against_broadcast(spark.sparkContext.broadcast(head), corpus, k, make_scorer), k)
 
 
+def adding(make: Callable[[pa.Table], Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]]):
+    """A scorer for `best_k` from one that gives pairs of costs (questions x rows) and row ids."""
+    def make_scorer(questions: pa.Table) -> Callable[[pa.Table, BestRows], None]:
+        score = make(questions)
+
+        def add(batch: pa.Table, best: BestRows) -> None:
+            for costs, ids in score(batch):
+                best.add(costs, ids)
+
+        return add
+
+    return make_scorer
+
+
 def bounded(questions: DataFrame, limit: int) -> pa.Table | None:
     """The questions if there are at most `limit`; reading stops one row after that."""
     head = questions.limit(limit + 1).toArrow()
@@ -104,8 +133,7 @@ def _against_broadcast(shared, corpus, k, make_scorer):
         score = make_scorer(questions)
         best = BestRows(questions["qid"].to_numpy(), k)
         for batch in batches:
-            for costs, ids in score(pa.Table.from_batches([batch])):
-                best.add(costs, ids)
+            score(pa.Table.from_batches([batch]), best)
         yield best.rows()
 
     return corpus.mapInArrow(scan, BEST_FIELDS)

@@ -7,8 +7,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from passagekit.operators.embedding import check_dim, embed, embed_with, hash_embed
-from passagekit.operators.knn import cosine_distance, knn, knn_one
+from passagekit.operators.knn import NearPairs, cosine_distance, knn, knn_one
 from passagekit.operators.lexical import LexicalIndex, bm25_index, bm25_scores, bm25_topk
+from passagekit.operators.topk import BestRows
 from passagekit.catalog.stubs import vowel_model
 
 VECTORS = "id long, embedding array<float>"
@@ -49,6 +50,48 @@ def test_knn_with_a_hot_vector(spark):
     assert sorted(r["id"] for r in found) == [3 * i for i in range(40)]
 
 
+def test_near_pairs_are_few_and_exact():
+    """Only pairs that may enter a list are worked out in double precision, and the lists are those of all pairs."""
+    rng = np.random.default_rng(3)
+    asked, held = rng.normal(size=(300, 16)), rng.normal(size=(6000, 16))
+    held[5000:5003] = held[40]  # copies
+    asked, held = (x / np.linalg.norm(x, axis=1)[:, None] for x in (asked, held))
+    qids, ids, k = np.arange(300), np.arange(6000) * 3 % 6007, 4
+    best, near = BestRows(qids, k), NearPairs(asked)
+    worked, put = [], best.add_pairs
+    best.add_pairs = lambda question, ids, costs: (worked.append(len(question)), put(question, ids, costs))
+    for at in range(0, 6000, 1500):
+        near.add(best, qids, held[at:at + 1500], ids[at:at + 1500])
+    costs = np.round(1.0 - asked @ held.T, 10)
+    wanted = [(q, int(ids[i]), costs[q, i]) for q in qids for i in np.lexsort((ids, costs[q]))[:k]]
+    assert [tuple(r.values()) for r in best.rows().to_pylist()] == wanted
+    assert sum(worked) < costs.size // 20
+    # a bound leaves out what lies above it
+    last = np.array([c for _, _, c in wanted[k - 1::k]])
+    bounded = BestRows(qids, k, last)
+    near.add(bounded, qids, held, ids)
+    assert [tuple(r.values()) for r in bounded.rows().to_pylist()] == wanted
+    none = BestRows(qids, k, last - 3.0)
+    near.add(none, qids, held, ids)
+    assert none.rows().num_rows == 0
+
+
+def test_blocks_of_questions_embed_the_corpus_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    held = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    index = spark.createDataFrame(held, VECTORS).mapInArrow(counted, VECTORS)
+    asked = [(q, [float(q % 3), 1.0, 2.0]) for q in range(20)]
+    questions = spark.createDataFrame(asked, "qid long, embedding array<float>")
+    found = sorted((r["qid"], r["pos"], r["id"], r["distance"]) for r in knn(questions, index, 3, max_questions=4).collect())
+    assert found == brute_knn(asked, held, 3) and met.value == 60
+
+
 def test_knn_without_rows(spark):
     none = spark.createDataFrame([], "qid long, embedding array<float>")
     some = spark.createDataFrame([(1, [1.0])], VECTORS)
