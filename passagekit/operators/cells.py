@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagekit.operators.knn import DECIMALS, unit_rows
+from passagekit.operators.knn import NearPairs, unit_rows
 from passagekit.operators.topk import BEST_FIELDS, MAX_QUESTIONS, BestRows, bounded, first_k, question_blocks, slices
 from passagekit.session import materialize, new_path
 
@@ -89,20 +89,20 @@ def knn_cells(questions: DataFrame, store: CellStore, k: int, qid_col: str = "qi
     `report` gets the number of cells and of those read for the last block of questions.
     """
     asked = questions.select(F.col(qid_col).alias("qid"), F.col(embedding_col).alias("embedding"))
+    cells = store.summary.where(F.col("cell") != UNKNOWN).orderBy("cell").toArrow()
     head = bounded(asked, max_questions)
     if head is not None:
-        return _nearest(head, store, k, report)
+        return _nearest(head, store, cells, k, report)
     spark, path = questions.sparkSession, new_path(questions.sparkSession, "lists")
     for block in question_blocks(asked, max_questions):
-        _nearest(block.toArrow(), store, k, report).write.mode("append").parquet(path)
+        _nearest(block.toArrow(), store, cells, k, report).write.mode("append").parquet(path)
     return spark.read.schema("qid long, pos int, id long, distance double").parquet(path)
 
 
-def _nearest(head: pa.Table, store: CellStore, k: int, report: dict[str, int] | None) -> DataFrame:
+def _nearest(head: pa.Table, store: CellStore, cells: pa.Table, k: int, report: dict[str, int] | None) -> DataFrame:
     spark = store.vectors.sparkSession
     asked, askable = unit_rows(head["embedding"])
     qids = head["qid"].to_numpy()
-    cells = store.summary.where(F.col("cell") != UNKNOWN).orderBy("cell").toArrow()
     found = [spark.createDataFrame([], BEST_FIELDS)]
     read = 0
     if cells.num_rows and askable.any():
@@ -112,19 +112,24 @@ def _nearest(head: pa.Table, store: CellStore, k: int, report: dict[str, int] |
         n, low, high = (cells[c].to_numpy() for c in ("n", "low", "high"))
         numbers = cells["cell"].to_numpy()
         away = np.sqrt(np.maximum(2.0 - 2.0 * asked @ pivots.T, 0.0))
-        # the cells that surely hold k vectors within the least distance
-        order = np.argsort(away + high, axis=1)
-        enough = np.cumsum(n[order], axis=1)
+        # the cells that surely hold k vectors within the least distance; mostly the first one does
         first = np.zeros(away.shape, bool)
-        np.put_along_axis(first, order, enough - n[order] < k, axis=1)
+        nearest = np.argmin(away + high, axis=1)
+        first[np.arange(len(first)), nearest] = True
+        more = np.flatnonzero(n[nearest] < k)
+        order = np.argsort(away[more] + high, axis=1, kind="stable")
+        chosen = np.zeros(order.shape, bool)
+        np.put_along_axis(chosen, order, np.cumsum(n[order], axis=1) - n[order] < k, axis=1)
+        first[more] = chosen
         first &= askable[:, None]
         early = materialize(_scan(store, asked, qids, first, numbers, k))
         last = first_k(early, k).where(F.col("pos") == k - 1).select("qid", "cost").toArrow()
         kth = dict(zip(last["qid"].to_pylist(), last["cost"].to_pylist()))
-        reach = np.array([np.sqrt(max(2.0 * kth.get(q, 2.0), 0.0)) for q in qids.tolist()]) + SLACK
+        bound = np.array([kth.get(q, np.inf) for q in qids.tolist()])
+        reach = np.sqrt(np.maximum(2.0 * np.minimum(bound, 2.0), 0.0)) + SLACK
         least = np.maximum(np.maximum(away - high, low - away), 0.0)
         rest = (least <= reach[:, None]) & ~first & askable[:, None]
-        found += [early, _scan(store, asked, qids, rest, numbers, k)]
+        found += [early, _scan(store, asked, qids, rest, numbers, k, bound)]
         read = int((first | rest).any(axis=0).sum())
     if report is not None:
         report.update(cells=cells.num_rows, read=read)
@@ -142,26 +147,27 @@ def _nearest(head: pa.Table, store: CellStore, k: int, report: dict[str, int] |
     return first_k(whole, k).withColumnRenamed("cost", "distance")
 
 
-def _scan(store: CellStore, asked: np.ndarray, qids: np.ndarray, wanted: np.ndarray, numbers: np.ndarray, k: int) -> DataFrame:
-    """The k nearest rows per task for the wanted (question, cell) pairs; folders that nobody wants are not read."""
+def _scan(store: CellStore, asked: np.ndarray, qids: np.ndarray, wanted: np.ndarray, numbers: np.ndarray, k: int,
+          bound: np.ndarray | None = None) -> DataFrame:
+    """The k nearest rows per task for the wanted (question, cell) pairs; folders that nobody wants are not read.
+
+    `bound` is a distance for each question above which no row is looked at.
+    """
     spark = store.vectors.sparkSession
-    shared = spark.sparkContext.broadcast((asked, qids, np.packbits(wanted, axis=0), {int(c): i for i, c in enumerate(numbers)}))
+    shared = spark.sparkContext.broadcast((asked, qids, np.packbits(wanted, axis=0), {int(c): i for i, c in enumerate(numbers)}, bound))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, qids, bits, place = shared.value
-        best = BestRows(qids, k)
+        asked, qids, bits, place, bound = shared.value
+        best, near = BestRows(qids, k, bound), NearPairs(asked)
         for batch in batches:
             cell, ids = batch["cell"].to_numpy(), batch["id"].to_numpy()
             held, _ = unit_rows(pa.chunked_array([batch["embedding"]]))
             for one in np.unique(cell):
                 rows = np.flatnonzero(cell == one)
                 who = np.flatnonzero(np.unpackbits(bits[:, place[int(one)]], count=len(qids)))
-                for part in slices(len(qids), len(rows)):
-                    costs = np.full((len(qids), len(rows[part])), np.inf)
-                    costs[who] = np.round(1.0 - asked[who] @ held[rows[part]].T, DECIMALS)
-                    best.add(costs, ids[rows[part]])
+                near.add(best, who, held[rows], ids[rows])
         rows = best.rows()
-        yield rows.filter(pc.is_valid(rows["cost"]))  # without rows of cells that a question does not want
+        yield rows.filter(pc.is_valid(rows["cost"]))  # a product that is no number is no distance
 
     cells = [int(c) for c in numbers[wanted.any(axis=0)]]
     return store.vectors.where(F.col("cell").isin(cells)).select("id", "embedding", "cell").mapInArrow(scan, BEST_FIELDS)
