@@ -40,7 +40,7 @@ from passagekit.plans.evaluating import evaluate
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index, chunk_documents
 from passagekit.session import materialize, new_path, spread
 from passagekit.sources.corpus import (
-    grown_numbers, list_corpus, number_pages, only_new, read_html_corpus, read_references, read_responses,
+    grown_numbers, list_corpus, number_pages, only_new, read_html_corpus, read_references, read_responses, write_html_corpus,
 )
 from passagekit.sources.index_store import (
     create_index_table, insert_index, load_or_build_index, read_index, read_ranges, reset_index, snapshot_index, write_ranges,
@@ -381,7 +381,7 @@ def numbered_files(spark, folder):
 def html_files(spark, folder):
     """Pages written as files, listed without opening them, and read back."""
     path = new_path(spark, "html")
-    table(spark, folder, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    write_html_corpus(table(spark, folder, "pages"), path)
     number = lambda c: F.regexp_extract(c, "page_id=([0-9]+)", 1).cast("long")
     listed = list_corpus(spark, path, "*.txt").select(number(F.col("path")).alias("page_id"))
     read = read_html_corpus(spark, path, "*.txt").select(number(F.col("source")).alias("page_id"), F.md5("text").alias("content"))

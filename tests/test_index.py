@@ -1,3 +1,6 @@
+import gzip
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
@@ -9,7 +12,7 @@ from passagekit.plans.answering import AnswerConfig
 from passagekit.plans.index_build import IndexConfig, build_and_write, build_index
 from passagekit.schemas import INDEX
 from passagekit.session import ARROW_BYTES, prepare
-from passagekit.sources.corpus import list_corpus, number_pages, only_new, pages_from_files, read_html_corpus
+from passagekit.sources.corpus import list_corpus, number_pages, only_new, pages_from_files, read_html_corpus, write_html_corpus
 from passagekit.sources.index_store import (
     create_index_table, insert_index, load_or_build_index, read_index, reset_index, snapshot_index, snapshot_path, write_if_absent,
     write_index,
@@ -33,6 +36,24 @@ def test_files(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[-1] for r in list_corpus(spark, str(tmp_path)).collect()] == ["x.html"]
 
 
+def test_pages_are_written_to_few_folders(spark, tmp_path):
+    rows = [(i, None if i == 7 else f"<p>é {i}</p>") for i in range(2300)] + [(8, "again")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    assert write_html_corpus(pages, str(tmp_path / "c")) == 2300
+    assert sorted(len(list(f.iterdir())) for f in (tmp_path / "c").iterdir()) == [300, 1000, 1000]
+    read = {int(re.search(r"page_id=(\d+)", r["source"])[1]): r["text"] for r in read_html_corpus(spark, str(tmp_path / "c"), "*.txt").collect()}
+    assert len(read) == 2300 and read[9] == "<p>é 9</p>\n" and read[7] == "\n" and sorted(read[8].split("\n")) == ["", "<p>é 8</p>", "again"]
+
+
+def test_plain_files_are_read_as_bytes_others_unpacked(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"\xffx\r\n")
+    (tmp_path / "b.html.gz").write_bytes(gzip.compress("é".encode()))
+    plain = read_html_corpus(spark, str(tmp_path))
+    assert "binaryFile" in plain._jdf.queryExecution().executedPlan().toString()
+    assert [r[0] for r in plain.select(F.hex("text")).collect()] == ["FF780D0A"]
+    assert [r["text"] for r in read_html_corpus(spark, str(tmp_path), "*.gz").collect()] == ["é"]
+
+
 def test_files_become_an_index(spark, tmp_path):
     root = tmp_path / "docs.ray.io" / "en"
     root.mkdir(parents=True)
