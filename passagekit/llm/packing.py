@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagekit.llm.common import spread_tasks, stored
-from passagekit.llm.units import batches, encode
+from passagekit.llm.units import batches, encode, together
 
 #: Pieces that are packed together, numbers only. Groups leave about one underfull sequence each.
 GROUP_PIECES = 32_768
@@ -171,9 +171,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key:
     end = end_id.to_bytes(4, "little")
 
     def run(iterator):
-        for batch in batches(iterator, table=("ids", tokenizer)):
+        for batch in together(batches(iterator, table=("ids", tokenizer))):
             rows: list[tuple] = []
-            for one, ids in zip(batch.column(0).to_pylist(), encode(tokenizer, batch.column(1).to_pylist())):
+            for one, ids in zip(batch.column(0).to_pylist(), encode(tokenizer, batch.column(1))):
                 data = memoryview(ids + end)
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at:at + 4 * capacity]

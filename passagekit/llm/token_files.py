@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagekit.llm.common import stored
-from passagekit.llm.units import batches, encode
+from passagekit.llm.units import batches, encode, together
 
 MAGIC = b"PKIDS\0\0\1"
 _FOOT = struct.Struct("<QQQQ8s")
@@ -161,12 +161,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, vocabulary:
 
     def run(iterator):
         out, path = None, ""
-        for batch in batches(iterator, table=("ids", tokenizer)):
+        for batch in together(batches(iterator, table=("ids", tokenizer))):
             if batch.num_rows and out is None:
                 part = TaskContext.get().partitionId()
                 path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids"
                 out = IdFileWriter(path, bits, block)
-            for one, ids in zip(batch.column(0).to_pylist(), encode(tokenizer, batch.column(1).to_pylist())):
+            for one, ids in zip(batch.column(0).to_pylist(), encode(tokenizer, batch.column(1))):
                 out.add(one, np.frombuffer(ids + end, "<u4"))
         if out is not None:
             out.close()

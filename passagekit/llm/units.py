@@ -8,7 +8,9 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space other than the blank, as Unicode's property has it (fixed values).
 OTHER_SPACE = "\t\n\x0b\x0c\r\x85\xa0                　"
@@ -17,8 +19,12 @@ _SPACE = f"[ {OTHER_SPACE}]"
 _UNIT = re.compile(f"{_SPACE}*[^ {OTHER_SPACE}]+|{_SPACE}+")
 _ASCII_RUNS = tuple(x for c in "\t\n\x0b\x0c\r" for x in (c + " ", " " + c)) + ("  ",)
 _WIDE_SPACE = re.compile(f"[{OTHER_SPACE[5:]}]")
-#: Units that a task keeps, and characters of text looked at together.
+#: Texts that do not come apart into units at every blank.
+_ODD = f"^ | $|[\t-\r ] | [\t-\r]|[{OTHER_SPACE[5:]}]"
+#: Units or pieces that a task keeps, and characters of text or units looked at together.
 KEPT, AT_ONCE = 450_000, 2 << 20
+#: Characters of the longest piece whose ids are kept; bytes and rows of texts encoded together, so that a word in many of them is met once.
+LONGEST, TOGETHER, ROWS_TOGETHER = 128, 8 << 20, 20_000
 
 
 def units(text: str) -> tuple[list[str], list[str]]:
@@ -64,6 +70,70 @@ class UnitValues:
             known.update(zip(new, self.work([before + x for x in new])))
 
 
+class PieceIds(dict):
+    """Ids of pieces, made when first asked for. Of two generations the older is dropped when the newer holds half of `KEPT`."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= KEPT // 2:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
+class UnitIds:
+    """Token ids of texts, put together from those of their units; a unit is looked at once for all texts encoded together."""
+
+    def __init__(self, work: Callable[[list[str], str], Iterable[bytes]]):
+        self.work = work
+
+    def rows(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text."""
+        texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(texts):
+            done = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, done + TOGETHER, "right")))
+            yield from self._together(texts.slice(start, end - start))
+            start = end
+
+    def _together(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.match_substring_regex(texts, _ODD)
+        words = pc.split_pattern(pc.if_else(odd, pa.scalar("", texts.type), texts), " ")
+        first = [[x] if x else [] for x in pc.list_element(words, 0).to_pylist()]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            first[i] = _UNIT.findall(texts[i].as_py())
+        return map(bytes.__add__, self._joined(pa.array(first, pa.list_(texts.type)), ""), self._joined(pc.list_slice(words, 1), " "))
+
+    def _joined(self, lists: pa.ListArray, before: str) -> Iterator[bytes]:
+        """The ids of each list of units, `before` ahead of every unit."""
+        coded = pc.list_flatten(lists).dictionary_encode()
+        values = list(self.work(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), before))
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        ids, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+        which, at = coded.indices.to_numpy(), 0
+        ends, parts = np.cumsum(sizes[which]), []
+        for i in range(0, len(which), AT_ONCE):  # what places take in memory is bounded for one large text too
+            some = which[i:i + AT_ONCE]
+            n = sizes[some]
+            places = np.repeat(starts[some] - (np.cumsum(n) - n), n)
+            places += np.arange(len(places))
+            parts.append(ids[places])
+        joined = memoryview(b"".join(parts))
+        for n in np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist():
+            end = 4 * int(ends[n - 1]) if n else 0
+            yield bytes(joined[at:end])
+            at = end
+
+
 #: The pattern that the byte-level pre-tokenizer cuts by, and the bytes it leaves as they are (fixed values).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Patterns that drop white space (fixed values).
@@ -107,6 +177,10 @@ class Pieces:
         self._find = regex.compile(pattern).findall if pattern else None
 
     def __call__(self, text: str) -> list[str]:
+        return list(map(self.named, self.cut(text)))
+
+    def cut(self, text: str) -> list[str]:
+        """The pieces before their bytes are named."""
         if self.nfc and not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if self.lower:
@@ -117,11 +191,15 @@ class Pieces:
             cut = [text[:len(text) - len(bare) + len(letters)] if self.joins else letters]
             if len(letters) < len(bare):
                 cut.append(bare[len(letters):])
-        else:
-            cut = self._find(text)
-        return [
-            x.replace(" ", "\u0120") if x.isascii() and x.isprintable()
-            else x.encode().decode("latin-1").translate(BYTE_NAMES) for x in cut]
+            return cut
+        return self._find(text)
+
+    @staticmethod
+    def named(piece: str) -> str:
+        """A piece with its bytes as the model names them."""
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", "\u0120")
+        return piece.encode().decode("latin-1").translate(BYTE_NAMES)
 
 
 #: Scripts whose characters have been assigned for long; others may be newer in one library than in another.
@@ -132,54 +210,46 @@ SETTLED = re.compile("[^\\x00-\u024f\u0391-\u03ff\u0400-\u052f\u2010-\u2027\u304
 TABLES: dict[tuple[str, str], object] = {}
 
 
-def encoder(path: str) -> UnitValues:
-    """Token ids of units as little-endian 32-bit numbers, by the tokenizers library; one table per Python worker.
+def encoder(path: str) -> UnitIds:
+    """Token ids of texts as little-endian 32-bit numbers, by the tokenizers library; one table per Python worker.
 
     Short pieces go to the library's model one by one, without the bookkeeping of offsets that its whole encoder does;
     units with special tokens, and files of another make, go through the whole encoder. Both give the same ids.
     """
     if ("ids", path) not in TABLES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        pieces, model, known = Pieces(path), tokenizer.model, {}
-        special = pieces.special
+        pieces, model = Pieces(path), tokenizer.model
+        special, named = pieces.special, pieces.named
 
         def whole(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-        def ids(piece: str) -> bytes:
-            found = known.get(piece)
-            if found is None:
-                found = known[piece] = array("I", [t.id for t in model.tokenize(piece)]).tobytes()
-            return found
+        ids = PieceIds(lambda piece: array("I", [t.id for t in model.tokenize(named(piece))]).tobytes())
+        lower = pieces.lower
 
-        mark, lower = "\u0120" if pieces.joins else "", pieces.lower
-
-        def work(texts: list[str]) -> Iterator[bytes]:
-            if len(known) > KEPT // 3:
-                known.clear()
-            together = "\n".join(texts)
+        def work(units: list[str], before: str) -> Iterator[bytes]:
+            together = "\n".join(units)
             plain = pieces.known and not any(x in together for x in special)
-            for text in texts:
-                if plain and text.isascii():  # ASCII letters and signs after them, as most words are: both are pieces by themselves
-                    blank = text[0] == " "
-                    bare = text[1:] if blank else text
-                    letters = bare.rstrip(_SIGNS)
+            mark = before if pieces.joins else ""
+            for unit in units:
+                if plain and unit.isascii():  # ASCII letters and signs after them, as most words are: both are pieces by themselves
+                    letters = unit.rstrip(_SIGNS)
                     if letters.isalpha():
-                        first = ids((mark if blank else "") + (letters.lower() if lower else letters))
-                        yield first + ids(bare[len(letters):]) if len(letters) < len(bare) else first
+                        first = ids[mark + (letters.lower() if lower else letters)]
+                        yield first + ids[unit[len(letters):]] if len(letters) < len(unit) else first
                         continue
+                text = before + unit
                 if not pieces.known or any(x in text for x in special) or not (text.isascii() or SETTLED.search(text) is None):
                     yield whole(text)
                 else:
-                    yield b"".join([ids(x) for x in pieces(text)])
+                    yield b"".join([ids[x] for x in pieces.cut(text)])
 
-        TABLES["ids", path] = UnitValues(work)
+        TABLES["ids", path] = UnitIds(work)
     return TABLES["ids", path]
 
 
@@ -190,9 +260,23 @@ def kept(name: tuple[str, str], make: Callable[[], object]):
     return TABLES[name]
 
 
-def encode(path: str, texts: list[str | None]) -> Iterator[bytes]:
+def encode(path: str, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
     """Ids of whole texts (none: empty), equal to those of the library for the whole text."""
-    return map(b"".join, encoder(path).rows([t or "" for t in texts]))
+    return encoder(path).rows(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+
+
+def together(iterator: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Join batches that follow each other, up to about `TOGETHER` bytes and `ROWS_TOGETHER` rows; larger ones stay as they are."""
+    held, size, rows = [], 0, 0
+    for batch in iterator:
+        if held and (size + batch.nbytes > TOGETHER or rows + batch.num_rows > ROWS_TOGETHER):
+            yield pa.concat_batches(held)
+            held, size, rows = [], 0, 0
+        held.append(batch)
+        size += batch.nbytes
+        rows += batch.num_rows
+    if held:
+        yield pa.concat_batches(held)
 
 
 def batches(iterator: Iterable[pa.RecordBatch], size: int = 8 << 20, table: tuple[str, str] | None = None) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -40,6 +42,74 @@ def test_units_give_the_ids_of_whole_texts(libraries, path):
         assert np.frombuffer(found, "<u4").tolist() == ids_of(libraries[path], text), repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_the_model_sees_a_word_once_whatever_signs_follow_it(libraries, monkeypatch, path):
+    """Frequent words stay while rare ones come and go, and are not encoded anew for each run of signs after them."""
+    asked = []
+
+    class Counting:
+        def __init__(self, library):
+            self.library, self.model = library, self
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(Tokenizer.from_file(path))
+
+        def no_truncation(self):
+            self.inner = self.library.model
+
+        def no_padding(self):
+            pass
+
+        def tokenize(self, piece):
+            asked.append(piece)
+            return self.inner.tokenize(piece)
+
+        def encode(self, text, **settings):
+            return self.library.encode(text, **settings)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    monkeypatch.setattr(units, "KEPT", 1500)
+    monkeypatch.setattr(units, "AT_ONCE", 2000)
+    monkeypatch.setattr(units, "TOGETHER", 2000, raising=False)
+    units.TABLES.pop(("ids", path), None)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    common = [word(5) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        words = [w + rng.choice(".,;:") * rng.randrange(9) for w in common] + [word(9) for _ in range(100)]
+        rng.shuffle(words)
+        texts.append("x " + " ".join(words))
+    try:
+        found = list(units.encode(path, texts))
+    finally:
+        units.TABLES.pop(("ids", path), None)
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(libraries[path], text)
+    assert len(asked) < 1.02 * len(set(asked))
+
+
+def test_ids_of_one_large_text_and_of_long_pieces(libraries, monkeypatch):
+    monkeypatch.setattr(units, "AT_ONCE", 3)
+    monkeypatch.setattr(units, "TOGETHER", 5)
+    texts = ["a bb ccc. d " * 40 + "e", "", None, "z" * 1000 + " q", " odd  one", "last"]
+    for make in (list, pa.array, lambda t: pa.array(t, pa.large_string()), lambda t: pa.array(["no", *t])[1:]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in units.encode(BYTES, make(texts))] == [ids_of(libraries[BYTES], t) for t in texts]
+    assert list(units.encode(BYTES, [])) == []
+
+
+def test_batches_join_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(units, "TOGETHER", 1 << 20)
+    monkeypatch.setattr(units, "ROWS_TOGETHER", 50)
+    batches = [pa.record_batch({"x": list(range(at, at + n))}) for at, n in ((0, 20), (20, 25), (45, 30), (75, 80), (155, 1))]
+    joined = list(units.together(iter(batches)))
+    assert [b.num_rows for b in joined] == [45, 30, 80, 1] and pa.Table.from_batches(joined)["x"].to_pylist() == list(range(156))
+    monkeypatch.setattr(units, "TOGETHER", 100)
+    assert [b.num_rows for b in units.together(iter(batches))] == [20, 25, 30, 80, 1]
+    assert list(units.together(iter([]))) == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abct 're<|>endoftx\n\t éΣ1٣.!$", max_size=80))
 def test_any_text(text):
