@@ -7,6 +7,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,12 @@ _ASCII_RUNS = tuple(x for c in "\t\n\x0b\x0c\r" for x in (c + " ", " " + c)) + (
 _WIDE_SPACE = re.compile(f"[{OTHER_SPACE[5:]}]")
 #: Texts that do not come apart into units at every blank.
 _ODD = f"^ | $|[\t-\r ] | [\t-\r]|[{OTHER_SPACE[5:]}]"
-#: Units or pieces that a task keeps, and characters of text or units looked at together.
+#: Units that a task keeps, and characters of text or units looked at together.
 KEPT, AT_ONCE = 450_000, 2 << 20
-#: Characters of the longest piece whose ids are kept; bytes and rows of texts encoded together, so that a word in many of them is met once.
-LONGEST, TOGETHER, ROWS_TOGETHER = 128, 8 << 20, 20_000
+#: Pieces in a generation of those whose ids are kept, and characters of the longest of them.
+GENERATION, LONGEST = 300_000, 128
+#: Bytes and rows of texts encoded together, so that a word in many of them is met once.
+TOGETHER, ROWS_TOGETHER = 8 << 20, 20_000
 
 
 def units(text: str) -> tuple[list[str], list[str]]:
@@ -71,7 +74,7 @@ class UnitValues:
 
 
 class PieceIds(dict):
-    """Ids of pieces, made when first asked for. Of two generations the older is dropped when the newer holds half of `KEPT`."""
+    """Ids of pieces, made when first asked for. Of two generations the older is dropped when the newer is full."""
 
     def __init__(self, make: Callable[[str], bytes]):
         self.make, self.older = make, {}
@@ -81,7 +84,7 @@ class PieceIds(dict):
         if found is None:
             found = self.make(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= KEPT // 2:
+            if len(self) >= GENERATION:
                 self.older = dict(self)
                 self.clear()
             self[piece] = found
@@ -91,7 +94,7 @@ class PieceIds(dict):
 class UnitIds:
     """Token ids of texts, put together from those of their units; a unit is looked at once for all texts encoded together."""
 
-    def __init__(self, work: Callable[[list[str], str], Iterable[bytes]]):
+    def __init__(self, work: Callable[[pa.Array, str], np.ndarray]):
         self.work = work
 
     def rows(self, texts: pa.Array) -> Iterator[bytes]:
@@ -116,7 +119,7 @@ class UnitIds:
     def _joined(self, lists: pa.ListArray, before: str) -> Iterator[bytes]:
         """The ids of each list of units, `before` ahead of every unit."""
         coded = pc.list_flatten(lists).dictionary_encode()
-        values = list(self.work(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), before))
+        values = self.work(coded.dictionary, before).tolist()
         sizes = np.fromiter(map(len, values), np.int64, len(values)) >> 2
         ids, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
         which, at = coded.indices.to_numpy(), 0
@@ -134,6 +137,13 @@ class UnitIds:
             at = end
 
 
+def _each(words: pa.Array, make: Callable[[str], bytes]) -> np.ndarray:
+    """What is made of each word, made once for equal ones."""
+    coded = words.dictionary_encode()
+    different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return np.fromiter(map(make, different), object, len(different))[coded.indices.to_numpy()]
+
+
 #: The pattern that the byte-level pre-tokenizer cuts by, and the bytes it leaves as they are (fixed values).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Patterns that drop white space (fixed values).
@@ -232,22 +242,26 @@ def encoder(path: str) -> UnitIds:
         ids = PieceIds(lambda piece: array("I", [t.id for t in model.tokenize(named(piece))]).tobytes())
         lower = pieces.lower
 
-        def work(units: list[str], before: str) -> Iterator[bytes]:
-            together = "\n".join(units)
-            plain = pieces.known and not any(x in together for x in special)
+        def one(text: str, free: bool) -> bytes:
+            if not pieces.known or not free and any(x in text for x in special) or not (text.isascii() or SETTLED.search(text) is None):
+                return whole(text)
+            return b"".join(map(ids.__getitem__, pieces.cut(text)))
+
+        def work(units: pa.Array, before: str) -> np.ndarray:
             mark = before if pieces.joins else ""
-            for unit in units:
-                if plain and unit.isascii():  # ASCII letters and signs after them, as most words are: both are pieces by themselves
-                    letters = unit.rstrip(_SIGNS)
-                    if letters.isalpha():
-                        first = ids[mark + (letters.lower() if lower else letters)]
-                        yield first + ids[unit[len(letters):]] if len(letters) < len(unit) else first
-                        continue
-                text = before + unit
-                if not pieces.known or any(x in text for x in special) or not (text.isascii() or SETTLED.search(text) is None):
-                    yield whole(text)
-                else:
-                    yield b"".join([ids[x] for x in pieces.cut(text)])
+            values = np.empty(len(units), object)
+            # ASCII letters and signs after them, as most words are: both are pieces by themselves
+            letters = pc.ascii_rtrim(units, characters=_SIGNS)
+            plain = pc.and_(pc.string_is_ascii(units), pc.ascii_is_alpha(letters)).to_numpy(zero_copy_only=False)
+            free = pieces.known and not any(pc.any(pc.match_substring(units, x.lstrip(" "))).as_py() for x in special)
+            if not free:
+                plain[:] = False
+            found = _each(letters.filter(pa.array(plain)), lambda x: ids[mark + (x.lower() if lower else x)])
+            signs = _each(pc.ascii_ltrim(units.filter(pa.array(plain)), characters=ascii_letters), lambda x: ids[x] if x else b"")
+            values[plain] = found + signs
+            rest = units.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist()
+            values[~plain] = np.fromiter((one(before + x, free) for x in rest), object, len(rest))
+            return values
 
         TABLES["ids", path] = UnitIds(work)
     return TABLES["ids", path]

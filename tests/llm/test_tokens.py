@@ -70,6 +70,7 @@ def test_the_model_sees_a_word_once_whatever_signs_follow_it(libraries, monkeypa
 
     monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
     monkeypatch.setattr(units, "KEPT", 1500)
+    monkeypatch.setattr(units, "GENERATION", 750, raising=False)
     monkeypatch.setattr(units, "AT_ONCE", 2000)
     monkeypatch.setattr(units, "TOGETHER", 2000, raising=False)
     units.TABLES.pop(("ids", path), None)
