@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from passagekit.schemas import ANSWER, QUESTIONS, REFERENCES
-from passagekit.session import materialize
+from passagekit.session import ARROW_BYTES, ARROW_ROWS, _bytes, materialize, new_path
 from passagekit.sources.index_store import is_complete
 
 # Names of files (some 100 bytes each) that are broadcast with their numbers at a time.
@@ -19,6 +23,13 @@ BROADCAST_NAMES = 2_000_000
 FOLDER_FILES = 1_000
 # Ends of names that no compressed file has.
 PLAIN_NAMES = (".html", ".htm", ".txt")
+# Files and folders below a path that the driver lists itself; more are listed, and plain ones read, by executors.
+LISTED_FILES = 1_000
+# What opening a file costs, as bytes read, when files are dealt out to tasks.
+FILE_COST = 16 << 10
+# Characters that Hadoop's URIs of files quote.
+QUOTED = re.compile("[^!$&-;=@-Z_a-z~\x80-\U0010ffff]|[\x80-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+FOUND = "name string, source string, size long, folder boolean"
 
 
 def write_html_corpus(pages: DataFrame, path: str, key: str = "page_id", text: str = "html") -> int:
@@ -58,12 +69,123 @@ def _place(path: str):
     return (fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path else (fs.LocalFileSystem(), path))
 
 
-def read_html_corpus(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
+def _children(system, folder: str) -> Iterator[tuple[str, int, bool]]:
+    """Name, size and whether it is a folder, of what a folder holds and Spark's readers would not pass over."""
+    from pyarrow import fs
+
+    def entries():
+        if not isinstance(system, fs.LocalFileSystem):
+            for entry in system.get_file_info(fs.FileSelector(folder)):
+                yield entry.base_name, entry.size or 0, entry.type == fs.FileType.Directory
+            return
+        with os.scandir(folder) as found:  # one by one, a folder may hold millions
+            for entry in found:
+                try:
+                    yield entry.name, entry.stat().st_size, entry.is_dir()
+                except FileNotFoundError:  # it is gone, or a link to nothing
+                    pass
+
+    for name, size, is_folder in entries():
+        hidden = (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+        if (not hidden or name.startswith(("_metadata", "_common_metadata"))) if is_folder else (size and not hidden):
+            yield name, size, is_folder
+
+
+def _few(system, root: str, most: int) -> bool:
+    folders, seen = [root], 0
+    while folders:
+        folder = folders.pop()
+        for name, _, is_folder in _children(system, folder):
+            seen += 1
+            if seen > most:
+                return False
+            if is_folder:
+                folders.append(f"{folder}/{name}")
+    return True
+
+
+def _folder_uri(spark: SparkSession, path: str, most: int) -> str | None:
+    """URI of a folder with more than `most` files and folders, in a file system that pyarrow knows; None for all that Spark lists."""
+    from pyarrow import fs
+
+    if set(path) & set("{}[]*?\\"):
+        return None
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(there).toString()
+    try:
+        system, root = _place(uri)
+        if system.get_file_info(root).type != fs.FileType.Directory:
+            return None
+    except (OSError, ValueError, NotImplementedError):  # a file system that only Hadoop knows
+        return None
+    return None if isinstance(system, fs.LocalFileSystem) and _few(system, root, most) else uri
+
+
+def _found(spark: SparkSession, uri: str, glob: str) -> DataFrame:
+    """name below `uri`, source (its URI), size of the files whose own name fits the glob.
+
+    Executors list the folders of a level and write what they hold to a table, whose folders are the next level: the driver holds
+    counts only. A folder is one task's, which goes through it entry by entry.
+    """
+    def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _place(uri)
+        columns = ["name", "source", "size", "folder"]
+        rows = []
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                for name, size, is_folder in _children(system, f"{root}/{folder}"):
+                    name = f"{folder}/{name}" if folder else name
+                    rows.append((name, QUOTED.sub(lambda c: quote(c[0], safe=""), f"{uri.rstrip('/')}/{name}"), size, is_folder))
+                    if len(rows) == ARROW_ROWS:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows))], names=columns)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows))], names=columns)
+
+    path, levels = new_path(spark, "listing"), []
+    folders, count = spark.createDataFrame([("",)], "name string"), 1
+    while count:
+        levels.append(f"{path}/{len(levels)}")
+        tasks = min(count, max(4 * spark.sparkContext.defaultParallelism, count // FOLDER_FILES))
+        folders.repartition(tasks).mapInArrow(list_folders, FOUND).write.parquet(levels[-1])
+        folders = spark.read.schema(FOUND).parquet(levels[-1]).where("folder").select("name")
+        count = folders.count()
+    pattern = spark._jvm.org.apache.hadoop.fs.GlobPattern.compile(glob).pattern()
+    fits = F.substring_index("name", "/", -1).rlike(rf"(?s)\A(?:{pattern})\z")
+    return spark.read.schema(FOUND).parquet(*levels).where(~F.col("folder") & fits).select("name", "source", "size")
+
+
+def _contents(files: DataFrame, uri: str) -> DataFrame:
+    """Add the bytes of the files with these names below `uri`; tasks get files of about as many bytes as those of Spark's readers."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _place(uri)
+        for batch in batches:
+            done, contents, held = 0, [], 0
+            for name in batch.column("name").to_pylist():
+                with system.open_input_stream(f"{root}/{name}", compression=None) as file:
+                    contents.append(file.read())
+                held += len(contents[-1])
+                if held >= ARROW_BYTES or done + len(contents) == batch.num_rows:
+                    some = batch.slice(done, len(contents))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(contents, pa.binary())], names=[*batch.schema.names, "content"])
+                    done, contents, held = done + len(contents), [], 0
+
+    spark = files.sparkSession
+    cost = files.agg(F.sum(F.col("size") + FILE_COST)).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, cost // _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) + 1)
+    return files.repartition(tasks).mapInArrow(read, StructType([*files.schema.fields, StructField("content", BinaryType())]))
+
+
+def read_html_corpus(spark: SparkSession, path: str, glob: str = "*.html", max_listed: int = LISTED_FILES) -> DataFrame:
     """One row per HTML file below `path`: text, source.
 
     Files whose names end as plain text are read as bytes, which costs a fraction of what the reader of whole texts spends on each
-    file; that one is left for other names, as it unpacks compressed files.
+    file; that one is left for other names, as it unpacks compressed files. More than `max_listed` plain files are listed and read by
+    executors, as Spark's readers hold every file, and a task for a few of them, on the driver; the rows are the same.
     """
+    uri = _folder_uri(spark, path, max_listed) if glob.endswith(PLAIN_NAMES) else None
+    if uri:
+        return _contents(_found(spark, uri, glob), uri).select(F.col("content").cast("string").alias("text"), "source")
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     if glob.endswith(PLAIN_NAMES):
         files, text = reader.format("binaryFile").load(path), F.col("content").cast("string")
@@ -72,8 +194,11 @@ def read_html_corpus(spark: SparkSession, path: str, glob: str = "*.html") -> Da
     return files.select(text.alias("text"), F.col("_metadata.file_path").alias("source"))
 
 
-def list_corpus(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
-    """Paths only; no file is opened."""
+def list_corpus(spark: SparkSession, path: str, glob: str = "*.html", max_listed: int = LISTED_FILES) -> DataFrame:
+    """Paths only; no file is opened. Executors list more than `max_listed` files."""
+    uri = _folder_uri(spark, path, max_listed)
+    if uri:
+        return _found(spark, uri, glob).select(F.concat(F.lit(uri.rstrip("/") + "/"), "name").alias("path"))
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob).load(path).select("path")
@@ -120,16 +245,21 @@ def grown_numbers(names: DataFrame, path: str) -> DataFrame:
 
 
 def pages_from_files(spark: SparkSession, path: str, glob: str = "*.html", numbers: str | None = None,
-                     max_names: int = BROADCAST_NAMES) -> DataFrame:
+                     max_names: int = BROADCAST_NAMES, max_listed: int = LISTED_FILES) -> DataFrame:
     """page_id, url, html of the HTML files below `path`; the url is the file path.
 
     With `numbers`, a path of a table that keeps every name's number (`grown_numbers`), adding files leaves old numbers alone;
-    without it the names are numbered in their order anew. Numbers are broadcast to the files, for more than `max_names` in
-    ranges of names, each with the files of its range only; the HTML is never shuffled.
+    without it the names are numbered in their order anew. Files that executors list get their numbers before they are opened. To
+    others numbers are broadcast, for more than `max_names` in ranges of names, each with the files of its range only. The HTML is
+    never shuffled.
     """
-    listed = list_corpus(spark, path, glob).select(F.col("path").alias("name"))
+    listed = list_corpus(spark, path, glob, max_listed).select(F.col("path").alias("name"))
     table = materialize(grown_numbers(listed, numbers).join(listed, "name", "left_semi") if numbers else number_pages(listed, "name"))
-    files = read_html_corpus(spark, path, glob)
+    uri = _folder_uri(spark, path, max_listed) if glob.endswith(PLAIN_NAMES) else None
+    if uri:
+        numbered = _found(spark, uri, glob).join(table.withColumnRenamed("name", "_name"), F.col("source") == F.col("_name")).drop("_name")
+        return _contents(numbered, uri).select("page_id", F.col("source").alias("url"), F.col("content").cast("string").alias("html"))
+    files = read_html_corpus(spark, path, glob, max_listed)
     count = table.count()
     cuts = [None, None]
     if count > max_names:

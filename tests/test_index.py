@@ -54,6 +54,51 @@ def test_plain_files_are_read_as_bytes_others_unpacked(spark, tmp_path):
     assert [r["text"] for r in read_html_corpus(spark, str(tmp_path), "*.gz").collect()] == ["é"]
 
 
+def test_many_files_are_not_held_by_the_driver(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"<p>{i}</p>") for i in range(2300)], "page_id long, html string")
+    write_html_corpus(pages, str(tmp_path / "c"))
+    read, listed = read_html_corpus(spark, str(tmp_path / "c"), "*.txt"), list_corpus(spark, str(tmp_path / "c"), "*.txt")
+    assert len(read.inputFiles()) < 200 and len(listed.inputFiles()) < 200
+    assert read.rdd.getNumPartitions() == listed.sparkSession.sparkContext.defaultParallelism
+    assert {r["text"] for r in read.collect()} == {f"<p>{i}</p>\n" for i in range(2300)}
+    assert {r["path"] for r in listed.collect()} == {r["source"] for r in read.select("source").collect()} and listed.count() == 2300
+
+
+def test_files_listed_by_executors_are_those_of_sparks_readers(spark, tmp_path):
+    root = tmp_path / "a b%41é"
+    names = ["x.html", "deep/er/y.html", "s p.html", "p%20.html", "ü.html", "#q?.html", "{b}[1].html", "nb\xa0sp.html", "l\nf.html", "\U0001f600.html",
+             "c.txt", "x.HTML", "z.html.gz", "_no.html", ".no.html", "_k=v.html", "_no/x.html", ".no/x.html", "_k=w/x.html", "_metadata/x.html",
+             "_metadata.html", "y._COPYING_", "dir.html/x.html", "w~'(!)*,@&$;+^`|\"<>.html"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes((gzip.compress if name.endswith(".gz") else bytes)(b"\xff\r\n" + name.encode()))
+    (root / "empty.html").touch()
+    (root / "link").symlink_to(root / "deep")
+    (root / "lost.html").symlink_to(root / "nowhere")
+    for glob in ("*.html", "[!p-z]*.{html,txt}", "*", "er*.html"):
+        for f in (list_corpus, read_html_corpus):
+            few, many = (f(spark, f"{root}/", glob, most) for most in (1_000, 0))
+            assert few.schema.simpleString() == many.schema.simpleString()
+            assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())), (f, glob)
+    few, many = (sorted(map(tuple, pages_from_files(spark, str(root.parent), max_listed=most).collect())) for most in (1_000, 0))
+    assert few == many
+    with pytest.raises(PySparkException, match="PATH_NOT_FOUND"):
+        list_corpus(spark, str(tmp_path / "none"), max_listed=0)
+    assert [r["text"] for r in read_html_corpus(spark, str(root / "d*" / "er"), max_listed=0).select(F.substring("text", 4, 99).alias("text")).collect()] == [
+        "deep/er/y.html"]
+
+
+def test_large_files_are_read_in_batches_of_bounded_bytes(spark, tmp_path):
+    texts = {f"{i}.html": str(i) * (ARROW_BYTES // 2 + i) for i in range(7)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    read = read_html_corpus(spark, str(tmp_path), max_listed=0)
+    assert {r["source"].rsplit("/", 1)[-1]: r["text"] for r in read.coalesce(1).collect()} == texts
+    (tmp_path / "3.html").unlink()
+    with pytest.raises(PySparkException, match="3.html"):
+        read.collect()
+
+
 def test_files_become_an_index(spark, tmp_path):
     root = tmp_path / "docs.ray.io" / "en"
     root.mkdir(parents=True)
