@@ -80,8 +80,11 @@ def test_files_listed_by_executors_are_those_of_sparks_readers(spark, tmp_path):
             few, many = (f(spark, f"{root}/", glob, most) for most in (1_000, 0))
             assert few.schema.simpleString() == many.schema.simpleString()
             assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())), (f, glob)
-    few, many = (sorted(map(tuple, pages_from_files(spark, str(root.parent), max_listed=most).collect())) for most in (1_000, 0))
-    assert few == many
+    for name in ("b/x.html", "a.html", "c.txt"):
+        (tmp_path / "plain" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "plain" / name).write_text(name)
+    few, many = (sorted(map(tuple, pages_from_files(spark, str(tmp_path / "plain"), max_listed=most).collect())) for most in (1_000, 0))
+    assert few == many and [(i, html) for i, _, html in few] == [(0, "a.html"), (1, "b/x.html")]
     with pytest.raises(PySparkException, match="PATH_NOT_FOUND"):
         list_corpus(spark, str(tmp_path / "none"), max_listed=0)
     assert [r["text"] for r in read_html_corpus(spark, str(root / "d*" / "er"), max_listed=0).select(F.substring("text", 4, 99).alias("text")).collect()] == [
